@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def cpu_set(text: Column) -> Column:
     """'0-2,5' -> ['0', '1', '2', '5'], distinct, in order of appearance; parts that are no number or range are skipped."""
-    part = F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim)
+    part = F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x))
 
     def ids(p: Column) -> Column:
         low = F.regexp_extract(p, r"^\s*(\d+)", 1).try_cast("int")

@@ -39,7 +39,7 @@ def sar_rows(lines: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     Without columns: hostname, interval, timestamp and a map of all fields."""
     marked = F.col("value").startswith("#")
     head = lines.groupBy(CID).agg(F.coalesce(F.min_by("value", F.when(marked, F.col("ord"))), F.min_by("value", "ord")).alias("head"), F.coalesce(F.min(F.when(marked, F.col("ord"))), F.min("ord")).alias("at"))
-    names = F.transform(F.split(F.regexp_replace("head", r"^#\s*", ""), ";"), F.trim)
+    names = F.transform(F.split(F.regexp_replace("head", r"^#\s*", ""), ";"), lambda x: F.trim(x))
     d = lines.join(head.select(CID, names.alias("names"), "at"), CID).filter((F.col("ord") > F.col("at")) & ~marked & (F.trim("value") != ""))
     fields = F.split("value", ";")
     d = d.filter(F.size(fields) == F.size("names")).select(CID, "ord", F.map_from_arrays("names", fields).alias("m"))
