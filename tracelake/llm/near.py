@@ -6,10 +6,11 @@ elements at most; each part is hashed into n2 pieces, and a signature stands for
 share a signature.  A choice without elements says nothing; such signatures are left out where the set has at most `spare`
 parts that can give one, as another part then gives a shared signature with elements, and kept for the few other sets.
 
-Equal sets are one class.  In the bucket of a signature each class is compared with the smallest one, exactly; then with a few
-hubs picked by hash; the classes of a bucket that are still apart are compared with each other unless sizes or the triangle
-inequality of the Jaccard distance to the bucket's hub rule a link out.  So no link between components is lost, and a bucket of
-like texts costs as many comparisons as it has members.
+Equal sets are one class.  In the bucket of a signature each class is compared with the smallest one, its hub, exactly; what two
+classes of a bucket may still link over is then found from their differences to the hub: with D(x) the elements in which x and
+the hub differ, x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| elements.  So classes in different components can only link
+if they share differences, and these are joined by their rarest ones (as many as the bound asks for) and compared exactly.  No
+link between components is lost, and like texts cost as many comparisons as a bucket has members.
 
 Rows: a null or blank text has an empty set, links with nothing and is its own component; a null doc_id gets a null component;
 repeated rows are copies; an empty table gives no rows; further columns are ignored."""
@@ -73,7 +74,7 @@ def scheme(percent: int, low: int, band: int) -> Scheme:
             n1 = base + m
             made, held = n1 * comb(n2, k2), low / n1 * (n2 - k2) / n2
             wrong = made * alike**held + over  # a price for chance signatures
-            if made <= max(70, 0.4 * low):
+            if not k2 or made <= max(70, 0.4 * low):
                 key = (max(0.01, wrong), made)
                 if best is None or key < best[0]:
                     best = key, Scheme(band, low, high, n1, k2, n2, m)
@@ -117,48 +118,71 @@ def part_signatures(s: np.ndarray, x: Scheme) -> np.ndarray:
     return np.concatenate(out)
 
 
-def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, h1, h2, sigs) of each document: its set's size, two hashes of it and its signatures."""
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, n, h1, h2) of each document: its set's size and two hashes of it."""
 
     def run(b):
-        out = {"doc_id": b.column("doc_id"), "n": [], "h1": [], "h2": [], "sigs": []}
+        out = {"doc_id": b.column("doc_id"), "n": [], "h1": [], "h2": []}
         for t in b.column("text").to_pylist():
             s = shingles(t, words)
             h1, h2 = set_hashes(s)
-            sig = signatures(s, percent).view(np.int64) if len(s) else np.empty(0, np.int64)
-            for c, v in (("n", len(s)), ("h1", h1), ("h2", h2), ("sigs", sig)):
+            for c, v in (("n", len(s)), ("h1", h1), ("h2", h2)):
                 out[c].append(v)
         return out
 
-    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n long, h1 long, h2 long, sigs array<long>")
+    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n long, h1 long, h2 long")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, comp) for every node, comp the smallest node that links (a, b) reach: labels go to the neighbours, then jump."""
+def signature_rows(docs: DataFrame, words: int, percent: int, remembered: int = 100_000) -> DataFrame:
+    """(node, sig): the signatures of each set, node being its first hash.  A task leaves out sets that it has just had, so that
+    a group of equal texts gives a set for each task at most."""
+
+    def make(_):
+        had: set[int] = set()
+
+        def run(b):
+            if len(had) > remembered:
+                had.clear()
+            nodes, sigs = [], []
+            for t in b.column("text").to_pylist():
+                s = shingles(t, words)
+                node = set_hashes(s)[0]
+                if len(s) and node not in had:
+                    had.add(node)
+                    sig = signatures(s, percent).view(np.int64)
+                    nodes.append(np.full(len(sig), node))
+                    sigs.append(sig)
+            return {"node": np.concatenate(nodes), "sig": np.concatenate(sigs)} if nodes else None
+
+        return run
+
+    return map_slices(docs.filter("doc_id is not null").select("text"), make, "node long, sig long", 256, lambda: None)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, comp) of every node in links (a, b): the smallest node that they reach.  Labels go to the neighbours, then jump."""
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct())
-    now = nodes.select("node", F.col("node").alias("comp"))
+    now = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")))
     while True:
-        lower = (
-            both.join(now.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near")).withColumnRenamed("a", "node")
-        )
-        new = now.join(lower, "node", "left").select("node", "comp", F.least("comp", "near").alias("to"))
-        jump = new.select(F.col("node").alias("to"), F.col("to").alias("far"))
-        after = stored(new.join(jump, "to", "left").select("node", F.least("to", "far").alias("comp"), (F.col("comp") != F.least("to", "far")).alias("moved")))
-        if not after.filter("moved").limit(1).count():
-            return after.select("node", "comp")
+        lower = both.join(now.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        new = now.join(lower, "node").select("node", "comp", F.least("comp", "near").alias("to"))
+        jump = now.select(F.col("node").alias("to"), F.col("comp").alias("far"))
+        after = stored(new.join(jump, "to").select("node", F.least("to", "far").alias("comp"), (F.col("comp") != F.least("to", "far")).alias("moved")))
         now = after.select("node", "comp")
+        if not after.filter("moved").limit(1).count():
+            return now
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """pairs (a, b) with their distance and whether they link, from the whole sets."""
+    """pairs (a, b) with the sizes of both sets, the elements in which they differ, and whether they link; from the whole sets."""
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = need.join(classes, "node").select("node", "rep", "h1", "h2")
+    wanted = need.join(classes, "node").select("node", "rep", "h2")
 
     def run(b):
         out = {"node": [], "set": []}
-        for node, h1, h2, text in zip(*(b.column(c).to_pylist() for c in ("node", "h1", "h2", "text")), strict=True):
+        for node, h2, text in zip(*(b.column(c).to_pylist() for c in ("node", "h2", "text")), strict=True):
             s = shingles(text, words)
-            if set_hashes(s) == (h1, h2):
+            if set_hashes(s) == (node, h2):
                 out["node"].append(node)
                 out["set"].append(s.view(np.int64))
         return out
@@ -167,59 +191,68 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     sets = stored(map_slices(texts, run, "node long, `set` array<long>"))
     one = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
     two = one.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
-    both = F.size(F.array_intersect("sa", "sb"))
-    total = F.size("sa") + F.size("sb") - F.col("both")
-    return (
-        two.select("a", "b", both.alias("both"), "sa", "sb")
-        .select("a", "b", (1 - F.col("both") / total).alias("distance"), (100 * F.col("both") >= percent * total).alias("link"))
-        .distinct()
-    )
-
-
-def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, hubs: int = 2) -> DataFrame:
+    apart = F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))
+    d = two.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), apart.alias("apart"))
+    total = F.col("na") + F.col("nb")
+    return d.withColumn("link", F.size("apart") * (100 + percent) <= (100 - percent) * total)
+
+
+def candidates(family: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of one hub in different components that may link, from (hub, node, n, comp, out, apart), out
+    telling whose component isn't the hub's: those that share one of the differences that are rarest around the hub, as many of
+    each as its bound asks for, and those whose differences are so few that none need be shared."""
+    d = family.withColumn("d", F.size("apart")).withColumn("most", F.floor(F.col("n") * (100 - percent) / percent))
+    least = d.groupBy("hub").agg(F.min("d").alias("any"), F.min(F.when(F.col("out"), F.col("d"))).alias("outer")).filter("outer is not null")
+    d = stored(d.join(least, "hub"))
+    rows = d.select("hub", "node", F.explode("apart").alias("x"))
+    common = rows.groupBy("hub", "x").agg(F.count("*").alias("c")).filter("c > 1")
+    order = rows.join(common, ["hub", "x"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("xs"))
+
+    def prefix(other: str):
+        """The rarest elements of which two with enough in common share one; elements that nobody shares come first and are
+        left out."""
+        alone = F.col("d") - F.size("xs")
+        keep = F.col("d") - F.greatest(F.ceil((F.col("d") + F.col(other) - F.col("most")) / 2), F.lit(1)) + 1 - alone
+        return F.slice("xs", F.lit(1), F.greatest(F.least(keep, F.size("xs")), F.lit(0)).cast("int"))
+
+    d2 = d.drop("apart").join(order, ["hub", "node"])
+    left = d2.filter("out").select("hub", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("d").alias("da"), "most", F.explode(prefix("any")).alias("e"))
+    right = d2.select("hub", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("d").alias("db"), F.explode(prefix("outer")).alias("e"))
+    sized = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("ca") != F.col("cb"))
+    share = left.withColumn("x", F.col("e.x")).drop("e").join(right.withColumn("x", F.col("e.x")).drop("e"), ["hub", "x"]).filter(sized).select("a", "b")
+    few = d.filter("out and d + any <= most").select("hub", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("d").alias("da"), "most")
+    light = d.select("hub", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("d").alias("db"))
+    near = few.join(light, "hub").filter((F.col("da") + F.col("db") <= F.col("most")) & sized).select("a", "b")
+    return share.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the smallest doc_id that links of at least that similarity reach."""
-    sets = stored(shingle_sets(docs, words, percent))
+    sets = stored(shingle_sets(docs, words))
     known = sets.filter("n > 0 and doc_id is not null")
-    key = ["n", "h1", "h2"]
-    classes = stored(known.groupBy(*key).agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
-    firsts = known.select("doc_id", *key, "sigs").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *key])
-    rows = firsts.select("node", F.explode("sigs").alias("sig"))
+    classes = stored(known.groupBy(F.col("h1").alias("node"), "h2", "n").agg(F.min("doc_id").alias("rep")))
+    # One shuffle, by signature: the hubs are found and joined back where the rows already are.
+    rows = signature_rows(docs, words, percent).filter("node is not null and sig is not null").repartition("sig")
     shared = rows.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("sig", "hub")
-    members = stored(rows.join(shared, "sig"))  # of the buckets with at least two classes
-    sizes = classes.select("node", "n")
-
-    tried = stored(verified(members.filter("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), classes, docs, words, percent))
-    linked = members.select("node").distinct()
-    found = components(linked, tried.filter("link"))
-    for turn in range(hubs + 1):
-        at = members.join(found, "node")
-        apart = at.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("sig")
-        at = stored(at.join(apart, "sig").join(sizes, "node"))
-        if not at.limit(1).count():
-            break
-        if turn < hubs:
-            pick = at.groupBy("sig").agg(F.min(F.xxhash64("node", F.lit(turn))).alias("h"))
-            other = at.join(pick, "sig").filter(F.xxhash64("node", F.lit(turn)) == F.col("h")).select("sig", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"))
-            pairs = at.join(other, "sig").filter("comp <> cx")
-        else:
-            far = tried.select(F.col("a").alias("hub"), F.col("b").alias("node"), "distance")
-            full = stored(at.join(far, ["hub", "node"], "left").withColumn("distance", F.coalesce("distance", F.lit(0.0))))
-            other = full.select("sig", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("distance").alias("dx"))
-            pairs = full.join(other, "sig").filter("comp < cx").filter(F.abs(F.col("distance") - F.col("dx")) <= 1 - percent / 100 + 1e-9)
-        pairs = pairs.filter((100 * F.least("n", "nx") >= percent * F.greatest("n", "nx")))
-        pairs = pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-        pairs = stored(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-        if not pairs.limit(1).count():
-            continue
-        more = stored(verified(pairs, classes, docs, words, percent))
-        tried = tried.unionByName(more)
-        if more.filter("link").limit(1).count():
-            found = components(linked, tried.filter("link"))
-
-    comp = classes.join(found, "node", "left").select(*key, "rep", F.coalesce("comp", "node").alias("comp"))
+    pairs = stored(rows.join(shared, "sig").filter("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    tried = stored(verified(pairs, classes, docs, words, percent))
+    links = tried.filter("link").select("a", "b")
+    found = components(links)
+
+    comp_b = found.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+    comp_a = found.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
+    family = tried.join(comp_b, "b", "left").join(comp_a, "a", "left")
+    ca, cb = F.coalesce("ca", "a"), F.coalesce("cb", "b")
+    family = family.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("nb").alias("n"), cb.alias("comp"), (ca != cb).alias("out"), "apart")
+    more = stored(candidates(family, percent))
+    if more.limit(1).count():
+        again = verified(more, classes, docs, words, percent).filter("link").select("a", "b")
+        found = components(stored(links.union(again)))
+
+    comp = classes.join(found, "node", "left").select("node", "h2", "n", "rep", F.coalesce("comp", "node").alias("comp"))
     least = comp.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of = comp.join(least, "comp").select(*key, "component_id")
-    return sets.select("doc_id", *key).join(of, key, "left").select(
+    of = comp.join(least, "comp").select(F.col("node").alias("h1"), "h2", "n", "component_id")
+    return sets.select("doc_id", "h1", "h2", "n").join(of, ["h1", "h2", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )
 
