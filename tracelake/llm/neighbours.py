@@ -25,7 +25,7 @@ from tracelake.llm.common import map_slices, stored
 @dataclass
 class Lists:
     centroids: np.ndarray
-    graph: np.ndarray  # each centroid's nearest ones
+    graph: list[list[int]]  # each centroid's nearest ones, and those that it is nearest to
     reach: float  # e
     spread: float  # a vector is posted to centroids at most (1 + spread) times as far as its nearest
     copies: int
@@ -57,9 +57,9 @@ class Lists:
                 idle = 0
             else:
                 idle += 1
-                if idle > 16:
+                if idle > 64:
                     break
-            new = [x for x in self.graph[c].tolist() if x not in seen]
+            new = [x for x in self.graph[c] if x not in seen]
             if new:
                 seen.update(new)
                 for e, x in zip(np.sqrt(((self.centroids[new] - q) ** 2).sum(1)).tolist(), new, strict=True):
@@ -90,11 +90,16 @@ def balanced_means(x: np.ndarray, k: int, turns: int = 8, seed: int = 5) -> np.n
     return c
 
 
-def fit_lists(sample: np.ndarray, a_list: int = 40, most_lists: int = 1024, spread: float = 0.12, copies: int = 4, target: float = 0.985, k: int = 10) -> Lists:
+def fit_lists(sample: np.ndarray, a_list: int = 100, most_lists: int = 1024, spread: float = 0.05, copies: int = 2, target: float = 0.99, k: int = 10) -> Lists:
     c = balanced_means(sample, int(np.clip(len(sample) // a_list, 1, most_lists)))
-    m = min(len(c) - 1, 24)
-    graph = np.argsort(distances(c, c), axis=1, kind="stable")[:, 1 : m + 1]
-    out = Lists(c, graph, 0.0, spread, copies)
+    near = np.argsort(distances(c, c), axis=1, kind="stable")[:, 1:25]
+    graph: list[set[int]] = [set(row) for row in near.tolist()]
+    for i, row in enumerate(near.tolist()):
+        for j in row:
+            graph[j].add(i)  # both ways, so that no centroid is out of the walk's reach
+    out = Lists(c, [sorted(g) for g in graph], 0.0, spread, copies)
+    sample = np.unique(sample, axis=0)  # copies of one vector must not decide the reach
+    sample = sample[np.random.default_rng(9).permutation(len(sample))]
     some = np.linspace(0, len(sample) - 1, min(len(sample), 400)).astype(int)
     dq = distances(sample[some], c)
     row, lst = out.posts(sample)
