@@ -238,7 +238,7 @@ def train(net: Network, windows: list[list[bytes]], label: np.ndarray, rounds: i
     p = net.p
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
     ones, zeros = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    steps = rounds * max(40, min(200, 2 * len(ones) // batch))
+    steps = rounds * max(90, min(150, 2 * len(ones) // batch))
     for step in range(1, steps + 1):
         pick = np.concatenate([rng.choice(ones, batch // 2), rng.choice(zeros, batch // 2)])
         grads = gradients(net, [windows[i] for i in pick], label[pick])
