@@ -208,18 +208,24 @@ def candidates(family: DataFrame, percent: int) -> DataFrame:
     common = rows.groupBy("hub", "x").agg(F.count("*").alias("c")).filter("c > 1")
     order = rows.join(common, ["hub", "x"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("xs"))
 
-    def prefix(other: str):
-        """The rarest elements of which two with enough in common share one; elements that nobody shares come first and are
-        left out."""
+    def prefixed(side: DataFrame, other: str, names: dict[str, str]) -> DataFrame:
+        """(hub, x) of the rarest elements of which two with enough in common share one, with their place in the order; elements
+        that nobody shares come first and are left out.  A partner has at least d - most differences, by the triangle."""
         alone = F.col("d") - F.size("xs")
-        keep = F.col("d") - F.greatest(F.ceil((F.col("d") + F.col(other) - F.col("most")) / 2), F.lit(1)) + 1 - alone
-        return F.slice("xs", F.lit(1), F.greatest(F.least(keep, F.size("xs")), F.lit(0)).cast("int"))
+        need = F.ceil((F.col("d") + F.greatest(F.col(other), F.col("d") - F.col("most")) - F.col("most")) / 2)
+        keep = F.col("d") - F.greatest(need, F.lit(1)) + 1 - alone
+        some = F.slice("xs", F.lit(1), F.greatest(F.least(keep, F.size("xs")), F.lit(0)).cast("int"))
+        rows = side.select("hub", "node", "comp", "n", "d", alone.alias("alone"), F.posexplode(some).alias("p", "e"))
+        return rows.select("hub", F.col("e.x").alias("x"), *[F.col(c).alias(n) for c, n in names.items()], (F.col("d") - F.col("alone") - F.col("p")).alias(names["d"].replace("d", "r")))
 
     d2 = d.drop("apart").join(order, ["hub", "node"])
-    left = d2.filter("out").select("hub", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("d").alias("da"), "most", F.explode(prefix("any")).alias("e"))
-    right = d2.select("hub", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("d").alias("db"), F.explode(prefix("outer")).alias("e"))
+    left = prefixed(d2.filter("out"), "any", {"node": "a", "comp": "ca", "n": "na", "d": "da"})
+    right = prefixed(d2, "outer", {"node": "b", "comp": "cb", "n": "nb", "d": "db"})
     sized = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("ca") != F.col("cb"))
-    share = left.withColumn("x", F.col("e.x")).drop("e").join(right.withColumn("x", F.col("e.x")).drop("e"), ["hub", "x"]).filter(sized).select("a", "b")
+    most = F.floor((F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent))
+    # The first element that two share has all the others behind it, in both.
+    enough = 2 * F.least("ra", "rb") >= F.col("da") + F.col("db") - most
+    share = left.join(right, ["hub", "x"]).filter(sized & enough).select("a", "b")
     few = d.filter("out and d + any <= most").select("hub", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("d").alias("da"), "most")
     light = d.select("hub", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("d").alias("db"))
     near = few.join(light, "hub").filter((F.col("da") + F.col("db") <= F.col("most")) & sized).select("a", "b")
