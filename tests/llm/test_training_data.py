@@ -62,6 +62,9 @@ def test_packing_round_trip(spark, texts):
         assert [(r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got] == [(k, s, len(ids[s : s + 4096]), zlib.crc32(ids[s : s + 4096].tobytes())) for k, s in enumerate(range(0, len(ids), 4096))]
     assert check_packing(rows) <= -(-sum(r["length"] for r in rows) // 4096) + 1
     assert packing.pack_documents(docs(spark, []), Q.tokenizer_path()).count() == 0
+    ids = [None, 2**60 + 1, 2**60 + 1, -5]
+    odd = spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string")
+    assert sorted(packing.pack_documents(odd, Q.tokenizer_path()).toArrow().column("doc_id").to_pylist(), key=str) == sorted(ids, key=str)
 
 
 def test_word_ids_equal_the_tokenizer():

@@ -183,7 +183,7 @@ def chunks(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-PLACED = PIECES + ", sequence_id long, offset long, fill long, loose boolean"
+PLACED = PIECES.replace("doc_id long", "doc_id string") + ", sequence_id long, offset long, fill long, loose boolean"
 
 
 def pack(pieces: DataFrame, cap: Capacity = Capacity()) -> DataFrame:
@@ -201,11 +201,12 @@ def pack(pieces: DataFrame, cap: Capacity = Capacity()) -> DataFrame:
                 sequence_id=bins + made, offset=offset, fill=fill[bins], loose=fill[bins] < (1 - cap.loose) * cap.tokens
             )
             made += len(fill)
-            yield f.astype({"doc_id": "Int64"})
+            yield f
 
     key = F.xxhash64("doc_id", "piece", "ids_crc32")
     placed = stored(
         pieces.select("*", key.alias("__key"))
+        .withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas has no whole numbers beside nulls
         .repartition(n, "__key")
         .sortWithinPartitions("__key", "doc_id", "piece", "length")
         .mapInPandas(first, PLACED)
@@ -226,7 +227,7 @@ def pack(pieces: DataFrame, cap: Capacity = Capacity()) -> DataFrame:
 
     moved = stored(units.repartition(max(1, n // 32)).mapInPandas(second, "old long, new long, base long, `all` long"))
     joined = placed.filter("loose").join(moved, F.col("sequence_id") == F.col("old"))
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    columns = [F.col("doc_id").cast(pieces.schema["doc_id"].dataType).alias("doc_id"), "piece", "start", "length", "ids_crc32"]
     return (
         placed.filter("not loose")
         .select(*columns, "sequence_id", "offset", F.col("fill").alias("n_tokens"))
