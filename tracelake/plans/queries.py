@@ -159,32 +159,33 @@ add(
 PATHS = f"with {FRAMES}, paths as (select collection_id, frames as path, cast(sum(weight) as bigint) as count from frames where len(frames) > 0 group by 1, 2)"
 TREE = PATHS + """, e as (select collection_id, count, path as whole, unnest(range(1, len(path) + 1)) as d from paths),
 tree as (select collection_id, whole[1:d] as path, cast(max(d) as int) as depth, cast(sum(count) as bigint) as count, cast(sum(case when d = len(whole) then count else 0 end) as bigint) as leaf_count from e group by 1, 2)"""
-PATH = F.array_join("path", ";").alias("path")
+# Columns are made when a query runs: they need a session.
+PATH = lambda: F.array_join("path", ";").alias("path")
 add(
-    "h1_build_tree", lambda v: H.build_tree(v.fx_folded).select(CID, PATH, "depth", "name", "count", "leaf_count"),
+    "h1_build_tree", lambda v: H.build_tree(v.fx_folded).select(CID, PATH(), "depth", "name", "count", "leaf_count"),
     TREE + " select collection_id, array_to_string(path, ';') as path, depth, path[depth] as name, count, leaf_count from tree",
 )
-add("h2_leaf_paths", lambda v: H.leaf_paths(v.fx_folded).select(CID, PATH, "count"), PATHS + " select collection_id, array_to_string(path, ';') as path, count from paths")
+add("h2_leaf_paths", lambda v: H.leaf_paths(v.fx_folded).select(CID, PATH(), "count"), PATHS + " select collection_id, array_to_string(path, ';') as path, count from paths")
 add(
-    "h3_path_stats", lambda v: H.path_stats(v.fx_folded, 20).select(CID, PATH, "count", "percent", "truncated", "rank"),
+    "h3_path_stats", lambda v: H.path_stats(v.fx_folded, 20).select(CID, PATH(), "count", "percent", "truncated", "rank"),
     PATHS + """, t as (select collection_id, sum(count) as total from paths group by 1), r as (select collection_id, array_to_string(path, ';') as path, count, cast(row_number() over (partition by collection_id order by count desc, array_to_string(path, ';')) as int) as rank from paths)
 select r.collection_id, r.path, r.count, round(r.count * 100.0 / t.total, 6) as percent, true as truncated, r.rank from r join t using (collection_id) where rank <= 20""",
 )
 add("h4_tree_symbols", lambda v: H.tree_symbols(v.fx_folded), TREE + " select collection_id, path[depth] as symbol, cast(sum(count) as bigint) as inclusive, cast(sum(leaf_count) as bigint) as leaf from tree group by 1, 2")
 for _k, _name in ((None, "any"), (0, "leaf"), (1, "one")):
     add(
-        f"h5_symbol_overhead_{_name}", lambda v, k=_k: H.symbol_overhead(v.fx_folded, "NATION_7", k).select(CID, PATH, "overhead", "percent"),
+        f"h5_symbol_overhead_{_name}", lambda v, k=_k: H.symbol_overhead(v.fx_folded, "NATION_7", k).select(CID, PATH(), "overhead", "percent"),
         PATHS + f""", e as (select collection_id, count, path as whole, unnest(range(1, len(path) + 1)) as d from paths), t as (select collection_id, sum(count) as total from paths group by 1),
 n as (select collection_id, array_to_string(whole[1:d], ';') as path, cast(sum(case when {'true' if _k is None else f'len(whole) - d <= {_k}'} then count else 0 end) as bigint) as overhead from e where whole[d] = 'NATION_7' group by 1, 2)
 select n.collection_id, n.path, n.overhead, round(n.overhead * 100.0 / t.total, 6) as percent from n join t using (collection_id)""",
     )
 RANK = TREE + ", ranked as (select *, cast(row_number() over (partition by collection_id, path[1:depth - 1] order by count desc, path[depth]) as int) as rank from tree)"
 add(
-    "h6_sorted_tree", lambda v: H.sorted_tree(v.fx_folded, "NATION_7", k=2).select(CID, PATH, "depth", "count", "rank", F.array_join("root", ";").alias("root")),
+    "h6_sorted_tree", lambda v: H.sorted_tree(v.fx_folded, "NATION_7", k=2).select(CID, PATH(), "depth", "count", "rank", F.array_join("root", ";").alias("root")),
     RANK + """, s as (select *, unnest(range(1, depth + 1)) as lvl from ranked) select collection_id, array_to_string(path, ';') as path, depth, count, rank, array_to_string(path[1:lvl], ';') as root from s where path[lvl] = 'NATION_7' and depth - lvl <= 2""",
 )
 add(
-    "h7_trimmed_tree", lambda v: H.sorted_tree(v.fx_folded, max_children=2).select(CID, PATH, "depth", "count", "rank"),
+    "h7_trimmed_tree", lambda v: H.sorted_tree(v.fx_folded, max_children=2).select(CID, PATH(), "depth", "count", "rank"),
     RANK + """, low as (select distinct r.collection_id, r.path from (select *, unnest(range(1, depth + 1)) as lvl from ranked) r join ranked c on c.collection_id = r.collection_id and c.path = r.path[1:r.lvl] where c.rank > 2)
 select r.collection_id, array_to_string(r.path, ';') as path, depth, count, rank from ranked r where not exists (select 1 from low l where l.collection_id = r.collection_id and l.path = r.path)""",
 )
@@ -310,12 +311,12 @@ add(
     FOLD.format(proc="command", f2="concat(symbol2, '_[k]')", f1="concat(case when symbol1 = '[unknown]' then '[perf-12.map]' else symbol1 end, '_[j]')", f0=BARE0, where="event = 'cycles'"),
 )
 add("f6_addresses", lambda v: FC.collapse(v.chains, FC.Options(event="cycles", addrs=True)), FOLD.format(proc="command", f2="symbol2", f1="case when symbol1 = '[unknown]' then concat('[libsupp.so <', addr1, '>]') else symbol1 end", f0=BARE0, where="event = 'cycles'"))
-CHANGED = F.transform("calls", lambda c: F.struct(c["addr"].alias("addr"), F.when(c["dso"] == "libcust.so", F.concat(F.lit("a;'b'("), c["symbol"], F.lit(")"))).otherwise(c["symbol"]).alias("symbol"), c["dso"].alias("dso")))
-add("f7_clean_symbols", lambda v: FC.collapse(v.chains.withColumn("calls", CHANGED), FC.Options(event="cycles")), FOLD.format(proc="command", f2="'a:b'", f1=UNKNOWN1, f0=BARE0, where="event = 'cycles'"))
-SPLIT = F.transform("calls", lambda c: F.struct(c["addr"].alias("addr"), F.when(c["dso"] == "libcust.so", F.concat(c["symbol"], F.lit("->in"))).otherwise(c["symbol"]).alias("symbol"), c["dso"].alias("dso")))
-add("f8_inline_chain", lambda v: FC.collapse(v.chains.withColumn("calls", SPLIT), FC.Options(event="cycles")), FOLD.format(proc="command", f2="'in', symbol2", f1=UNKNOWN1, f0=BARE0, where="event = 'cycles'"))
-LINED = F.transform("calls", lambda c: F.struct(c["addr"].alias("addr"), c["symbol"].alias("symbol"), c["dso"].alias("dso"), F.when(c["dso"] == "libcust.so", F.lit("x.c:7")).alias("srcline")))
-add("f9_source_lines", lambda v: FC.collapse(v.chains.withColumn("calls", LINED), FC.Options(event="cycles", srcline=True)), FOLD.format(proc="command", f2="concat(symbol2, ':x.c:7')", f1=UNKNOWN1, f0=BARE0, where="event = 'cycles'"))
+CHANGED = lambda: F.transform("calls", lambda c: F.struct(c["addr"].alias("addr"), F.when(c["dso"] == "libcust.so", F.concat(F.lit("a;'b'("), c["symbol"], F.lit(")"))).otherwise(c["symbol"]).alias("symbol"), c["dso"].alias("dso")))
+add("f7_clean_symbols", lambda v: FC.collapse(v.chains.withColumn("calls", CHANGED()), FC.Options(event="cycles")), FOLD.format(proc="command", f2="'a:b'", f1=UNKNOWN1, f0=BARE0, where="event = 'cycles'"))
+SPLIT = lambda: F.transform("calls", lambda c: F.struct(c["addr"].alias("addr"), F.when(c["dso"] == "libcust.so", F.concat(c["symbol"], F.lit("->in"))).otherwise(c["symbol"]).alias("symbol"), c["dso"].alias("dso")))
+add("f8_inline_chain", lambda v: FC.collapse(v.chains.withColumn("calls", SPLIT()), FC.Options(event="cycles")), FOLD.format(proc="command", f2="'in', symbol2", f1=UNKNOWN1, f0=BARE0, where="event = 'cycles'"))
+LINED = lambda: F.transform("calls", lambda c: F.struct(c["addr"].alias("addr"), c["symbol"].alias("symbol"), c["dso"].alias("dso"), F.when(c["dso"] == "libcust.so", F.lit("x.c:7")).alias("srcline")))
+add("f9_source_lines", lambda v: FC.collapse(v.chains.withColumn("calls", LINED()), FC.Options(event="cycles", srcline=True)), FOLD.format(proc="command", f2="concat(symbol2, ':x.c:7')", f1=UNKNOWN1, f0=BARE0, where="event = 'cycles'"))
 add(
     "f10_inline_table",
     lambda v: FC.collapse(
@@ -656,23 +657,23 @@ def sar_cpu_lines(v: Views) -> DataFrame:
 
 
 add("a2_sar_cpu_scan", lambda v: A.sar(sar_cpu_lines(v), "cpu").drop("hostname", "interval"), "select collection_id, cast(timestamp as string) as timestamp, cpu, " + ", ".join(f"round({c}, 3) + 0.0 as {c}" for c in K.CORE_COLUMNS) + " from fx_sar_cpu")
-SERIES_LINE = F.concat_ws(";", F.col("timestamp").cast("string"), F.concat(F.lit("CPU"), F.col("cpu_id").cast("string")), F.when(F.col("value") % 7 == 0, "<not counted>").otherwise(F.format_number("value", 0)), F.lit(""), F.col("metric_type"), F.lit("1"), F.lit("100"), F.format_string("%.2f", F.col("run_pct").cast("double")), F.when(F.col("value") % 2 == 0, "IPC").otherwise("other"))
-add("a3_counter_series", lambda v: X.counter_series(lines(v.fx_counters, SERIES_LINE)).drop("ord"), "select collection_id, timestamp, concat('CPU', cast(cpu_id as string)) as cpu, cast(value as double) as value, '' as unit, metric_type as event_name from fx_counters where value % 7 <> 0")
-add("a4_counter_metrics", lambda v: X.counter_metrics(lines(v.fx_counters, SERIES_LINE)).drop("ord"), "select collection_id, timestamp, concat('CPU', cast(cpu_id as string)) as cpu, cast(run_pct as double) as value, 'IPC' as metric_name from fx_counters where value % 2 = 0")
-CSV_LINE = F.concat_ws(",", F.col("timestamp").cast("string"), F.concat(F.lit("CPU"), F.col("cpu_id").cast("string")), F.when(F.col("value") % 7 == 0, "<not counted>").otherwise(F.col("value").cast("string")), F.lit(""), F.col("metric_type"), F.lit("1000"), F.col("run_pct").cast("string"))
-add("a5_counter_csv", lambda v: X.counter_csv(lines(v.fx_counters, CSV_LINE)), "select collection_id, ord, timestamp, cpu_id, value, metric_type, cast(run_pct as double) as run_pct from fx_counters where value % 7 <> 0")
-FLAT_LINE = F.concat(F.col("command"), F.lit(" "), F.col("pid").cast("string"), F.lit(" ["), F.lpad(F.col("cpu").cast("string"), 3, "0"), F.lit("] "), F.col("time"), F.lit(": "), F.col("value").cast("string"), F.lit(" "), F.col("event"), F.lit(":  "), F.col("addr0"), F.lit(" "), F.col("symbol0"), F.lit(" ("), F.translate("dso0", " ", "_"), F.lit(")"))
-add("a6_flat_samples", lambda v: X.flat_samples(lines(v.fx_samples, FLAT_LINE)), "select collection_id, ord, command, pid, cpu, time, value, event, addr0 as addr, symbol0 as symbol, replace(dso0, ' ', '_') as dso_short_name from fx_samples")
+SERIES_LINE = lambda: F.concat_ws(";", F.col("timestamp").cast("string"), F.concat(F.lit("CPU"), F.col("cpu_id").cast("string")), F.when(F.col("value") % 7 == 0, "<not counted>").otherwise(F.format_number("value", 0)), F.lit(""), F.col("metric_type"), F.lit("1"), F.lit("100"), F.format_string("%.2f", F.col("run_pct").cast("double")), F.when(F.col("value") % 2 == 0, "IPC").otherwise("other"))
+add("a3_counter_series", lambda v: X.counter_series(lines(v.fx_counters, SERIES_LINE())).drop("ord"), "select collection_id, timestamp, concat('CPU', cast(cpu_id as string)) as cpu, cast(value as double) as value, '' as unit, metric_type as event_name from fx_counters where value % 7 <> 0")
+add("a4_counter_metrics", lambda v: X.counter_metrics(lines(v.fx_counters, SERIES_LINE())).drop("ord"), "select collection_id, timestamp, concat('CPU', cast(cpu_id as string)) as cpu, cast(run_pct as double) as value, 'IPC' as metric_name from fx_counters where value % 2 = 0")
+CSV_LINE = lambda: F.concat_ws(",", F.col("timestamp").cast("string"), F.concat(F.lit("CPU"), F.col("cpu_id").cast("string")), F.when(F.col("value") % 7 == 0, "<not counted>").otherwise(F.col("value").cast("string")), F.lit(""), F.col("metric_type"), F.lit("1000"), F.col("run_pct").cast("string"))
+add("a5_counter_csv", lambda v: X.counter_csv(lines(v.fx_counters, CSV_LINE())), "select collection_id, ord, timestamp, cpu_id, value, metric_type, cast(run_pct as double) as run_pct from fx_counters where value % 7 <> 0")
+FLAT_LINE = lambda: F.concat(F.col("command"), F.lit(" "), F.col("pid").cast("string"), F.lit(" ["), F.lpad(F.col("cpu").cast("string"), 3, "0"), F.lit("] "), F.col("time"), F.lit(": "), F.col("value").cast("string"), F.lit(" "), F.col("event"), F.lit(":  "), F.col("addr0"), F.lit(" "), F.col("symbol0"), F.lit(" ("), F.translate("dso0", " ", "_"), F.lit(")"))
+add("a6_flat_samples", lambda v: X.flat_samples(lines(v.fx_samples, FLAT_LINE())), "select collection_id, ord, command, pid, cpu, time, value, event, addr0 as addr, symbol0 as symbol, replace(dso0, ' ', '_') as dso_short_name from fx_samples")
 
 
 def block_text(i: int):
     return F.concat(F.lit("\t"), F.col(f"addr{i}"), F.lit(" "), F.col(f"symbol{i}"), F.lit(" ("), F.col(f"dso{i}"), F.lit(")"))
 
 
-HEADER = F.concat(F.col("command"), F.lit(" "), F.col("pid").cast("string"), F.lit(" ["), F.col("cpu").cast("string"), F.lit("] "), F.col("time"), F.lit(": "), F.col("value").cast("string"), F.lit(" "), F.col("event"), F.lit(": "))
-BLOCK = F.concat_ws("\n", F.lit("# a comment"), HEADER, block_text(0), block_text(1), block_text(2))
+HEADER = lambda: F.concat(F.col("command"), F.lit(" "), F.col("pid").cast("string"), F.lit(" ["), F.col("cpu").cast("string"), F.lit("] "), F.col("time"), F.lit(": "), F.col("value").cast("string"), F.lit(" "), F.col("event"), F.lit(": "))
+BLOCK = lambda: F.concat_ws("\n", F.lit("# a comment"), HEADER(), block_text(0), block_text(1), block_text(2))
 add(
-    "a7_chain_samples", lambda v: E.flat_rows(X.chain_samples(lines(v.fx_samples, BLOCK))).select(CID, F.col("ord.ord").alias("ord"), "command", "pid", "cpu", "time", "value", "event", "calls"),
+    "a7_chain_samples", lambda v: E.flat_rows(X.chain_samples(lines(v.fx_samples, BLOCK()))).select(CID, F.col("ord.ord").alias("ord"), "command", "pid", "cpu", "time", "value", "event", "calls"),
     f"with {CALLS} select collection_id, ord, command, pid, cpu, time, value, event, concat(addr, ' ', symbol, ' (', dso, ')') as calls from c",
 )
 
@@ -687,9 +688,9 @@ add(
     "a8_report_rows", lambda v: X.report_rows(report_lines(v)),
     "select concat('c', cast(id % 3 as string)) as collection_id, cast(id % 100 as double) as overhead_cycles, cast(id % 50 as double) as overhead_insns, concat('c', cast(thread_id as string)) as command, 'lib x.so' as shared_object, case when id % 2 = 0 then 'k' else '.' end as execution_mode, concat('f<a, b>::', cast(comm_id as string)) as symbol from tr_calls",
 )
-HOT_LINE = F.concat(F.lit("  "), F.format_string("%.2f%%", F.col("insn_count") / 100.0), F.lit("  "), F.col("cyc_count").cast("string"), F.lit(" cmd lib.so "), F.when(F.col("id") % 3 == 0, "[k] ").when(F.col("id") % 3 == 1, "[.] ").otherwise(""), F.lit("f"), F.col("comm_id").cast("string"), F.lit("   -  -  "))
+HOT_LINE = lambda: F.concat(F.lit("  "), F.format_string("%.2f%%", F.col("insn_count") / 100.0), F.lit("  "), F.col("cyc_count").cast("string"), F.lit(" cmd lib.so "), F.when(F.col("id") % 3 == 0, "[k] ").when(F.col("id") % 3 == 1, "[.] ").otherwise(""), F.lit("f"), F.col("comm_id").cast("string"), F.lit("   -  -  "))
 add(
-    "a9_hotspots", lambda v: X.hotspots(v.tr_calls.select(F.concat(F.lit("c"), (F.col("comm_id")).cast("string")).alias(CID), F.col("id").alias("ord"), HOT_LINE.alias("value")), 50),
+    "a9_hotspots", lambda v: X.hotspots(v.tr_calls.select(F.concat(F.lit("c"), (F.col("comm_id")).cast("string")).alias(CID), F.col("id").alias("ord"), HOT_LINE().alias("value")), 50),
     """select collection_id, round(insn_count / 100.0, 2) + 0.0 as overhead, cyc_count as samples, 'cmd' as process, 'lib.so' as library, concat('f', cast(comm_id as string)) as symbol, case when id % 3 = 0 then 'Kernel' when id % 3 = 1 then 'User' else 'Unknown' end as scope
 from (select *, concat('c', cast(comm_id as string)) as collection_id, row_number() over (partition by comm_id order by id) as k from tr_calls) where k <= 50""",
 )
