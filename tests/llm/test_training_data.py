@@ -175,6 +175,24 @@ def test_neighbours_recall_and_odd_rows(spark):
     assert neighbours.nearest(d.filter("vec_id > 900")).count() == 0
 
 
+def test_lonely_queries_have_all_neighbours(spark):
+    """Outliers that are centroids by themselves, copies of one id around a query, and list cuts on the query side."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 8))
+    for i in range(0, 900, 100):
+        x[i] = 0
+        x[i, i // 100 % 8] = 1000 + i
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1, (x[100] + 0.001).tolist())] * 60
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for most in (4000, 2):
+        got = defaultdict(list)
+        for r in neighbours.nearest(d, most_asked=most).collect():
+            got[r["query_id"]].append((r["rank"], r["vec_id"]))
+        assert set(got) == set(range(0, 900, 100))
+        assert all(sorted(r for r, _ in near10) == list(range(1, 11)) and len({v for _, v in near10}) == 10 for near10 in got.values())
+        assert (1, 1) in got[100]
+
+
 # Licences --------------------------------------------------------------------------------------------------------------------
 
 

@@ -2,8 +2,10 @@
 
 Centroids come from balanced k-means over a bounded sample.  Every vector is posted to its nearest centroid's list and, near a
 boundary, to the lists of further centroids; lists beyond a length are cut into parts, so that no task holds an unbounded list.
-A query walks a neighbour graph of the centroids in memory and takes all lists whose centroid is at most (1 + e) times as far as
-the nearest one; e is calibrated on the sample so that a target share of true neighbours is posted there.
+A query walks a neighbour graph of the centroids in memory and takes all lists whose centroid is at most e times a distance
+farther than the nearest one, that distance being the nearest one's, or the sample's median where that is more (so that a query
+on a centroid looks around, too); e is calibrated on the sample so that a target share of true neighbours is posted there.  Where
+these lists hold too few ids, the next nearest ones are taken, so that a query has k neighbours wherever there are k candidates.
 
 Rows: vectors that are null, zero, of another length than most, or that hold a null or a non-finite component take no part;
 repeated rows are candidates each under their id (a repeated id counts once, with its smallest distance); an empty table gives no
@@ -12,11 +14,11 @@ rows; further columns are ignored."""
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import map_slices, stored
@@ -27,23 +29,26 @@ class Lists:
     centroids: np.ndarray
     graph: list[list[int]]  # each centroid's nearest ones, and those that it is nearest to
     reach: float  # e
+    floor: float  # the least distance that e is a multiple of
     spread: float  # a vector is posted to centroids at most (1 + spread) times as far as its nearest
     copies: int
-    parts: dict[int, int] = field(default_factory=dict)
 
-    def posts(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of every posting."""
+    def posts(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, list) of every posting, and whether it is the row's first, in a list whose centroid is nearest."""
         d = distances(x, self.centroids)
         m = min(self.copies, d.shape[1])
         near = np.argpartition(d, m - 1, axis=1)[:, :m]
         dn = np.take_along_axis(d, near, 1)
         keep = dn <= (1 + self.spread) * dn.min(1, keepdims=True) + 1e-12
         row, col = np.nonzero(keep)
-        return row, near[row, col]
+        return row, near[row, col], col == dn.argmin(1)[row]
 
-    def lists_for(self, q: np.ndarray) -> list[int]:
+    def extent(self, best):
+        return best + self.reach * np.maximum(best, self.floor) + 1e-12
+
+    def lists_for(self, q: np.ndarray, held: np.ndarray, least: int) -> list[int]:
         """All lists within reach, by a walk over the graph: nearest first, as long as a centroid in reach or nearer than the
-        best of the walk is left."""
+        best of the walk is left; and the next nearest lists, until together they hold `least` ids."""
         seen = set(range(0, len(self.centroids), max(1, len(self.centroids) // 8)))
         entry = np.fromiter(seen, np.int64)
         heap = list(zip(np.sqrt(((self.centroids[entry] - q) ** 2).sum(1)).tolist(), entry.tolist(), strict=True))
@@ -52,7 +57,7 @@ class Lists:
         while heap:
             d, c = heapq.heappop(heap)
             best = min(best, d)
-            if d <= (1 + self.reach) * best + 1e-12:
+            if d <= self.extent(best):
                 got.append((d, c))
                 idle = 0
             else:
@@ -64,7 +69,16 @@ class Lists:
                 seen.update(new)
                 for e, x in zip(np.sqrt(((self.centroids[new] - q) ** 2).sum(1)).tolist(), new, strict=True):
                     heapq.heappush(heap, (e, x))
-        return sorted(c for d, c in got if d <= (1 + self.reach) * best + 1e-12)
+        out = {c for d, c in got if d <= self.extent(best)}
+        n = held[list(out)].sum()
+        if n < least:
+            for c in np.argsort(((self.centroids - q) ** 2).sum(1), kind="stable").tolist():
+                if c not in out:
+                    out.add(c)
+                    n += held[c]
+                    if n >= least:
+                        break
+        return sorted(out)
 
 
 def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -97,18 +111,19 @@ def fit_lists(sample: np.ndarray, a_list: int = 100, most_lists: int = 1024, spr
     for i, row in enumerate(near.tolist()):
         for j in row:
             graph[j].add(i)  # both ways, so that no centroid is out of the walk's reach
-    out = Lists(c, [sorted(g) for g in graph], 0.0, spread, copies)
+    out = Lists(c, [sorted(g) for g in graph], 0.0, 0.0, spread, copies)
     sample = np.unique(sample, axis=0)  # copies of one vector must not decide the reach
     sample = sample[np.random.default_rng(9).permutation(len(sample))]
     some = np.linspace(0, len(sample) - 1, min(len(sample), 400)).astype(int)
     dq = distances(sample[some], c)
-    row, lst = out.posts(sample)
+    out.floor = float(np.median(dq.min(1)) or np.median(dq) or 1.0)
+    row, lst, _ = out.posts(sample)
     of: dict[int, list[int]] = {}
     for r, v in zip(row.tolist(), lst.tolist(), strict=True):
         of.setdefault(r, []).append(v)
     true = np.argsort(distances(sample[some], sample), axis=1, kind="stable")[:, 1 : k + 1]
-    need = [dq[i, of[j]].min() / max(dq[i].min(), 1e-12) for i in range(len(some)) for j in true[i].tolist()]
-    out.reach = float(max(0.0, np.quantile(need, target) - 1)) if need else 0.0
+    need = [(dq[i, of[j]].min() - dq[i].min()) / max(dq[i].min(), out.floor) for i in range(len(some)) for j in true[i].tolist()]
+    out.reach = float(max(0.0, np.quantile(need, target))) if need else 0.0
     return out
 
 
@@ -120,7 +135,7 @@ def usable(df: DataFrame, vector: str) -> DataFrame:
     return df.select("vec_id", v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & ~zero)
 
 
-def nearest(embeddings: DataFrame, k: int = 10, every: int = 100, sample: int = 20_000, longest: int = 2000, vector: str = "embedding") -> DataFrame:
+def nearest(embeddings: DataFrame, k: int = 10, every: int = 100, sample: int = 20_000, longest: int = 2000, vector: str = "embedding", most_asked: int = 4000) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found for each row whose id is divisible by `every`."""
     spark = embeddings.sparkSession
     good = usable(embeddings, vector)
@@ -136,48 +151,64 @@ def nearest(embeddings: DataFrame, k: int = 10, every: int = 100, sample: int =
 
     def post(b):
         x = np.array(b.column("v").to_pylist()).reshape(-1, dim)
-        row, lst = shared.value.posts(x)
+        row, lst, home = shared.value.posts(x)
         ids = b.column("vec_id").to_numpy()
-        return {"list": lst.astype(np.int32), "vec_id": ids[row], "v": list(x[row])}
+        return {"list": lst.astype(np.int32), "home": home, "vec_id": ids[row], "v": list(x[row])}
 
-    postings = stored(map_slices(good.select(F.col("vec_id").cast("long"), "v"), post, "list int, vec_id long, v array<double>", 512))
-    # Lengths of the lists: as many rows as centroids.
-    index.parts = {r["list"]: -(-r["count"] // longest) for r in postings.groupBy("list").count().collect() if r["count"] > longest}
-    cut = spark.sparkContext.broadcast(index.parts)
+    postings = stored(map_slices(good.select(F.col("vec_id").cast("long"), "v"), post, "list int, home boolean, vec_id long, v array<double>", 512))
+    # Lengths of the lists, and their ids, each counted in one list only: as many rows as centroids.
+    parts = {r["list"]: -(-r["count"] // longest) for r in postings.groupBy("list").count().collect() if r["count"] > longest}
+    homes = postings.filter("home").groupBy("vec_id").agg(F.min("list").alias("list")).groupBy("list").count().collect()
+    counts = np.zeros(len(index.centroids), np.int64)
+    for r in homes:
+        counts[r["list"]] = r["count"]
+    held = spark.sparkContext.broadcast(counts)
 
     def seek(b):
-        out = {"list": [], "part": [], "query_id": [], "q": []}
-        for i, v in zip(b.column("vec_id").to_pylist(), b.column("v").to_pylist(), strict=True):
-            for lst in shared.value.lists_for(np.array(v)):
-                for part in range(cut.value.get(lst, 1)):
-                    for c, x in zip(out, (lst, part, i, v), strict=True):
-                        out[c].append(x)
-        return out
-
-    asked = good.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").cast("long"), "v")
-    asked = map_slices(asked, seek, "list int, part int, query_id long, q array<double>")
-    parts = F.lit(1)
-    if index.parts:
-        table = F.create_map(*[F.lit(x) for kv in index.parts.items() for x in kv])
-        parts = F.coalesce(table[F.col("list")], F.lit(1))
-    dealt = postings.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts).cast("int"))
+        out = [shared.value.lists_for(np.array(v), held.value, k + 1) for v in b.column("q").to_pylist()]
+        return {"query_id": b.column("query_id"), "q": b.column("q"), "lists": out}
+
+    # A repeated row asks once.
+    asked = good.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").cast("long").alias("query_id"), F.col("v").alias("q")).distinct()
+    asked = stored(map_slices(asked, seek, "query_id long, q array<double>, lists array<int>"))
+    asked = asked.select(F.explode("lists").alias("list"), "query_id", "q")
+    # A list that many queries ask is read once for each slice of them.
+    cuts = {r["list"]: -(-r["count"] // most_asked) for r in asked.groupBy("list").count().collect() if r["count"] > most_asked}
+
+    def number(of: dict[int, int]):
+        return F.coalesce(F.create_map(*[F.lit(x) for kv in of.items() for x in kv])[F.col("list")], F.lit(1)) if of else F.lit(1)
+
+    def each(n):
+        return F.explode(F.sequence(F.lit(0), n - 1))
+
+    def one_of(n, *by):
+        return F.pmod(F.xxhash64(*by), n).cast("int")
+
+    asked = asked.select("*", one_of(number(cuts), "query_id", "q").alias("cut"), each(number(parts)).alias("part"))
+    dealt = postings.select("list", "vec_id", "v", one_of(number(parts), "vec_id").alias("part"), each(number(cuts)).alias("cut"))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         x, ids, rows = np.stack(left["v"].to_numpy()), left["vec_id"].to_numpy(), []
+        repeated = len(np.unique(ids)) < len(ids)
         for q, v in zip(right["query_id"], right["q"], strict=True):
             d = np.sqrt(((x - np.asarray(v)) ** 2).sum(1))
             d[ids == q] = np.inf
-            limit = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
-            at = np.flatnonzero((d <= limit) & np.isfinite(d))
-            at = at[np.lexsort((ids[at], d[at]))][:k]
+            if repeated:  # only the nearest row of an id counts
+                order = np.lexsort((ids, d))
+                at = order[np.sort(np.unique(ids[order], return_index=True)[1])]
+                at = at[np.isfinite(d[at])][:k]
+            else:
+                limit = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
+                at = np.flatnonzero((d <= limit) & np.isfinite(d))
+                at = at[np.lexsort((ids[at], d[at]))][:k]
             rows.append(pd.DataFrame({"query_id": q, "vec_id": ids[at], "score": d[at]}))
         return pd.concat(rows, ignore_index=True)
 
-    near = dealt.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInPandas(best, "query_id long, vec_id long, score double")
+    keys = ("list", "part", "cut")
+    near = dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double")
     once = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    top = once.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("top"))
-    return top.select("query_id", F.posexplode("top").alias("p", "x")).select(
-        "query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score")
-    )
+    # Spark keeps k rows of a query in each partition before it brings them together.
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
