@@ -415,6 +415,18 @@ def test_leaks(spark, texts, most):
     assert leaks.leak_digest(d, bench.limit(0), most).filter("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_leaks_by_row(spark, most):
+    """Rows that share an id, or have none, are each judged; an item without an id is found but not named."""
+    bad, good = "one two three four five six seven eight nine ten", "nothing of that kind is in here"
+    d = spark.createDataFrame([(None, bad, 1), (None, good, 2), (7, bad, 3), (7, good, 4), (8, good, 5), (8, good, 5)], "doc_id long, text string, row int")
+    kept = leaks.drop_leaks(d, spark.createDataFrame([(1, bad)], "item_id long, text string"), most)
+    assert kept.columns == d.columns and sorted(r["row"] for r in kept.collect()) == [2, 4, 5, 5]
+    bench = spark.createDataFrame([(None, bad), (1, bad), (None, "kind")], "item_id long, text string")
+    got = sorted((r["n_hit"], r["items"]) for r in leaks.find_leaks(d, bench, most).collect())
+    assert got == [(1, [])] * 4 + [(10, ["1"])] * 2
+
+
 # Pipeline --------------------------------------------------------------------------------------------------------------------
 
 

@@ -8,8 +8,9 @@ are looked up by their own length.
 The windows' hashes are broadcast while their number is at most `most_windows`; a larger benchmark goes through a join of the
 kept hashes and a second join of the windows.
 
-Rows: a null text has no words; an item without words has no window; repeated rows each count, a repeated item_id once; an empty
-benchmark hits nothing; further columns are ignored."""
+Rows: a null text has no words; an item without words has no window; repeated rows each count, a repeated item_id once; an item
+with a null item_id has windows like any other, but no id to be named or counted by; an empty benchmark hits nothing; further
+columns are ignored."""
 
 from __future__ import annotations
 
@@ -37,7 +38,8 @@ def as_long(x: np.ndarray) -> np.ndarray:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, size, window, marks): the hash of each distinct window of each item, with the kept hashes inside it."""
+    """(item_id, size, window, marks): the hash of each distinct window of each item, with the kept hashes inside it; the id is
+    text."""
 
     def run(b):
         out = {"item_id": [], "size": [], "window": [], "marks": []}
@@ -54,8 +56,8 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                     out[c].append(v)
         return out
 
-    kind = benchmark.schema["item_id"].dataType.simpleString()
-    return map_slices(benchmark.select("item_id", "text"), run, f"item_id {kind}, size int, window long, marks array<long>").distinct()
+    items = benchmark.select(F.col("item_id").cast("string"), "text")
+    return map_slices(items, run, "item_id string, size int, window long, marks array<long>").distinct()
 
 
 class Index:
@@ -142,7 +144,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, most_windows: int = 2_000_
                 "doc_id": b.column("doc_id"),
                 "n_words": [x[0] for x in got],
                 "n_hit": [x[1] for x in got],
-                "items": [sorted(map(str, x[2])) for x in got],
+                "items": [sorted(x[2] - {None}) for x in got],
             }
 
         return run
@@ -152,8 +154,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, most_windows: int = 2_000_
 
 
 def find_leaks_joined(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """The same rows for a benchmark of any size; documents are told apart by a row number that is stored with them."""
-    numbered = stored(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
+    """The same rows for a benchmark of any size."""
+    return numbered_leaks(stored(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))), windows).drop("row")
+
+
+def numbered_leaks(numbered: DataFrame, windows: DataFrame) -> DataFrame:
+    """The same rows, with their row numbers: documents are told apart by a number that is stored with them."""
+    numbered = numbered.select("doc_id", "text", "row")
     small = [r["size"] for r in windows.filter(F.col("size") < WINDOW).select("size").distinct().collect()]  # 9 at most
     marks = windows.select(F.explode("marks").alias("mark")).distinct()
 
@@ -188,11 +195,11 @@ def find_leaks_joined(docs: DataFrame, windows: DataFrame) -> DataFrame:
     places = near.join(known, ["size", "window"], "left_semi").groupBy("row").agg(
         F.collect_list(F.struct("start", "size")).alias("places")
     )
-    items = near.join(windows, ["size", "window"]).select("row", F.col("item_id").cast("string").alias("item")).distinct()
+    items = near.join(windows, ["size", "window"]).select("row", F.col("item_id").alias("item")).distinct()
     items = items.groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
 
     def counted(b):
-        out = {"doc_id": b.column("doc_id"), "items": b.column("items"), "n_words": [], "n_hit": []}
+        out = {"row": b.column("row"), "doc_id": b.column("doc_id"), "items": b.column("items"), "n_words": [], "n_hit": []}
         for text, places in zip(b.column("text").to_pylist(), b.column("places").to_pylist(), strict=True):
             n = len(alnum_words(text))
             at = np.array([(p["start"], p["size"]) for p in places or []], np.int64).reshape(-1, 2)
@@ -200,11 +207,11 @@ def find_leaks_joined(docs: DataFrame, windows: DataFrame) -> DataFrame:
             out["n_hit"].append(covered(at[:, 0], at[:, 1], n) if len(at) else 0)
         return out
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = numbered.schema["doc_id"].dataType.simpleString()
     return map_slices(
         numbered.join(places, "row", "left").join(items, "row", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>"))),
         counted,
-        f"doc_id {kind}, n_words long, n_hit long, items array<string>",
+        f"row long, doc_id {kind}, n_words long, n_hit long, items array<string>",
     )
 
 
@@ -221,11 +228,12 @@ def leak_digest(docs: DataFrame, benchmark: DataFrame, most_windows: int = 2_000
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, most_windows: int = 2_000_000) -> DataFrame:
     """docs, in the same columns, without those in which a window of the benchmark occurs.  Where the benchmark is small
-    the rows are filtered as they are read; else by the ids found."""
+    the rows are filtered as they are read; else by their stored row numbers."""
     windows = stored(item_windows(benchmark))
     if windows.limit(most_windows + 1).count() > most_windows:
-        bad = find_leaks_joined(docs, windows).filter("n_hit > 0").select(F.col("doc_id").alias("__bad")).distinct()
-        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+        numbered = stored(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")))
+        bad = numbered_leaks(numbered.select("doc.doc_id", "doc.text", "row"), windows).filter("n_hit > 0").select("row")
+        return numbered.join(bad, "row", "left_anti").select("doc.*")
     shared = docs.sparkSession.sparkContext.broadcast(Index(windows.collect()))
 
     def run(batches):
