@@ -356,6 +356,32 @@ def test_near_groups(spark, texts, words, percent):
     assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {i for i in range(len(own)) if want[i] == i} | {None}
 
 
+def test_drop_near_by_row(spark):
+    """One row of each group stays, whatever ids its rows share or lack, and no other row goes with them."""
+    a, b, c, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abce")
+    rows = [(5, a + " z"), (3, a), (3, a), (3, a + " y"), (5, b), (None, c), (None, c), (None, c + " z"), (9, e), (None, e), (None, ""), (4, None), (4, None)]
+    d = spark.createDataFrame([(i, t, k, 0) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row int, doc int")
+    kept = near.drop_near(d)
+    assert kept.columns == d.columns
+    got = [(r["doc_id"], r["text"], r["row"]) for r in kept.collect()]
+    left = sorted(k for _, _, k in got)
+    assert len([k for k in left if k in (0, 1, 2, 3)]) == 1 and len([k for k in left if k in (5, 6, 7)]) == 1
+    assert set(left) - {1, 2, 3, 5, 6, 7} == {4, 8, 10, 11, 12} and all(rows[k] == (i, t) for i, t, k in got)
+    many = spark.createDataFrame([(3, a)] * 20 + [(5, a + " z"), (5, b)], "doc_id long, text string")
+    groups = near.near_groups(many).collect()
+    assert len(groups) == 22 and {(r["doc_id"], r["component_id"]) for r in groups} == {(3, 3), (5, 3), (5, 5)}
+
+
+def test_repeated_rows_are_compared_once(spark):
+    a = " ".join(f"a{i}" for i in range(40))
+    d = spark.createDataFrame([(3, a)] * 20 + [(5, a + " z")] * 20, "doc_id long, text string")
+    sets = near.shingle_sets(d, 5)
+    classes = sets.groupBy(F.col("h1").alias("node"), "h2", "n").agg(F.min("doc_id").alias("rep"))
+    x, y = sorted(r["node"] for r in classes.collect())
+    pairs = spark.createDataFrame([(x, y)], "a long, b long")
+    assert near.verified(pairs, classes, d, 5, 80, True).count() == 1
+
+
 def test_near_groups_of_nothing(spark):
     assert near.near_groups(docs(spark, [])).count() == 0
 

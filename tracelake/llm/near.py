@@ -173,8 +173,9 @@ def components(links: DataFrame) -> DataFrame:
             return now
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """pairs (a, b) with the sizes of both sets, the elements in which they differ, and whether they link; from the whole sets."""
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, repeated: bool) -> DataFrame:
+    """pairs (a, b) with the sizes of both sets, the elements in which they differ, and whether they link; from the whole sets.
+    repeated: rows may share an id, so that a set may be read several times."""
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = need.join(classes, "node").select("node", "rep", "h2")
 
@@ -188,7 +189,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
         return out
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
-    sets = stored(map_slices(texts, run, "node long, `set` array<long>"))
+    sets = map_slices(texts, run, "node long, `set` array<long>")
+    sets = stored(sets.dropDuplicates(["node"]) if repeated else sets)
     one = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
     two = one.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
     apart = F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))
@@ -232,16 +234,18 @@ def candidates(family: DataFrame, percent: int) -> DataFrame:
     return share.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: the smallest doc_id that links of at least that similarity reach."""
+def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, repeated: bool | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row: the smallest doc_id that links of at least that similarity reach.
+    repeated: whether rows share an id, if that is known."""
     sets = stored(shingle_sets(docs, words))
     known = sets.filter("n > 0 and doc_id is not null")
+    repeated = known.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0 if repeated is None else repeated
     classes = stored(known.groupBy(F.col("h1").alias("node"), "h2", "n").agg(F.min("doc_id").alias("rep")))
     # One shuffle, by signature: the hubs are found and joined back where the rows already are.
     rows = signature_rows(docs, words, percent).filter("node is not null and sig is not null").repartition("sig")
     shared = rows.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("sig", "hub")
     pairs = stored(rows.join(shared, "sig").filter("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    tried = stored(verified(pairs, classes, docs, words, percent))
+    tried = stored(verified(pairs, classes, docs, words, percent, repeated))
     links = tried.filter("link").select("a", "b")
     found = components(links)
 
@@ -252,7 +256,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     family = family.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("nb").alias("n"), cb.alias("comp"), (ca != cb).alias("out"), "apart")
     more = stored(candidates(family, percent))
     if more.limit(1).count():
-        again = verified(more, classes, docs, words, percent).filter("link").select("a", "b")
+        again = verified(more, classes, docs, words, percent, repeated).filter("link").select("a", "b")
         found = components(stored(links.union(again)))
 
     comp = classes.join(found, "node", "left").select("node", "h2", "n", "rep", F.coalesce("comp", "node").alias("comp"))
@@ -264,6 +268,12 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
 
 def drop_near(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs, in the same columns: of each group one document stays, that with the smallest id; rows without an id all stay."""
-    gone = near_groups(docs, words, percent).filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """docs, in the same columns: of each group one row stays, that with the smallest id, and the first of these; rows without an
+    id are grouped like the others and come last."""
+    numbered = stored(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")))
+    groups = stored(near_groups(numbered.select(F.col("row").alias("doc_id"), "doc.text"), words, percent, repeated=False))
+    of = groups.select(F.col("doc_id").alias("row"), "component_id")
+    ids = numbered.select("row", F.col("doc.doc_id").alias("id"))
+    first = of.join(ids, "row").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    gone = stored(of.join(first.select(F.col("first.row").alias("row")), "row", "left_anti").select("row"))
+    return numbered.join(gone, "row", "left_anti").select("doc.*")
