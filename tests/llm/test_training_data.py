@@ -142,6 +142,30 @@ def test_main_text():
         assert isinstance(pages.main_text(odd), str)
 
 
+LEAD = "A first long paragraph, with marks. And more of it here, too."
+REST = "Another paragraph, as long as that one. It goes on, and on."
+
+
+@pytest.mark.parametrize(
+    "wrap",
+    ['<html style="overflow:hidden">{}', '<body class="overflow-hidden">{}', '<article data-x="hidden menu">{}</article>', '<main style="overflow: hidden">{}</main>', '<div class="content has-sidebar">{}</div>', '<div class="with-menu"><div id="page-header-search">{}</div></div>', "<body style='display:none'>{}"],
+)
+def test_wrappers_keep_their_text(wrap):
+    assert pages.main_text(wrap.format(f"<p>{LEAD}</p><p>{REST}</p>")) == f"{LEAD}\n{REST}"
+
+
+def test_hidden_elements_and_marked_parts_go():
+    for gone in ("hidden", "hidden=''", "aria-hidden='true'", "style='color:red; display : none'", "style=visibility:hidden", "class=sidebar"):
+        page = f"<body><div class='content with-menu'><p>{LEAD}</p><p>{REST}</p><div {gone}><p>Not this, please.</p></div></div>"
+        assert pages.main_text(page) == f"{LEAD}\n{REST}", gone
+
+
+def test_text_beside_the_inner_element_stays():
+    inner = "".join(f"<p>{REST}</p>" for _ in range(15))
+    page = f"<body><div class=menu><a>x</a></div><div class=page><h1>The heading, here</h1><section>{LEAD}</section><div class=inner>{inner}</div></div><div class=footer>y</div>"
+    assert pages.main_text(page) == "\n".join(["The heading, here", LEAD, *[REST] * 15])
+
+
 def test_extract(spark):
     d = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (1, "u", PAGE, "x")], "page_id long, url string, html string, text string")
     rows = pages.extract_text(d).collect()

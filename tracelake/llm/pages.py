@@ -2,9 +2,10 @@
 
 Each run of text belongs to the path of tags from the root to it.  Over a page, every path gets its text length, its punctuation
 marks and its number of runs; the ratios of length and of punctuation to runs are smoothed with those of the neighbouring paths
-in page order, fused by multiplication, and paths above a share of the page's deviation are content.  The element that holds
-most content (an article or main element, if there is one) is then taken whole, without the paths whose tags or class names mark
-menus, forms, notices and the like; so that short paragraphs of an article stay.
+in page order, fused by multiplication, and paths above a share of the page's deviation are content.  The lowest element around
+all content (or the article or main element that holds most, if there is one) is then taken whole, without the paths whose tags or
+class names mark menus, forms, notices and the like; so that short paragraphs of an article stay.  A class name marks no element
+that holds most of the content, and html and body are never hidden.
 
 Rows: a null page counts as empty and gives an empty text; repeated rows are each treated; further columns are ignored."""
 
@@ -37,13 +38,22 @@ MARKS = frozenset(
 )
 CLOSES = {"p": BLOCK - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-GONE = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?¡¿。、，！？؛،…]")
 
 
+def attributes(text: str) -> dict[str, str]:
+    """Name -> value of a tag's attributes; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
 class Run:
-    """Text between two tags: the stack of (tag, element number, side flag) above it and the block it belongs to."""
+    """Text between two tags: the stack of (tag, element number, side flag) above it and the block it belongs to.  Flags: 2 is
+    never shown, 1 is no content by its tag or as it is hidden, -1 is none by its class name."""
 
     __slots__ = ("block", "stack", "text")
 
@@ -93,11 +103,15 @@ def runs_of(page: str) -> list[Run]:
         number += 1
         flag = 2 if tag in HIDDEN else 1 if tag in SIDE else 0
         if m[3]:
-            words = {w for x in NAMES.finditer(m[3]) for w in re.split(r"[^a-z0-9]+", (x[2] or x[3] or x[4] or "").lower())}
-            if tag not in ("html", "body", "article", "main") and words & MARKS:
-                flag = max(flag, 1)
-            if GONE.search(m[3]):
-                flag = max(flag, 1)
+            has = attributes(m[3])
+            if tag not in ("html", "body"):
+                hidden = has.get("hidden", "false").lower() != "false" or has.get("aria-hidden", "").strip().lower() == "true"
+                if hidden or GONE.search(has.get("style", "")):
+                    flag = max(flag, 1)
+            if not flag and tag not in ("html", "body", "article", "main"):
+                words = {w for x in ("class", "id", "role") for w in re.split(r"[^a-z0-9]+", has.get(x, "").lower())}
+                if words & MARKS:
+                    flag = -1
         if tag in ("script", "style", "textarea", "title"):  # their text holds no tags
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = close.end() if close else n
@@ -136,30 +150,50 @@ def content_paths(runs: list[Run], share: float) -> dict[tuple, float]:
     return {p: v for p, v in fused.items() if v > 0 and v >= limit}
 
 
+def holdings(runs: list[Run], good: dict[tuple, float]) -> tuple[dict[int, int], int]:
+    """Characters of content in each element, and in all."""
+    held: dict[int, int] = defaultdict(int)
+    total = 0
+    for r in runs:
+        if tuple((s[0], s[2]) for s in r.stack) in good and (n := len(r.text.strip())):
+            total += n
+            for _, number, _ in r.stack:
+                held[number] += n
+    return held, total
+
+
+def with_flags(runs: list[Run], flag) -> list[Run]:
+    """The runs with flag(element number, flag) in place of each flag."""
+    new: dict[tuple, tuple] = {}
+    for r in runs:
+        if r.stack not in new:
+            new[r.stack] = tuple((tag, number, flag(number, f)) for tag, number, f in r.stack)
+    return [Run(r.text, new[r.stack], r.block) for r in runs]
+
+
+def spared(runs: list[Run], share: float) -> list[Run]:
+    """The runs without the class-name flags of elements that hold most of what would be content if there were none of these."""
+    if not any(s[2] < 0 for r in runs for s in r.stack):
+        return runs
+    loose = with_flags(runs, lambda _, f: max(f, 0))
+    held, total = holdings(loose, content_paths(loose, share))
+    return with_flags(runs, lambda e, f: 0 if f < 0 and 2 * held.get(e, 0) > total else f)
+
+
 def main_text(page: str | None, share: float = 0.2) -> str:
     """The article's blocks, joined by line ends; empty if there is none."""
-    runs = runs_of(page or "")
+    runs = spared(runs_of(page or ""), share)
     good = content_paths(runs, share)
     if not good:
         return ""
-    held: dict[int, float] = defaultdict(float)  # content in each element
-    tag_of, depth = {}, {}
-    for r in runs:
-        v = good.get(tuple((s[0], s[2]) for s in r.stack))
-        if v and not r.text.isspace():
-            for d, (tag, number, flag) in enumerate(r.stack):
-                if flag:
-                    break
-                held[number] += len(r.text.strip())
-                tag_of[number], depth[number] = tag, d
-    roots = [e for e, t in tag_of.items() if t in ("article", "main")]
+    held, total = holdings(runs, good)
+    place = {number: (tag, d) for r in runs for d, (tag, number, _) in enumerate(r.stack) if number in held}
+    roots = [e for e, (t, _) in place.items() if t in ("article", "main")]
     if roots:
-        root = max(roots, key=lambda e: (held[e], -depth[e]))
-    elif held:
-        most = max(held.values())
-        root = max((e for e, v in held.items() if v >= 0.9 * most and tag_of[e] in BLOCK - {"p"}), key=lambda e: depth[e], default=None)
+        root = max(roots, key=lambda e: (held[e], -place[e][1]))
     else:
-        root = None
+        around = (e for e, v in held.items() if v == total and place[e][0] in BLOCK - {"p"})
+        root = max(around, key=lambda e: place[e][1], default=None)
     blocks: dict[int, list[str]] = {}
     for r in runs:
         numbers = [s[1] for s in r.stack]
