@@ -40,6 +40,32 @@ def test_query(spark, duck, name):
     assert plain([tuple(r) for r in df.collect()], df.columns) == plain(want.fetchall(), columns)
 
 
+def test_cpu_sets_of_the_whole_view(spark):
+    got = sorted(map(tuple, Q.QUERIES["k20_cpu_sets_whole"](spark, SF).select("module", "addr", "cpus").collect()), key=repr)
+    rows = Q.Views(spark, SF).fx_probe_addr.select("module", "addr").collect()
+    want = [(r["module"], r["addr"], ",".join(dict.fromkeys(str(c) for c in (*range(r["addr"] % 7, r["addr"] % 7 + 3), r["addr"] % 5)))) for r in rows]
+    assert len({r["addr"] % 10 for r in rows}) > 1 and got == sorted(want, key=repr)
+
+
+def test_findings_of_the_whole_tree(spark):
+    import re
+
+    def walk(rules, row, path=""):
+        for r in rules:
+            try:
+                on = eval(re.sub(r"(?<![<>])=", "==", r.precondition).replace("true", "True"), {}, row)
+            except TypeError:  # a null figure
+                on = False
+            if on:
+                if r.finding:
+                    yield path + r.name, r.finding.format(**row)
+                yield from walk(r.sub_rules, row, f"{path}{r.name}/")
+
+    want = [(c["collection_id"], *x) for c in Q.context(Q.Views(spark, SF)).collect() for x in walk(Q.L.RULES, Q.L.CONFIG | c.asDict())]
+    got = [tuple(r) for r in Q.QUERIES["l4_findings_whole"](spark, SF).select("collection_id", "path", "finding").collect()]
+    assert sorted(got) == sorted(want) and {p for _, p, _ in got} - {"diagnosis/OFF-CPU", "diagnosis/ON-CPU"}
+
+
 def test_entry_imports_without_llm(spark):
     """The driver may delete the training-data subpackage; the entry must still list the rest."""
     import os

@@ -472,8 +472,17 @@ add(
  coalesce((select t from txt where side = 'l' and txt.collection_id = c.collection_id), 'None') as leakage_cores_str, coalesce((select t from txt where side = 'a' and txt.collection_id = c.collection_id), 'None') as absent_cores_str from (select distinct collection_id from cls) c""",
 )
 add("k19_expected_means", lambda v: K.expected_means(v.fx_sar_cpu, "0-2,5"), CORE + " select collection_id, round(avg(pct_total), 6) as total_cpu, round(avg(pct_iowait), 6) as avg_iowait from core where cpu in ('0', '1', '2', '5') group by 1")
+
+
+def cpu_sets(rows: DataFrame) -> DataFrame:
+    text = F.concat_ws(",", F.concat_ws("-", (F.col("addr") % 7).cast("string"), (F.col("addr") % 7 + 2).cast("string")), F.lit("x"), (F.col("addr") % 5).cast("string"))
+    return rows.select("module", "addr", F.array_join(T.cpu_set(text), ",").alias("cpus"))
+
+
+# The SQL of k20_cpu_sets and l4_findings covers a part; the whole is registered without SQL and tested against brute force.
+add("k20_cpu_sets_whole", lambda v: cpu_sets(v.fx_probe_addr))
 add(
-    "k20_cpu_sets", lambda v: v.fx_probe_addr.filter("addr % 10 = 1").select("module", "addr", F.array_join(T.cpu_set(F.concat_ws(",", F.concat_ws("-", (F.col("addr") % 7).cast("string"), (F.col("addr") % 7 + 2).cast("string")), F.lit("x"), (F.col("addr") % 5).cast("string"))), ",").alias("cpus")),
+    "k20_cpu_sets", lambda v: cpu_sets(v.fx_probe_addr.filter("addr % 10 = 1")),
     """select module, addr, array_to_string(list_concat([cast(addr % 7 as string), cast(addr % 7 + 1 as string), cast(addr % 7 + 2 as string)], case when addr % 5 between addr % 7 and addr % 7 + 2 then [] else [cast(addr % 5 as string)] end), ',') as cpus from fx_probe_addr where addr % 10 = 1""",
 )
 add(
@@ -558,6 +567,7 @@ add(
     CTX + " " + " union all ".join(f"select collection_id, '{p}' as path, coalesce({c}, false) as active from ctx" for p, c in PATHS_SQL.items()),
 )
 add("l4_findings", lambda v: L.findings(L.evaluate(context(v)))["findings"].filter(F.col("path").isin("diagnosis/OFF-CPU", "diagnosis/ON-CPU")).select(CID, "path", "finding"), CTX + " select collection_id, case when total_cpu <= 50 then 'diagnosis/OFF-CPU' else 'diagnosis/ON-CPU' end as path, concat(case when total_cpu <= 50 then 'OFF' else 'ON' end, printf('-CPU: load %.2f%%, threshold 50%%', total_cpu)) as finding from ctx")
+add("l4_findings_whole", lambda v: L.findings(L.evaluate(context(v)))["findings"].select(CID, "path", "finding"))
 add("l5_audit", lambda v: L.findings(L.evaluate(context(v)))["audit"].select(CID, "path", "finding"), AFF.replace("> 15 then 1", "> 40 then 1") + """, r as (select c.collection_id, (select count(*) from leak l where l.collection_id = c.collection_id) as nl, (select count(*) from absent a where a.collection_id = c.collection_id) as na, coalesce((select t from txt where side = 'l' and txt.collection_id = c.collection_id), 'None') as lt, coalesce((select t from txt where side = 'a' and txt.collection_id = c.collection_id), 'None') as tt from (select distinct collection_id from cls) c)
 select collection_id, 'affinity audit' as path, 'affinity is checked' as finding from r union all select collection_id, 'affinity audit/affinity holds', 'the busy cores are the expected ones' from r where nl = 0 and na = 0
 union all select collection_id, 'affinity audit/leakage', concat(cast(nl as string), ' unexpected busy cores: ', lt) from r where nl > 0 union all select collection_id, 'affinity audit/absence', concat(cast(na as string), ' expected cores are not busy: ', tt) from r where na > 0""")
