@@ -126,6 +126,17 @@ def test_pii_digest_and_redaction(spark, texts):
     assert got[0]["text"] is None and got[7]["text"] == texts[7]
 
 
+def test_accounts_in_all_spellings():
+    for cue in ("Account No", "Account Number", "ACCOUNT number", "Passport No", "Tax ID", "Iban No", "iBAN", "Acct"):
+        t = f"\u0130\u00df {cue}: 12345678."
+        assert [t[a:b][-8:] for a, b in pii.find_spans(t)["account"]] == ["12345678"], cue
+    for iban in ("GB29 NWBK 6016 1331 9268 19", "NL91 ABNA 0417 1643 00", "IE29 AIBK 9311 5212 3456 78", "IT60 X054 2811 1010 0000 0123 456", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "DE44500105175407324931"):
+        for cue in ("IBAN ", "Iban No: "):
+            t = f"pay to {cue}{iban} now"
+            assert [t[a:b] for a, b in pii.find_spans(t)["account"]] == [iban]
+    assert pii.find_spans("IBAN GB28 NWBK 6016 1331 9268 19")["account"] == []
+
+
 # Pages -----------------------------------------------------------------------------------------------------------------------
 
 PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><header>Site</header><nav><ul><li><a href=/>Home</a></li></ul></nav>

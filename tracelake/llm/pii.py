@@ -17,7 +17,14 @@ KINDS = ("email", "ip", "card", "phone")
 #: Kinds that the method adds to the four base kinds.
 MORE = ("url", "account")
 #: Cues in front of an account or identity number.
-CUES = ("iban", "account no", "account number", "acct", "passport no", "passport number", "ssn", "tax id")
+CUES = ("iban", "iban no", "iban number", "account no", "account number", "acct", "passport no", "passport number", "ssn", "tax id")
+#: Characters of an IBAN by country.
+IBAN = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 "
+    "FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 "
+    "ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 "
+    "ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+).split()}
 
 DIGITS = frozenset("0123456789")
 WORD = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
@@ -41,13 +48,17 @@ def automaton():
         a.add_word("+", ("plus", 1))
         a.add_word("://", ("scheme", 3))
         for cue in CUES:
-            for form in {cue, cue.upper(), cue.capitalize()}:
-                a.add_word(form, ("cue", len(form)))
+            a.add_word(cue, ("cue", len(cue)))
         a.make_automaton()
         _automaton = a
     return _automaton
 
 
+def lowered(text: str) -> str:
+    """A-Z in lower case, all else as it is, so that offsets stay."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def run_end(text: str, i: int, chars: frozenset) -> int:
     n = len(text)
     while i < n and text[i] in chars:
@@ -117,6 +128,26 @@ def phone_at(text: str, plus: int) -> tuple[int, int] | None:
     return (plus, end) if end >= plus + 4 and text[end - 1] in DIGITS else None
 
 
+def iban_at(text: str, cue_end: int) -> tuple[int, int] | None:
+    """After a cue: up to three signs, then an IBAN of its country's length that passes its check, with single blanks or hyphens."""
+    at, n = cue_end, len(text)
+    while at < n and at < cue_end + 3 and text[at] in " :#.":
+        at += 1
+    start, signs = at, []
+    size = IBAN.get(text[at : at + 2].upper(), 0)
+    while len(signs) < size:
+        if at < n and signs and text[at] in " -":
+            at += 1
+        if at >= n or text[at] not in WORD:
+            return None
+        signs.append(text[at])
+        at += 1
+    if not size or at < n and text[at] in WORD:
+        return None
+    number = "".join(str(int(c, 36)) for c in signs[4:] + signs[:4])
+    return (start, at) if int(number) % 97 == 1 else None
+
+
 def account_at(text: str, cue_end: int) -> tuple[int, int] | None:
     """After a cue: up to three signs, then 6 to 34 letters, digits and single blanks or hyphens, of them 6 digits at least."""
     at = cue_end
@@ -149,7 +180,7 @@ def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
         return out
     done = dict.fromkeys(out, 0)  # end of the last match of each kind, valid or not
     run = 0  # end of the digits that the last digit anchor began
-    for last, (what, size) in automaton().iter(text):
+    for last, (what, size) in automaton().iter(lowered(text)):
         at = last - size + 1
         if what == "digit":
             if at < run:
@@ -178,7 +209,7 @@ def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
             if at >= done["url"] and (m := url_at(text, at, done["url"])):
                 done["url"] = m[1]
                 out["url"].append(m)
-        elif at >= done["account"] and (at == 0 or text[at - 1] not in WORD) and (m := account_at(text, last + 1)):
+        elif at >= done["account"] and (at == 0 or text[at - 1] not in WORD) and (m := iban_at(text, last + 1) or account_at(text, last + 1)):
             done["account"] = m[1]
             out["account"].append(m)
     return out
