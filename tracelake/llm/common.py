@@ -98,20 +98,33 @@ def map_slices(
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share.  Where none is set, only a session on one machine gets a temporary one."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="tracelake-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there, and a lost executor costs no rework."""
+    """df written to the shared folder and read again: its lineage ends there, and a lost executor costs no rework.  Tables stay
+    until discard() or the end of the folder, as what an operator returns may still read them."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tracelake-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "stored_at", None):
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def remainder(doc_id: Column, n: int) -> Column:

@@ -20,13 +20,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cache
 from itertools import combinations
-from math import comb, exp, sqrt
+from math import comb, exp, factorial, sqrt
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import blank_words, gram_hashes, map_slices, mixed, stored, word_hashes
+from tracelake.llm.common import blank_words, discard, gram_hashes, map_slices, mixed, stored, word_hashes
 
 
 @dataclass(frozen=True)
@@ -38,15 +38,21 @@ class Scheme:
     k2: int
     n2: int
     spare: int
+    least: int
 
 
-def spare_parts(low: int, base: int, k2: int, n2: int) -> tuple[int, float]:
-    """How many parts to add so that few sets of `low` elements have more parts than that with an empty choice; their expected
-    number of such parts over the spare ones."""
+def poisson(n: int, mean: float) -> float:
+    return exp(-mean) * mean**n / factorial(n)
+
+
+def spare_parts(low: int, base: int, k2: int, n2: int, least: int) -> tuple[int, float]:
+    """How many parts to add so that few sets of `low` elements have more parts than that with a choice of under `least`
+    elements; their expected number of such parts over the spare ones."""
     if base == 1:
         return 0, 0.0
-    for m in range(base // 3 + 3):
-        few = (base + m) * min(1.0, comb(n2, k2) * exp(-low / (base + m) * (n2 - k2) / n2))
+    for m in range(base + 3):
+        held = low / (base + m) * (n2 - k2) / n2
+        few = (base + m) * min(1.0, comb(n2, k2) * sum(poisson(i, held) for i in range(least)))
         if m >= few + 3 * sqrt(few) - 0.3:
             break
     return m, max(0.0, few + 3 * sqrt(few) - 0.3 - m)
@@ -62,22 +68,27 @@ def schemes(percent: int, shortest: int) -> tuple[Scheme, Scheme]:
 
 
 @cache
-def scheme(percent: int, low: int, band: int) -> Scheme:
+def scheme(percent: int, low: int, band: int, shared: int = 60, sharers: int = 8) -> Scheme:
+    """The cheapest scheme of a band.  A chance signature costs two sets, and is one that holds none but elements that unrelated
+    texts have in common: taken as `shared` of a set's elements, with so many `sharers` in its bucket."""
     high = 100 * low // percent
     k = (100 - percent) * 2 * high // (100 + percent)
-    alike = min(0.8, 12 / low)  # share of elements that unrelated texts may have in common
+    small = max(1, percent * low // 100)  # sets of the band before have partners here
+    alike = min(0.8, shared / low)
     best = None
     for k2 in range(min(k, 3) + 1):
         for n2 in range(k2 + 1, k2 + 5) if k2 else (1,):
-            base = k // (k2 + 1) + 1
-            m, over = spare_parts(low, base, k2, n2)
-            n1 = base + m
-            made, held = n1 * comb(n2, k2), low / n1 * (n2 - k2) / n2
-            wrong = made * alike**held + over  # a price for chance signatures
-            if not k2 or made <= max(70, 0.4 * low):
-                key = (max(0.01, wrong), made)
-                if best is None or key < best[0]:
-                    best = key, Scheme(band, low, high, n1, k2, n2, m)
+            for least in (1, 2, 3):
+                base = k // (k2 + 1) + 1
+                m, over = spare_parts(small, base, k2, n2, least)
+                n1 = base + m
+                made, held = n1 * comb(n2, k2), low / n1 * (n2 - k2) / n2
+                wrong = made * (exp(-held * (1 - alike)) - sum(poisson(i, held) * alike**i for i in range(least))) + over
+                if k2 and made > max(70, 0.6 * low) or least > 1 and over:
+                    continue
+                price = made + sharers * wrong * low
+                if best is None or price < best[0]:
+                    best = price, Scheme(band, low, high, n1, k2, n2, m, least)
     return best[1]
 
 
@@ -104,18 +115,19 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
 def part_signatures(s: np.ndarray, x: Scheme) -> np.ndarray:
     cells = x.n1 * x.n2
     cell = (mixed(s ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(cells)).astype(np.int64)
-    order = np.argsort(cell, kind="stable")
-    there, first = np.unique(cell[order], return_index=True)
-    sums, full = np.zeros(cells, np.uint64), np.zeros(cells, bool)
-    sums[there], full[there] = np.add.reduceat(mixed(s)[order], first), True
-    sums, full = sums.reshape(x.n1, x.n2), full.reshape(x.n1, x.n2)
-    empties = (full.sum(1) <= x.k2).sum() > x.spare
-    out, part = [], np.arange(x.n1, dtype=np.uint64)
+    held = np.bincount(cell, minlength=cells)
+    first = np.cumsum(held) - held
+    sums = np.add.reduceat(np.append(mixed(s)[np.argsort(cell, kind="stable")], np.uint64(0)), first)
+    sums[held == 0] = 0
+    sums, held = sums.reshape(x.n1, x.n2), held.reshape(x.n1, x.n2)
+    values, counts, part = [], [], np.arange(x.n1, dtype=np.uint64)
     for c, pieces in enumerate(combinations(range(x.n2), x.n2 - x.k2)):
         tag = part * np.uint64(2654435761) + np.uint64((x.band * 131 + c) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        v = mixed(sums[:, pieces].sum(1, dtype=np.uint64) + mixed(tag))
-        out.append(v if empties else v[full[:, pieces].any(1)])
-    return np.concatenate(out)
+        values.append(mixed(sums[:, pieces].sum(1, dtype=np.uint64) + mixed(tag)))
+        counts.append(held[:, pieces].sum(1))
+    full = np.stack(counts) >= x.least
+    values = np.stack(values)
+    return values.ravel() if (~full.all(0)).sum() > x.spare else values[full]
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -163,13 +175,16 @@ def components(links: DataFrame) -> DataFrame:
     """(node, comp) of every node in links (a, b): the smallest node that they reach.  Labels go to the neighbours, then jump."""
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct())
     now = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")))
+    last = now
     while True:
         lower = both.join(now.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         new = now.join(lower, "node").select("node", "comp", F.least("comp", "near").alias("to"))
         jump = now.select(F.col("node").alias("to"), F.col("comp").alias("far"))
         after = stored(new.join(jump, "to").select("node", F.least("to", "far").alias("comp"), (F.col("comp") != F.least("to", "far")).alias("moved")))
-        now = after.select("node", "comp")
+        discard(last)
+        now, last = after.select("node", "comp"), after
         if not after.filter("moved").limit(1).count():
+            discard(both)
             return now
 
 
@@ -196,7 +211,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     apart = F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))
     d = two.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), apart.alias("apart"))
     total = F.col("na") + F.col("nb")
-    return d.withColumn("link", F.size("apart") * (100 + percent) <= (100 - percent) * total)
+    out = stored(d.withColumn("link", F.size("apart") * (100 + percent) <= (100 - percent) * total))
+    discard(sets)
+    return out
 
 
 def candidates(family: DataFrame, percent: int) -> DataFrame:
@@ -231,7 +248,9 @@ def candidates(family: DataFrame, percent: int) -> DataFrame:
     few = d.filter("out and d + any <= most").select("hub", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("d").alias("da"), "most")
     light = d.select("hub", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("d").alias("db"))
     near = few.join(light, "hub").filter((F.col("da") + F.col("db") <= F.col("most")) & sized).select("a", "b")
-    return share.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    out = stored(share.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    discard(d)
+    return out
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, repeated: bool | None = None) -> DataFrame:
@@ -245,7 +264,8 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, repeated: bo
     rows = signature_rows(docs, words, percent).filter("node is not null and sig is not null").repartition("sig")
     shared = rows.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("sig", "hub")
     pairs = stored(rows.join(shared, "sig").filter("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    tried = stored(verified(pairs, classes, docs, words, percent, repeated))
+    tried = verified(pairs, classes, docs, words, percent, repeated)
+    discard(pairs)
     links = tried.filter("link").select("a", "b")
     found = components(links)
 
@@ -254,10 +274,12 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, repeated: bo
     family = tried.join(comp_b, "b", "left").join(comp_a, "a", "left")
     ca, cb = F.coalesce("ca", "a"), F.coalesce("cb", "b")
     family = family.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("nb").alias("n"), cb.alias("comp"), (ca != cb).alias("out"), "apart")
-    more = stored(candidates(family, percent))
+    more = candidates(family, percent)
     if more.limit(1).count():
-        again = verified(more, classes, docs, words, percent, repeated).filter("link").select("a", "b")
-        found = components(stored(links.union(again)))
+        again = verified(more, classes, docs, words, percent, repeated)
+        found = components(links.union(again.filter("link").select("a", "b")))
+        discard(again)
+    discard(tried, more)
 
     comp = classes.join(found, "node", "left").select("node", "h2", "n", "rep", F.coalesce("comp", "node").alias("comp"))
     least = comp.groupBy("comp").agg(F.min("rep").alias("component_id"))
