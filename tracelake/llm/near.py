@@ -6,11 +6,14 @@ elements at most; each part is hashed into n2 pieces, and a signature stands for
 share a signature.  A choice without elements says nothing; such signatures are left out where the set has at most `spare`
 parts that can give one, as another part then gives a shared signature with elements, and kept for the few other sets.
 
-Equal sets are one class.  In the bucket of a signature each class is compared with the smallest one, its hub, exactly; what two
-classes of a bucket may still link over is then found from their differences to the hub: with D(x) the elements in which x and
-the hub differ, x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| elements.  So classes in different components can only link
-if they share differences, and these are joined by their rarest ones (as many as the bound asks for) and compared exactly.  No
-link between components is lost, and like texts cost as many comparisons as a bucket has members.
+Equal sets are one class.  In the bucket of a signature each class is compared with the smallest one, its hub, exactly if it may
+be near: a parity bitmap of each set gives a lower bound of the elements in which two differ.  What two classes of a bucket may
+still link over depends on how far from the hub they are.  Near ones: with D(x) the elements in which x and the hub differ, x and
+y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| elements, so that classes in different components can only link if they share
+differences; these are joined by their rarest ones.  Far ones have little to do with the hub; they are joined by the rarest of
+their own elements.  Both take as many of the rarest as the bound asks for, and compare what shares one exactly.  As two that
+link are about as far from the hub as each other, each linking pair stands on one side at least (`cut`).  No link between
+components is lost, and like texts cost as many comparisons as a bucket has members.
 
 Rows: a null or blank text has an empty set, links with nothing and is its own component; a null doc_id gets a null component;
 repeated rows are copies; an empty table gives no rows; further columns are ignored."""
@@ -23,7 +26,7 @@ from itertools import combinations
 from math import comb, exp, factorial, sqrt
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import blank_words, discard, gram_hashes, map_slices, mixed, stored, word_hashes
@@ -130,19 +133,33 @@ def part_signatures(s: np.ndarray, x: Scheme) -> np.ndarray:
     return values.ravel() if (~full.all(0)).sum() > x.spare else values[full]
 
 
+def parity_bits(s: np.ndarray) -> bytes:
+    """A bit for each remainder of elements, odd or even in number; at least four times as many bits as elements."""
+    size = max(64, 1 << (4 * len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the elements in which two sets differ; the longer bitmap is folded to the shorter."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    both = np.bitwise_xor.reduce(x.reshape(-1, size)) ^ np.bitwise_xor.reduce(y.reshape(-1, size))
+    return int(np.bitwise_count(both).sum())
+
+
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, h1, h2) of each document: its set's size and two hashes of it."""
+    """(doc_id, n, h1, h2, bits) of each document: its set's size, two hashes of it and its parity bitmap."""
 
     def run(b):
-        out = {"doc_id": b.column("doc_id"), "n": [], "h1": [], "h2": []}
+        out = {"doc_id": b.column("doc_id"), "n": [], "h1": [], "h2": [], "bits": []}
         for t in b.column("text").to_pylist():
             s = shingles(t, words)
-            h1, h2 = set_hashes(s)
-            for c, v in (("n", len(s)), ("h1", h1), ("h2", h2)):
+            for c, v in zip(("n", "h1", "h2", "bits"), (len(s), *set_hashes(s), parity_bits(s)), strict=True):
                 out[c].append(v)
         return out
 
-    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n long, h1 long, h2 long")
+    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n long, h1 long, h2 long, bits binary")
 
 
 def signature_rows(docs: DataFrame, words: int, percent: int, remembered: int = 100_000) -> DataFrame:
@@ -188,11 +205,21 @@ def components(links: DataFrame) -> DataFrame:
             return now
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, repeated: bool) -> DataFrame:
-    """pairs (a, b) with the sizes of both sets, the elements in which they differ, and whether they link; from the whole sets.
-    repeated: rows may share an id, so that a set may be read several times."""
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = need.join(classes, "node").select("node", "rep", "h2")
+def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """pairs (a, b) with the sizes of both sets and a lower bound of the elements in which they differ, from the bitmaps."""
+    side = [classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab"]
+
+    def run(b):
+        out = {c: b.column(c) for c in ("a", "b", "na", "nb")}
+        both = zip(b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist(), strict=True)
+        return out | {"least": [least_apart(x, y) for x, y in both]}
+
+    return stored(map_slices(pairs.join(side[1], "b").join(side[0], "a"), run, "a long, b long, na long, nb long, least long"))
+
+
+def sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, words: int, repeated: bool) -> DataFrame:
+    """(node, set) of the nodes, from the texts.  repeated: rows may share an id, so that a set may be read several times."""
+    wanted = nodes.join(classes.select("node", "rep", "h2"), "node")
 
     def run(b):
         out = {"node": [], "set": []}
@@ -205,8 +232,14 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
     sets = map_slices(texts, run, "node long, `set` array<long>")
-    sets = stored(sets.dropDuplicates(["node"]) if repeated else sets)
-    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+    return sets.dropDuplicates(["node"]) if repeated else sets
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, repeated: bool) -> DataFrame:
+    """pairs (a, b) with the sizes of both sets, the elements in which they differ, and whether they link; from the whole sets."""
+    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = stored(sets_of(need, classes, docs, words, repeated))
+    one = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
     two = one.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
     apart = F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))
     d = two.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), apart.alias("apart"))
@@ -216,39 +249,86 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     return out
 
 
-def candidates(family: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes of one hub in different components that may link, from (hub, node, n, comp, out, apart), out
-    telling whose component isn't the hub's: those that share one of the differences that are rarest around the hub, as many of
-    each as its bound asks for, and those whose differences are so few that none need be shared."""
-    d = family.withColumn("d", F.size("apart")).withColumn("most", F.floor(F.col("n") * (100 - percent) / percent))
-    least = d.groupBy("hub").agg(F.min("d").alias("any"), F.min(F.when(F.col("out"), F.col("d"))).alias("outer")).filter("outer is not null")
-    d = stored(d.join(least, "hub"))
-    rows = d.select("hub", "node", F.explode("apart").alias("x"))
-    common = rows.groupBy("hub", "x").agg(F.count("*").alias("c")).filter("c > 1")
-    order = rows.join(common, ["hub", "x"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("xs"))
-
-    def prefixed(side: DataFrame, other: str, names: dict[str, str]) -> DataFrame:
-        """(hub, x) of the rarest elements of which two with enough in common share one, with their place in the order; elements
-        that nobody shares come first and are left out.  A partner has at least d - most differences, by the triangle."""
-        alone = F.col("d") - F.size("xs")
-        need = F.ceil((F.col("d") + F.greatest(F.col(other), F.col("d") - F.col("most")) - F.col("most")) / 2)
-        keep = F.col("d") - F.greatest(need, F.lit(1)) + 1 - alone
-        some = F.slice("xs", F.lit(1), F.greatest(F.least(keep, F.size("xs")), F.lit(0)).cast("int"))
-        rows = side.select("hub", "node", "comp", "n", "d", alone.alias("alone"), F.posexplode(some).alias("p", "e"))
-        return rows.select("hub", F.col("e.x").alias("x"), *[F.col(c).alias(n) for c, n in names.items()], (F.col("d") - F.col("alone") - F.col("p")).alias(names["d"].replace("d", "r")))
-
-    d2 = d.drop("apart").join(order, ["hub", "node"])
-    left = prefixed(d2.filter("out"), "any", {"node": "a", "comp": "ca", "n": "na", "d": "da"})
-    right = prefixed(d2, "outer", {"node": "b", "comp": "cb", "n": "nb", "d": "db"})
-    sized = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("ca") != F.col("cb"))
-    most = F.floor((F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent))
+def most_apart(n: Column, percent: int) -> Column:
+    """In how many elements a set of n and one linked with it may differ."""
+    return F.floor(n * (100 - percent) / percent)
+
+
+def cut(n: Column) -> Column:
+    """How far from a hub of n elements classes are far ones.  Near are those at most their own most_apart() farther: if x is not
+    near, what links with x is beyond the cut, as x itself is."""
+    return F.floor(n / 2)
+
+
+def between(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of one key in two components, from (*key, node, comp, ..): columns with a and b at their ends, the component of a being
+    the smaller.  Components are paired first, so that a key which all of a component share costs no pairs within it."""
+    kinds = rows.select(*key, "comp").distinct()
+    other = kinds.withColumnRenamed("comp", "comp_b")
+    two = kinds.withColumnRenamed("comp", "comp_a").join(other, key).filter("comp_a < comp_b")
+
+    def side(c: str) -> DataFrame:
+        return rows.select(*key, *[F.col(x).alias(f"{x}_{c}") for x in rows.columns if x not in key])
+
+    return two.join(side("a"), [*key, "comp_a"]).join(side("b"), [*key, "comp_b"])
+
+
+def ordered(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, node, xs) from (*by, node, x): the elements that several nodes share, the rarest first."""
+    common = rows.groupBy(*by, "x").agg(F.count("*").alias("c")).filter("c > 1")
+    return rows.join(common, [*by, "x"]).groupBy(*by, "node").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("xs"))
+
+
+def far_candidates(nodes: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, repeated: bool) -> DataFrame:
+    """Pairs (a, b) among nodes (node, comp) in different components that share one of their rarest elements, of which each takes
+    as many as it must have in common with any partner's."""
+    sets = sets_of(nodes.select("node"), classes, docs, words, repeated)
+    order = ordered(sets.select("node", F.explode("set").alias("x")), [])
+    d = order.join(nodes, "node").join(classes.select("node", "n"), "node")
+    alone = F.col("n") - F.size("xs")  # shared by nobody, so the rarest of all
+    keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
+    some = F.slice("xs", F.lit(1), F.greatest(F.least(keep, F.size("xs")), F.lit(0)).cast("int"))
+    rows = d.select("node", "comp", "n", alone.alias("alone"), F.posexplode(some).alias("p", "e"))
+    rows = rows.select(F.col("e.x").alias("x"), "node", "comp", "n", (F.col("n") - F.col("alone") - F.col("p")).alias("r"))
     # The first element that two share has all the others behind it, in both.
-    enough = 2 * F.least("ra", "rb") >= F.col("da") + F.col("db") - most
-    share = left.join(right, ["hub", "x"]).filter(sized & enough).select("a", "b")
-    few = d.filter("out and d + any <= most").select("hub", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("d").alias("da"), "most")
-    light = d.select("hub", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("d").alias("db"))
-    near = few.join(light, "hub").filter((F.col("da") + F.col("db") <= F.col("most")) & sized).select("a", "b")
-    out = stored(share.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    enough = F.least("r_a", "r_b") * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
+    sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return between(rows, ["x"]).filter(sized & enough).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+
+
+def dealt(rows: DataFrame, one: DataFrame, key: str, ways: int = 16) -> DataFrame:
+    """rows joined with `one`, which has a row for each key at most; the rows of a key go to so many tasks."""
+    many = one.withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    return rows.withColumn("way", F.pmod("node", F.lit(ways)).cast("int")).join(many, [key, "way"]).drop("way")
+
+
+def near_candidates(family: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes near one hub in different components that may link, from (hub, node, n, d, comp, out), out telling
+    whose component isn't the hub's: those that share one of the differences that are rarest around the hub, as many of each as
+    its bound asks for, and those whose differences are so few that they link whatever they are (one for a component)."""
+    least = family.groupBy("hub").agg(F.min("d").alias("any"), F.min(F.when(F.col("out"), F.col("d"))).alias("outer")).filter("outer is not null")
+    d = stored(dealt(family, least, "hub").withColumn("most", most_apart(F.col("n"), percent)))
+    apart = tried.select(F.col("a").alias("hub"), F.col("b").alias("node"), "apart")
+    order = ordered(d.select("hub", "node").join(apart, ["hub", "node"]).select("hub", "node", F.explode("apart").alias("x")), ["hub"])
+    alone = F.col("d") - F.size("xs")
+    # A partner has at least d - most differences, by the triangle, and as many as the least of those that it can be.
+    other = F.when(F.col("out"), F.col("any")).otherwise(F.col("outer"))
+    need = F.ceil((F.col("d") + F.greatest(other, F.col("d") - F.col("most")) - F.col("most")) / 2)
+    keep = F.col("d") - F.greatest(need, F.lit(1)) + 1 - alone
+    some = F.slice("xs", F.lit(1), F.greatest(F.least(keep, F.size("xs")), F.lit(0)).cast("int"))
+    rows = d.join(order, ["hub", "node"]).select("hub", "node", "comp", "n", "d", alone.alias("alone"), F.posexplode(some).alias("p", "e"))
+    rows = rows.select("hub", F.col("e.x").alias("x"), "node", "comp", "n", "d", (F.col("d") - F.col("alone") - F.col("p")).alias("r"))
+    sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    most = F.floor((F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent))
+    # The first element that two share has all the others behind it, in both.
+    enough = 2 * F.least("r_a", "r_b") >= F.col("d_a") + F.col("d_b") - most
+    share = between(rows, ["hub", "x"]).filter(sized & enough).select("node_a", "node_b")
+    few = d.filter("out and d + any <= most").select("hub", "node", "comp", "n", "d")
+    spare = (100 - percent) * F.col("n") - (100 + percent) * F.col("d")
+    light = d.groupBy("hub", F.col("comp").alias("comp_b")).agg(F.max(F.struct(spare.alias("spare"), F.col("node").alias("node_b"))).alias("best"))
+    sure = few.join(light, "hub").filter((F.col("comp") != F.col("comp_b")) & (F.col("best.spare") + spare >= 0))
+    pairs = share.union(sure.select("node", "best.node_b"))
+    out = stored(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
     discard(d)
     return out
 
@@ -259,27 +339,37 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, repeated: bo
     sets = stored(shingle_sets(docs, words))
     known = sets.filter("n > 0 and doc_id is not null")
     repeated = known.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0 if repeated is None else repeated
-    classes = stored(known.groupBy(F.col("h1").alias("node"), "h2", "n").agg(F.min("doc_id").alias("rep")))
+    classes = stored(known.groupBy(F.col("h1").alias("node"), "h2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("bits").alias("bits")))
     # One shuffle, by signature: the hubs are found and joined back where the rows already are.
     rows = signature_rows(docs, words, percent).filter("node is not null and sig is not null").repartition("sig")
     shared = rows.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("sig", "hub")
     pairs = stored(rows.join(shared, "sig").filter("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    tried = verified(pairs, classes, docs, words, percent, repeated)
+    bounds = bounded(pairs, classes)
     discard(pairs)
+    reach = cut(F.col("na")) + most_apart(F.col("nb"), percent)
+    tried = verified(bounds.filter(F.col("least") <= reach), classes, docs, words, percent, repeated)
     links = tried.filter("link").select("a", "b")
     found = components(links)
 
-    comp_b = found.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
     comp_a = found.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
-    family = tried.join(comp_b, "b", "left").join(comp_a, "a", "left")
+    comp_b = found.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+    exact = tried.select("a", "b", "na", "nb", F.size("apart").cast("long").alias("d"))
+    far = bounds.filter(F.col("least") > reach).select("a", "b", "na", "nb", F.lit(None).cast("long").alias("d"))
+    family = exact.union(far).join(comp_b, "b", "left").join(comp_a, "a", "left")
     ca, cb = F.coalesce("ca", "a"), F.coalesce("cb", "b")
-    family = family.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("nb").alias("n"), cb.alias("comp"), (ca != cb).alias("out"), "apart")
-    more = candidates(family, percent)
-    if more.limit(1).count():
-        again = verified(more, classes, docs, words, percent, repeated)
+    family = stored(family.select(F.col("a").alias("hub"), F.col("b").alias("node"), "na", F.col("nb").alias("n"), "d", cb.alias("comp"), (ca != cb).alias("out")))
+    close = family.filter(F.col("d") <= cut(F.col("na")) + most_apart(F.col("n"), percent)).drop("na")
+    near = near_candidates(close, tried, percent)
+    beyond = family.filter(F.col("d").isNull() | (F.col("d") > cut(F.col("na")))).select("hub", "node", "comp")
+    mixed = beyond.groupBy("hub").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).filter("one < other").select("hub")
+    nodes = stored(dealt(beyond, mixed, "hub").select("node", "comp").distinct())
+    away = far_candidates(nodes, classes, docs, words, percent, repeated)
+    more = bounded(near.union(away).distinct(), classes)
+    linked = F.col("least") * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))
+    again = verified(more.filter(linked), classes, docs, words, percent, repeated)
+    if again.filter("link").limit(1).count():
         found = components(links.union(again.filter("link").select("a", "b")))
-        discard(again)
-    discard(tried, more)
+    discard(bounds, tried, family, near, nodes, more, again)
 
     comp = classes.join(found, "node", "left").select("node", "h2", "n", "rep", F.coalesce("comp", "node").alias("comp"))
     least = comp.groupBy("comp").agg(F.min("rep").alias("component_id"))
