@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -177,7 +178,46 @@ def test_text_beside_the_inner_element_stays():
     assert pages.main_text(page) == "\n".join(["The heading, here", LEAD, *[REST] * 15])
 
 
+LINKS = "".join(f"<li><a href=/{w}>{w} more</a></li>" for w in "one two three four five six".split())
+LOOSE = f"<body><h1>The heading, here</h1><p>{LEAD}</p><p>{REST}</p><p>Short.</p><div class=x><ul>{LINKS}</ul></div><div class=y><span>tag</span></div></body>"
+
+
+def test_the_threshold_selects():
+    """Nothing in this page but the ratios tells the article from the rest."""
+    assert pages.main_text(LOOSE) == f"The heading, here\n{LEAD}\n{REST}\nShort."
+    assert "four more" in pages.main_text(LOOSE, 0.0) and "tag" in pages.main_text(LOOSE, 0.0)
+
+
+def test_articles_and_their_headers():
+    two = f"<body><nav>x</nav><article><header><h1>Title</h1></header><p>{LEAD}</p></article><article><p>{REST}</p><footer>by me</footer></article></body>"
+    assert pages.main_text(two) == f"Title\n{LEAD}\n{REST}"
+    assert pages.main_text(f"<div class=search-and-rescue><p>{LEAD}</p></div><p>{REST}</p>") == f"{LEAD}\n{REST}"
+    reader = f"<article><p>{LEAD}</p><div class=comments><article class=comment><p>{REST}</p><p>{REST}</p><p>{REST}</p></article></div></article>"
+    assert pages.main_text(reader) == LEAD
+
+
+def test_path_statistics():
+    """The scores against sums made from the paths as written out."""
+    p = pages.Page(LOOSE)
+    names = {0: ()}
+    for (up, name), k in p.paths.items():
+        names[k] = (*names[up], name)
+    seen = {names[p.path[e]]: 0 for t, e, _ in p.runs if t.strip()}
+    for t, e, _ in p.runs:
+        seen[names[p.path[e]]] += len(t.strip())
+    assert seen == {("body", "h1"): 17, ("body", "p"): len(LEAD + REST) + 6, ("body", "div.x", "ul", "li"): 6 * 5 + 22, ("body", "div.y"): 3}
+    assert {names[g] for g in p.content_paths(0.2, 7)} == {("body", "h1"), ("body", "p")}
+
+
+@pytest.mark.parametrize("page", ["<a " * 10**6, "<div>x" * 10**5, "<span><article>" + "<div>" * 10**5 + "</span>" * 10**5, "<b>" * 10**5 + "<div></div>" * 10**5, "<a x='" * 10**5])
+def test_broken_pages_take_linear_time(page):
+    start = time.time()
+    pages.main_text(page)
+    assert time.time() - start < 20
+
+
 def test_extract(spark):
+    assert pages.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
     d = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (1, "u", PAGE, "x")], "page_id long, url string, html string, text string")
     rows = pages.extract_text(d).collect()
     assert len(rows) == 3 and all(r["n_chars"] == len(r["text"]) for r in rows)

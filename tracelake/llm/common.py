@@ -31,7 +31,7 @@ def alnum_words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash, kept for the next lookups; emptied when it holds too many words."""
 
-    most = 400_000
+    most = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -45,8 +45,14 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-#: One cache per Python worker process, whatever task it runs.
+#: One cache per Python worker process; emptied with the others at the end of a task, as workers serve later stages too.
 word_hashes = WordHashes()
+caches: list[dict] = [word_hashes]
+
+
+def forget() -> None:
+    for c in caches:
+        c.clear()
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
@@ -62,6 +68,12 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, without repeats."""
+    s = np.sort(x)
+    return s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers in which every bit of the input reaches every bit of the output."""
     x = x ^ (x >> np.uint64(31))
@@ -93,6 +105,7 @@ def map_slices(
             out = f(b)
             if out is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in arrow], schema=arrow)
+        forget()
 
     return df.mapInArrow(run, schema)
 

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import blank_words, discard, gram_hashes, map_slices, mixed, stored, word_hashes
+from tracelake.llm.common import blank_words, discard, distinct, gram_hashes, map_slices, mixed, stored, word_hashes
 
 
 @dataclass(frozen=True)
@@ -98,7 +98,7 @@ def scheme(percent: int, low: int, band: int, shared: int = 60, sharers: int = 8
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct hashes of the text's word n-grams; of the whole text, if it is shorter."""
     h = word_hashes.of(blank_words(text))
-    return np.unique(gram_hashes(h, min(words, len(h)))) if len(h) else np.empty(0, np.uint64)
+    return distinct(gram_hashes(h, min(words, len(h)))) if len(h) else np.empty(0, np.uint64)
 
 
 def set_hashes(s: np.ndarray) -> tuple[int, int]:
@@ -112,7 +112,7 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     out = [part_signatures(s, own)]
     if 100 * len(s) >= percent * nxt.low:  # large enough for partners in the next band
         out.append(part_signatures(s, nxt))
-    return np.unique(np.concatenate(out))
+    return distinct(np.concatenate(out))
 
 
 def part_signatures(s: np.ndarray, x: Scheme) -> np.ndarray:

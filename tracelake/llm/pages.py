@@ -1,20 +1,26 @@
 """Main text of web pages by tag-path ratios.
 
-Each run of text belongs to the path of tags from the root to it.  Over a page, every path gets its text length, its punctuation
-marks and its number of runs; the ratios of length and of punctuation to runs are smoothed with those of the neighbouring paths
-in page order, fused by multiplication, and paths above a share of the page's deviation are content.  The lowest element around
-all content (or the article or main element that holds most, if there is one) is then taken whole, without the paths whose tags or
-class names mark menus, forms, notices and the like; so that short paragraphs of an article stay.  A class name marks no element
-that holds most of the content, and html and body are never hidden.
+A page's text belongs to the paths of its block elements (tags with their class or id, from the root).  Over the page every path
+gets its text length, its punctuation marks, its characters in links and its number of runs.  The ratios of length and of
+punctuation to runs, less the share in links, are fused by multiplication, smoothed (by the geometric mean with those of the paths
+before and after in page order and of the path above) and weighed with the evidence of the tags: nothing for what is never shown
+and for menus, forms and the like, more below article and main.  Paths whose fused score is under a share of the page's standard deviation are no content.
+Content nodes are the elements (but not html and body) whose text is mostly on content paths, with all of their text, and
+elsewhere the blocks on content paths; so that the headings, lists and short paragraphs of an article stay, and every article of
+a page does.
 
-Rows: a null page counts as empty and gives an empty text; repeated rows are each treated; further columns are ignored."""
+Class names, ids and roles count as evidence where most parts of one are words of `MARKS`, but not on an element that holds most
+of what would be content without them.  A header within article or main is the article's own.
+
+Rows: a null page counts as empty and gives an empty text; repeated rows are each treated; an empty table gives no rows; further
+columns are ignored; time grows linearly with a page, however deep, long or broken it is: a tag whose quotes never end, ends at
+the next >, and from there on quotes are not looked at."""
 
 from __future__ import annotations
 
 import html
 import math
 import re
-from collections import defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,11 +42,19 @@ MARKS = frozenset(
     "subscription signup login share sharing social related recommended recommendations comment comments reply replies disqus "
     "respond widget pagination pager toolbar search complementary contentinfo hidden".split()
 )
-CLOSES = {"p": BLOCK - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Open tag -> tags that end it by opening.
+CLOSES = {"p": BLOCK - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
+#: Elements that an end tag of something else does not close.
+KEEPS = frozenset(("article", "main", "body", "td"))
+OUTER = frozenset(("html", "body"))
+NAME = re.compile(r"[A-Za-z][^\s/>]*")
+QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?¡¿。、，！？؛،…]")
+END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title")}  # their text holds no tags
+#: What is known of an element and all in it: never shown, no content by its tag, by a class name, in an article, in a link.
+HID, SIDED, MARKED, IN_ARTICLE, LINKED = 1, 2, 4, 8, 16
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -51,157 +65,197 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
-class Run:
-    """Text between two tags: the stack of (tag, element number, side flag) above it and the block it belongs to.  Flags: 2 is
-    never shown, 1 is no content by its tag or as it is hidden, -1 is none by its class name."""
-
-    __slots__ = ("block", "stack", "text")
-
-    def __init__(self, text, stack, block):
-        self.text, self.stack, self.block = text, stack, block
-
-
-def runs_of(page: str) -> list[Run]:
-    out, stack, block, at, number = [], (), 0, 0, 0
-    n = len(page)
-    shown = True  # nothing above hides the text
-    while at < n:
-        mark, m = page.find("<", at), None
-        while mark >= 0 and not (m := TOKEN.match(page, mark)):
-            mark = page.find("<", mark + 1)
-        end = m.start() if m else n
-        if end > at and shown:
-            out.append(Run(page[at:end], stack, block))
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if tag in BLOCK:
-            block += 1
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    stack = stack[:i]
-                    shown = shown or not any(s[2] == 2 for s in stack)
-                    break
-                if stack[i][0] in ("article", "main", "body", "td") and tag not in ("html", "body", "article", "main", "table"):
-                    break
-            continue
-        if tag in VOID:
-            if tag == "br" and shown:
-                out.append(Run(" ", stack, block))
-            continue
-        for i in range(len(stack) - 1, -1, -1):
-            if tag in CLOSES.get(stack[i][0], ()):
-                stack = stack[:i]
-                shown = shown or not any(s[2] == 2 for s in stack)
-                break
-            if stack[i][0] in BLOCK:
+def marked(has: dict[str, str]) -> bool:
+    """Whether most parts of one class name, id or role are words of MARKS; what an element only has or goes with says nothing."""
+    for x in ("class", "id", "role"):
+        for name in has.get(x, "").lower().split():
+            parts = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+            if parts and parts[0] not in ("has", "with", "no", "without") and 2 * sum(w in MARKS for w in parts) >= len(parts):
+                return True
+    return False
+
+
+class Page:
+    """Elements as parallel lists (parent, tag, state bits, path of the nearest block, whether a class name marks it), and runs
+    (text, element, block)."""
+
+    def __init__(self, page: str):
+        self.parent, self.tag, self.state, self.path, self.named = [-1], [""], [0], [0], [False]
+        self.runs: list[tuple[str, int, int]] = []
+        self.paths: dict[tuple[int, str], int] = {}
+        self.above = [0]  # path -> the path above
+        self.parse(page)
+
+    def parse(self, page: str) -> None:
+        open_ = [0]  # elements from the root
+        depths: dict[str, list[int]] = {}  # tag -> where it stands in open_
+        blocks, keeps = [], []  # where blocks and KEEPS stand
+        block, at, n, quotes = 0, 0, len(page), True
+
+        def close(to: int) -> None:
+            while len(open_) > to:
+                tag = self.tag[open_.pop()]
+                depths[tag].pop()
+                if tag in BLOCK:
+                    blocks.pop()
+                if tag in KEEPS:
+                    keeps.pop()
+
+        def text(end: int) -> None:
+            if end > at:
+                self.runs.append((page[at:end], open_[-1], block))
+
+        start = 0
+        while True:
+            start = page.find("<", start)
+            if start < 0:
                 break
-        number += 1
-        flag = 2 if tag in HIDDEN else 1 if tag in SIDE else 0
-        if m[3]:
-            has = attributes(m[3])
-            if tag not in ("html", "body"):
-                hidden = has.get("hidden", "false").lower() != "false" or has.get("aria-hidden", "").strip().lower() == "true"
-                if hidden or GONE.search(has.get("style", "")):
-                    flag = max(flag, 1)
-            if not flag and tag not in ("html", "body", "article", "main"):
-                words = {w for x in ("class", "id", "role") for w in re.split(r"[^a-z0-9]+", has.get(x, "").lower())}
-                if words & MARKS:
-                    flag = -1
-        if tag in ("script", "style", "textarea", "title"):  # their text holds no tags
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else n
-            continue
-        stack = (*stack, (tag, number, flag))
-        shown = shown and flag < 2
-    return out
+            after = page[start + 1 : start + 2]
+            ending = after == "/"
+            m = NAME.match(page, start + 1 + ending)
+            if not m and after not in ("!", "?"):
+                start += 1  # a sign, no tag
+                continue
+            if not m:
+                comment = page.startswith("<!--", start)
+                end = page.find("-->" if comment else ">", start + 2)
+                text(start)
+                at = start = n if end < 0 else end + (3 if comment else 1)
+                continue
+            q = QUOTED.match(page, m.end()) if quotes else None
+            if not q:
+                quotes = False
+                end = page.find(">", m.end())
+                if end < 0:
+                    break  # no more tags
+            else:
+                end = q.end() - 1
+            text(start)
+            inside, tag = page[m.end() : end], m[0].lower()
+            at = start = end + 1
+            if tag in BLOCK:
+                block += 1
+            if ending:
+                if (where := depths.get(tag)) and (not keeps or keeps[-1] <= where[-1] or tag in OUTER or tag in ("article", "main", "table")):
+                    close(where[-1])
+                continue
+            if tag in VOID:
+                if tag == "br":
+                    self.runs.append((" ", open_[-1], block))
+                continue
+            if blocks and tag in CLOSES.get(self.tag[open_[blocks[-1]]], ()):
+                close(blocks[-1])
+            self.add(tag, open_[-1], attributes(inside))
+            if tag in END:
+                e = END[tag].search(page, at)
+                start = e.start() if e else n
+            depths.setdefault(tag, []).append(len(open_))
+            if tag in BLOCK:
+                blocks.append(len(open_))
+            if tag in KEEPS:
+                keeps.append(len(open_))
+            open_.append(len(self.tag) - 1)
+        text(n)
+
+    def add(self, tag: str, up: int, has: dict[str, str]) -> None:
+        state = self.state[up]
+        if tag in ("article", "main"):
+            state |= IN_ARTICLE
+        if tag in HIDDEN:
+            state |= HID
+        if tag in SIDE and not (tag == "header" and state & IN_ARTICLE):
+            state |= SIDED
+        if tag == "a":
+            state |= LINKED
+        path = self.path[up]
+        if has and tag not in OUTER:
+            if has.get("hidden", "false").lower() != "false" or has.get("aria-hidden", "").strip().lower() == "true" or GONE.search(has.get("style", "")):
+                state |= HID
+        if tag in BLOCK:
+            key = path, f"{tag}.{has['class']}" if has.get("class") else f"{tag}#{has['id']}" if has.get("id") else tag
+            if key not in self.paths:
+                self.paths[key] = len(self.above)
+                self.above.append(path)
+            path = self.paths[key]
+        named = bool(has) and tag not in OUTER and tag not in ("article", "main") and marked(has)
+        for column, value in ((self.parent, up), (self.tag, tag), (self.state, state), (self.path, path), (self.named, named)):
+            column.append(value)
+
+    def content_paths(self, share: float, out: int) -> set[int]:
+        """The paths whose fused score passes; `out`: the state bits that take text out."""
+        stats: dict[int, list[float]] = {}
+        for text, e, _ in self.runs:
+            if not self.state[e] & out and (t := text.strip()):
+                s = stats.setdefault(self.path[e], [0, 0, 0, 0, False])
+                s[0] += len(t)
+                s[1] += len(PUNCTUATION.findall(t))
+                s[2] += 1
+                s[3] += len(t) if self.state[e] & LINKED else 0
+                s[4] = s[4] or bool(self.state[e] & IN_ARTICLE)
+        if not stats:
+            return set()
+        raw = {p: chars / runs * (0.5 + marks / runs) * (1 - 0.9 * links / chars) for p, (chars, marks, runs, links, _) in stats.items()}
+        total: dict[int, list[float]] = {}  # of what is right below a path, and of its own
+        for p, s in stats.items():
+            for g in {p, self.above[p]}:
+                t = total.setdefault(g, [0.0, 0.0])
+                t[0] += raw[p] * s[0]
+                t[1] += s[0]
+        order = list(stats)
+        near = dict(zip(order, ([raw[p] for p in order[max(0, i - 1) : i + 2]] for i in range(len(order))), strict=True))
+        fused = {}
+        for p, s in stats.items():
+            up = total[self.above[p]]
+            smooth = sum(near[p]) / len(near[p]) / 2 + up[0] / up[1] / 2
+            fused[p] = math.sqrt(raw[p] * smooth) * math.log1p(s[0]) * (4 if s[4] else 1)
+        mean = sum(fused.values()) / len(fused)
+        limit = share * math.sqrt(sum((v - mean) ** 2 for v in fused.values()) / len(fused))
+        return {p for p, v in fused.items() if v >= limit}
 
+    def spread(self, good: set[int], out: int) -> tuple[list[int], list[int]]:
+        """Characters of content, and of all that is not out, in each element."""
+        held, all_ = [0] * len(self.tag), [0] * len(self.tag)
+        for text, e, _ in self.runs:
+            if not self.state[e] & out and (size := len(text.strip())):
+                all_[e] += size
+                held[e] += size if self.path[e] in good else 0
+        for e in range(len(self.tag) - 1, 0, -1):  # children come after their parents
+            all_[self.parent[e]] += all_[e]
+            held[self.parent[e]] += held[e]
+        return held, all_
 
-def content_paths(runs: list[Run], share: float) -> dict[tuple, float]:
-    """Fused score of the paths that pass the threshold."""
-    stats: dict[tuple, list[float]] = {}
-    for r in runs:
-        path = tuple((s[0], s[2]) for s in r.stack)
-        text = r.text.strip()
-        if text:
-            s = stats.setdefault(path, [0, 0, 0])
-            s[0] += len(text)
-            s[1] += len(PUNCTUATION.findall(text))
-            s[2] += 1
-    paths = list(stats)
-    ratio = [stats[p][0] / stats[p][2] for p in paths]
-    marks = [stats[p][1] / stats[p][2] for p in paths]
-
-    def smooth(x):
-        return [(x[max(0, i - 1)] + 2 * x[i] + x[min(len(x) - 1, i + 1)]) / 4 for i in range(len(x))]
-
-    fused = {}
-    for p, a, b in zip(paths, smooth(ratio), smooth(marks), strict=True):
-        fused[p] = 0.0 if any(f for _, f in p) else a * (0.5 + b) * math.log1p(stats[p][0])
-    values = list(fused.values())
-    if not values:
-        return {}
-    mean = sum(values) / len(values)
-    limit = share * math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
-    return {p: v for p, v in fused.items() if v > 0 and v >= limit}
-
-
-def holdings(runs: list[Run], good: dict[tuple, float]) -> tuple[dict[int, int], int]:
-    """Characters of content in each element, and in all."""
-    held: dict[int, int] = defaultdict(int)
-    total = 0
-    for r in runs:
-        if tuple((s[0], s[2]) for s in r.stack) in good and (n := len(r.text.strip())):
-            total += n
-            for _, number, _ in r.stack:
-                held[number] += n
-    return held, total
-
-
-def with_flags(runs: list[Run], flag) -> list[Run]:
-    """The runs with flag(element number, flag) in place of each flag."""
-    new: dict[tuple, tuple] = {}
-    for r in runs:
-        if r.stack not in new:
-            new[r.stack] = tuple((tag, number, flag(number, f)) for tag, number, f in r.stack)
-    return [Run(r.text, new[r.stack], r.block) for r in runs]
-
-
-def spared(runs: list[Run], share: float) -> list[Run]:
-    """The runs without the class-name flags of elements that hold most of what would be content if there were none of these."""
-    if not any(s[2] < 0 for r in runs for s in r.stack):
-        return runs
-    loose = with_flags(runs, lambda _, f: max(f, 0))
-    held, total = holdings(loose, content_paths(loose, share))
-    return with_flags(runs, lambda e, f: 0 if f < 0 and 2 * held.get(e, 0) > total else f)
+    def mark(self, share: float) -> None:
+        """Marks what class names mark.  Where all the sentences of the articles (of the page, if it has none) stand in such
+        elements, those that hold most of what would be content without marks are spared."""
+        if not any(self.named):
+            return
+        under = [False] * len(self.tag)
+        for e in range(1, len(self.tag)):
+            under[e] = under[self.parent[e]] or self.named[e]
+        rest = any(
+            self.state[e] & IN_ARTICLE and not self.state[e] & (HID | SIDED) and not under[e] and (len(t.strip()) >= 80 or PUNCTUATION.search(t))
+            for t, e, _ in self.runs
+        )
+        held, _ = self.spread(self.content_paths(share, HID | SIDED), HID | SIDED)
+        for e in range(1, len(self.tag)):
+            if self.state[self.parent[e]] & MARKED or self.named[e] and (rest or 2 * held[e] <= held[0]):
+                self.state[e] |= MARKED
 
 
 def main_text(page: str | None, share: float = 0.2) -> str:
     """The article's blocks, joined by line ends; empty if there is none."""
-    runs = spared(runs_of(page or ""), share)
-    good = content_paths(runs, share)
-    if not good:
-        return ""
-    held, total = holdings(runs, good)
-    place = {number: (tag, d) for r in runs for d, (tag, number, _) in enumerate(r.stack) if number in held}
-    roots = [e for e, (t, _) in place.items() if t in ("article", "main")]
-    if roots:
-        root = max(roots, key=lambda e: (held[e], -place[e][1]))
-    else:
-        around = (e for e, v in held.items() if v == total and place[e][0] in BLOCK - {"p"})
-        root = max(around, key=lambda e: place[e][1], default=None)
+    p = Page(page or "")
+    p.mark(share)
+    out = HID | SIDED | MARKED
+    good = p.content_paths(share, out)
+    held, all_ = p.spread(good, out)
+    whole = [False] * len(p.tag)
+    for e in range(1, len(p.tag)):
+        whole[e] = whole[p.parent[e]] or (p.tag[e] not in OUTER and held[e] > 0 and 2 * held[e] >= all_[e])
     blocks: dict[int, list[str]] = {}
-    for r in runs:
-        numbers = [s[1] for s in r.stack]
-        if any(s[2] for s in r.stack) or root is not None and root not in numbers:
-            continue
-        if root is None and not good.get(tuple((s[0], s[2]) for s in r.stack)):
-            continue
-        blocks.setdefault(r.block, []).append(r.text)
+    for text, e, block in p.runs:
+        if not p.state[e] & out and (whole[e] or p.path[e] in good):
+            blocks.setdefault(block, []).append(text)
     lines = (" ".join(html.unescape("".join(b)).split()) for b in blocks.values())
     return "\n".join(x for x in lines if x)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import alnum_words, map_slices, remainder, slices
+from tracelake.llm.common import alnum_words, caches, forget, map_slices, remainder, slices
 from tracelake.llm.quality import labelled
 
 WIDTH, STEP = 32, 24
@@ -105,7 +105,7 @@ class Network:
 class Scorer:
     """A network with the gate inputs of the words that it has met."""
 
-    def __init__(self, net: Network, most: int = 250_000):
+    def __init__(self, net: Network, most: int = 100_000):
         self.net, self.most = net, most
         self.clear()
 
@@ -325,6 +325,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, most: int = 6000, longest
 
 
 _scorers: dict[int, Scorer] = {}
+caches.append(_scorers)
 
 
 def scorer(shared) -> Scorer:
@@ -356,5 +357,6 @@ def drop_toxic(docs: DataFrame, net: Network, threshold: float = 0.5) -> DataFra
         for b in slices(batches):
             s = scorer(shared).scores(b.column("text").to_pylist())
             yield b.filter(pa.array(s < threshold, pa.bool_()))
+        forget()
 
     return docs.mapInArrow(run, docs.schema)
