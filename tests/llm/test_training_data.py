@@ -369,7 +369,7 @@ def test_gradients():
 def test_urls(spark):
     own = ["https://A.Example.com/en/71?x", "http://b.com/en/x", "http://b.net/de/8", "x://c.example.net/de/8#f", "http://o.org/es/1", "http://o.org/en/1", None, "nourl", "http://", "http://xcom/en/1", "ftp://h?q", "http://b.com/en"]
     d = spark.createDataFrame([(i, u, "h") for i, u in enumerate(own)], "page_id long, url string, host string")
-    got = {r["page_id"]: r for r in urls.judge_urls(d).collect()}
+    got = {r["page_id"]: r for r in urls.judge_urls(d.union(d)).collect()}  # repeated rows too
     assert len(got) == len(own)
     assert [got[i]["rule"] for i in range(5)] == ["example.com/en/7", "com/en/", "net/de/", "example.net/de/8", "org/es/"]
     assert [got[i]["verdict"] for i in range(6)] == ["allow", "block", "allow", "block", "block", "allow"]
@@ -386,6 +386,71 @@ def test_url_templates_learn_from_labels(spark):
     assert urls.judge_urls(d.limit(0)).count() == 0
 
 
+def brute_verdicts(rows, rules, levels=8, many=12, rare=20, threshold=0.7, least=3, prior=0.2, strength=2.0, z=1.96):
+    """page_id -> (host, path, rule, verdict, template), written as loops over a tree of dicts."""
+
+    def general(s):
+        s = re.sub(r"^\d{4}-\d\d?(-\d\d?)?(?=\.|$)", "{date}", s)
+        s = re.sub(r"^\d+(?=\.|$)", "{n}", s)
+        s = re.sub(r"^(?=[0-9a-f-]*\d)[0-9a-f]{8}[0-9a-f-]*(?=\.|$)", "{hex}", s)
+        return re.sub(r"\d{3,}", "{n}", s)
+
+    urls_, out = [], {}
+    for i, url in rows:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+        fit = [r for r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        rule = max(fit, key=len, default=None)
+        urls_.append([i, host, path, rule, [general(x) for x in path.split("/") if x], [host], rules.get(rule)])
+    for level in range(levels):
+        kinds = defaultdict(lambda: defaultdict(int))
+        for u in urls_:
+            if len(u[4]) > level:
+                kinds[u[5][-1]][u[4][level]] += 1
+        for u in urls_:
+            if len(u[4]) > level:
+                k, x = kinds[u[5][-1]], u[4][level]
+                wild = len(k) > many and sum(k.values()) / len(k) < rare and k[x] < rare
+                u[5] = [*u[5], f"{u[5][-1]}/{'*' if wild else x}"]
+    for u in urls_:
+        if len(u[4]) > levels:
+            u[5] = [*u[5], u[5][-1] + "/" + "/".join(u[4][levels:])]
+    node = defaultdict(lambda: [0, 0, 0, None])
+    for u in urls_:
+        for k, t in enumerate(u[5]):
+            v = node[t]
+            v[0], v[1], v[2], v[3] = v[0] + 1, v[1] + (u[6] is not None), v[2] + (u[6] == "block"), u[5][k - 1] if k else None
+    at = {}
+    for up in {v[3] for v in node.values()} - {None}:
+        kids = {t: v for t, v in node.items() if v[3] == up}
+        seen = [v for v in kids.values() if v[1]]
+        pl, pb = sum(v[1] for v in seen), sum(v[2] for v in seen)
+        like = {t for t, v in kids.items() if v[1] and abs(v[2] / v[1] - pb / pl) <= z * (max(pb / pl * (1 - pb / pl), 0.01) / v[1]) ** 0.5}
+        for t, v in kids.items():
+            at[t] = [sum(kids[x][1] for x in like), sum(kids[x][2] for x in like)] if t in like else v[1:3]
+    for i, host, path, rule, _, nodes, said in urls_:
+        v = node[host]
+        unsaid = 0.5 * (v[0] - v[1]) + strength
+        p = (v[2] + prior * unsaid) / (v[1] + unsaid)
+        for t in nodes[1:]:
+            p = (at[t][1] + strength * p) / (at[t][0] + strength)
+        out[i] = host, path, rule, said or ("block" if v[1] >= least and p >= threshold else "allow"), nodes[-1]
+    return out
+
+
+def test_url_verdicts_equal_brute_force(spark):
+    given = [(r["page_id"], r["url"]) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url").collect()]
+    made = [f"http://h{i % 3}.com/{'en' if i % 7 else 'de'}/{i % 30}x{chr(97 + i % 26)}/{i}/a/b/c/d/e/f{i % 2}/g" for i in range(200)]
+    rows = [*given, *[(10**6 + i, u) for i, u in enumerate([*made, *made[:5], None, "x", "http://h0.com"])]]
+    d = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"], r["template"]) for r in urls.judge_urls(d).collect()}
+    want = brute_verdicts(rows, urls.RULES)
+    assert got == want
+    assert any(v[2] is None and v[3] == "block" for v in got.values())
+
+
 # Near copies -----------------------------------------------------------------------------------------------------------------
 
 
