@@ -260,17 +260,24 @@ def cut(n: Column) -> Column:
     return F.floor(n / 2)
 
 
-def between(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of one key in two components, from (*key, node, comp, ..): columns with a and b at their ends, the component of a being
-    the smaller.  Components are paired first, so that a key which all of a component share costs no pairs within it."""
-    kinds = rows.select(*key, "comp").distinct()
-    other = kinds.withColumnRenamed("comp", "comp_b")
-    two = kinds.withColumnRenamed("comp", "comp_a").join(other, key).filter("comp_a < comp_b")
-
-    def side(c: str) -> DataFrame:
-        return rows.select(*key, *[F.col(x).alias(f"{x}_{c}") for x in rows.columns if x not in key])
-
-    return two.join(side("a"), [*key, "comp_a"]).join(side("b"), [*key, "comp_b"])
+def between(rows: DataFrame, key: list[str], percent: int) -> DataFrame:
+    """Pairs (node_a, node_b) of different components with one key that may link, from (*key, node, comp, n, d, r): d elements,
+    r of them from this one on in the order of rarity.  The first element that two share has all the others that they share
+    behind it, in both.  Components are paired first, by their best bounds, so that a key which all of a component share costs no
+    pairs within it, nor one that comes too late for components to link."""
+    most, least = (lambda c: F.max(c).alias(c)), (lambda c: F.min(c).alias(c))
+    kinds = rows.groupBy(*key, "comp").agg(most("r"), least("d"), most("n"), F.min("n").alias("m"))
+
+    def side(df: DataFrame, c: str) -> DataFrame:
+        return df.select(*key, *[F.col(x).alias(f"{x}_{c}") for x in df.columns if x not in key])
+
+    shared = 2 * F.least("r_a", "r_b") - F.col("d_a") - F.col("d_b")
+    enough = (100 + percent) * shared + (100 - percent) * (F.col("n_a") + F.col("n_b")) >= 0
+    two = side(kinds, "a").join(side(kinds, "b"), key).filter((F.col("comp_a") < F.col("comp_b")) & enough)
+    two = two.filter((100 * F.col("n_a") >= percent * F.col("m_b")) & (100 * F.col("n_b") >= percent * F.col("m_a"))).select(*key, "comp_a", "comp_b")
+    sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    one = two.join(side(rows, "a"), [*key, "comp_a"]).join(side(rows, "b"), [*key, "comp_b"])
+    return one.filter(sized & enough).select("node_a", "node_b")
 
 
 def ordered(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -289,11 +296,8 @@ def far_candidates(nodes: DataFrame, classes: DataFrame, docs: DataFrame, words:
     keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
     some = F.slice("xs", F.lit(1), F.greatest(F.least(keep, F.size("xs")), F.lit(0)).cast("int"))
     rows = d.select("node", "comp", "n", alone.alias("alone"), F.posexplode(some).alias("p", "e"))
-    rows = rows.select(F.col("e.x").alias("x"), "node", "comp", "n", (F.col("n") - F.col("alone") - F.col("p")).alias("r"))
-    # The first element that two share has all the others behind it, in both.
-    enough = F.least("r_a", "r_b") * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
-    sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return between(rows, ["x"]).filter(sized & enough).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    rows = rows.select(F.col("e.x").alias("x"), "node", "comp", "n", F.col("n").alias("d"), (F.col("n") - F.col("alone") - F.col("p")).alias("r"))
+    return between(rows, ["x"], percent).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
 
 def dealt(rows: DataFrame, one: DataFrame, key: str, ways: int = 16) -> DataFrame:
@@ -318,11 +322,7 @@ def near_candidates(family: DataFrame, tried: DataFrame, percent: int) -> DataFr
     some = F.slice("xs", F.lit(1), F.greatest(F.least(keep, F.size("xs")), F.lit(0)).cast("int"))
     rows = d.join(order, ["hub", "node"]).select("hub", "node", "comp", "n", "d", alone.alias("alone"), F.posexplode(some).alias("p", "e"))
     rows = rows.select("hub", F.col("e.x").alias("x"), "node", "comp", "n", "d", (F.col("d") - F.col("alone") - F.col("p")).alias("r"))
-    sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    most = F.floor((F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent))
-    # The first element that two share has all the others behind it, in both.
-    enough = 2 * F.least("r_a", "r_b") >= F.col("d_a") + F.col("d_b") - most
-    share = between(rows, ["hub", "x"]).filter(sized & enough).select("node_a", "node_b")
+    share = between(rows, ["hub", "x"], percent)
     few = d.filter("out and d + any <= most").select("hub", "node", "comp", "n", "d")
     spare = (100 - percent) * F.col("n") - (100 + percent) * F.col("d")
     light = d.groupBy("hub", F.col("comp").alias("comp_b")).agg(F.max(F.struct(spare.alias("spare"), F.col("node").alias("node_b"))).alias("best"))
