@@ -90,6 +90,20 @@ def test_blocks_and_collapse(spark, tmp_path):
     assert E.in_window(s, start="0", end=None).count() == 3
 
 
+def test_header_and_frame_forms(spark):
+    text = "mysqld 12/34 [000] 5.5: 7 cycles:ppp:\n\tffff a (x)\n\nold app 9 6.25: cycles:\n\tmain (app)\n\t12 a::b(int) (/l/x.so (deleted))\n\nalone:\n\tf z (y)\n\nno header\n\tf z (y)"
+    d = spark.createDataFrame([("c", i, b) for i, b in enumerate(text.split("\n\n"))], f"{CID} string, ord int, value string")
+    got = [tuple(r)[2:] for r in X.chain_samples(d).orderBy("ord").collect()]
+    assert got == [
+        ("mysqld", 12, 34, 0, "5.5", 7, "cycles:ppp", [("ffff", "a", "x")]),
+        ("old app", 9, None, None, "6.25", None, "cycles", [("", "main", "app"), ("12", "a::b(int)", "/l/x.so (deleted)")]),
+        ("alone", None, None, None, None, None, None, [("f", "z", "y")]),
+    ]
+    names = ["f(int)", "a;b(x)", "(anonymous namespace)::g(int)", "main.(*T).run", "h(int)::(anonymous namespace)::k()", "plain", "q'\"s"]
+    out = spark.createDataFrame([(n,) for n in names], "s string").select(FC.clean_symbol(F.col("s"))).collect()
+    assert [r[0] for r in out] == ["f", "a:b", "(anonymous namespace)::g", "main.(*T).run", "h", "plain", "qs"]
+
+
 def test_flat_samples(spark):
     text = "# ========\ncmd 1 [002] 3.25: 9 cycles:  ffff sym+0x1 (lib.so)\nbroken line"
     r = X.flat_samples(lines(spark, text)).collect()

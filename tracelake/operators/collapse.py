@@ -39,8 +39,15 @@ def process_label(o: Options) -> Column:
 
 
 def clean_symbol(symbol: Column) -> Column:
+    """; becomes :, quotes go, and so does all from the first bracket that opens no anonymous namespace, but in names with a
+    bracket between two dots, as methods of Go types have."""
     s = F.translate(symbol, ";\"'", ":")
-    return F.when(s.rlike(r"\.\(.*\)\."), s).otherwise(F.regexp_replace(s, r"\((?!anonymous namespace\)).*", ""))
+    anonymous = "(anonymous namespace)"
+    held = F.replace(s, F.lit(anonymous), F.lit("\u0001"))
+    cut = F.replace(F.substring_index(held, "(", 1), F.lit("\u0001"), F.lit(anonymous))
+    opening = F.locate(".(", s)
+    of_go = (opening > 0) & (F.locate(").", s, 1) > 0) & F.substring(s, opening + 2, F.length(s)).contains(").")
+    return F.when(of_go, s).otherwise(cut)
 
 
 def frame_texts(call: Column, o: Options) -> Column:
@@ -101,7 +108,7 @@ def expand_inlined(samples: DataFrame, inlined: DataFrame, context: bool = False
     one = F.array(F.struct(c["addr"].alias("addr"), c["symbol"].alias("symbol"), c["dso"].alias("dso")))
     d = d.withColumn("__f", F.when(F.col("__in").isNotNull(), more).when(c.isNotNull(), one))
     keep = [x for x in samples.columns if x != "calls"]
-    out = d.groupBy(CID, "ord").agg(*[F.first(x).alias(x) for x in keep if x not in (CID, "ord")], F.sort_array(F.collect_list(F.struct("__pos", "__f"))).alias("__all"))
+    out = d.groupBy(CID, "ord").agg(*[F.any_value(x).alias(x) for x in keep if x not in (CID, "ord")], F.sort_array(F.collect_list(F.struct("__pos", "__f"))).alias("__all"))
     return out.withColumn("calls", F.flatten(F.transform(F.filter("__all", lambda x: x["__f"].isNotNull()), lambda x: x["__f"]))).drop("__all")
 
 

@@ -28,10 +28,8 @@ class Rule:
     sub_rules: tuple["Rule", ...] = field(default=())
 
 
-SLOW = " or ".join(f"(busiest_disk_subtype = '{k}' and p95_disk_await > IO_AWAIT_{k}_THRESHOLD)" for k in ("HDD", "SATA_SSD", "NVME_SSD"))
-WAITS = "p95_single_core_iowait > IO_WAIT_HIGH_THRESHOLD"
-NUMA = "numa_nodes_count > 1 and numa_max_diff > NUMA_IMBALANCE_THRESHOLD"
-#: The default tree; findings name their figures in braces.
+#: The names, order and conditions of the default rules, which must hold for the same cases; a caller's own come from a
+#: file (`load_rules`).  Findings name their figures in braces.
 RULES = (
     Rule("affinity audit", "affinity_check_enabled", "affinity is checked", (
         Rule("affinity holds", "affinity_leakage_count = 0 and affinity_absent_count = 0", "the busy cores are the expected ones"),
@@ -41,13 +39,13 @@ RULES = (
     Rule("diagnosis", "true", "", (
         Rule("OFF-CPU", "total_cpu <= ON_CPU_THRESHOLD_PERCENT", "OFF-CPU: load {total_cpu:.2f}%, threshold {ON_CPU_THRESHOLD_PERCENT}%"),
         Rule("ON-CPU", "total_cpu > ON_CPU_THRESHOLD_PERCENT", "ON-CPU: load {total_cpu:.2f}%, threshold {ON_CPU_THRESHOLD_PERCENT}%"),
-        Rule("architecture", f"is_cpu_imbalanced or ({NUMA})", "", (
+        Rule("architecture", "is_cpu_imbalanced or (numa_nodes_count > 1 and numa_max_diff > NUMA_IMBALANCE_THRESHOLD)", "", (
             Rule("core imbalance", "is_cpu_imbalanced", "cores fall into {cpu_clusters_count} classes"),
-            Rule("node imbalance", NUMA, "nodes differ by {numa_max_diff:.1f}%: {numa_status_msg}"),
+            Rule("node imbalance", "numa_nodes_count > 1 and numa_max_diff > NUMA_IMBALANCE_THRESHOLD", "nodes differ by {numa_max_diff:.1f}%: {numa_status_msg}"),
         )),
-        Rule("disk I/O", f"(p95_disk_util > IO_UTIL_HIGH_THRESHOLD or p95_avgqu_sz > IO_QUEUE_HIGH_THRESHOLD) or (({SLOW}) and {WAITS})", "disk I/O limits: {busiest_disk_name} ({busiest_disk_subtype}), utilisation {p95_disk_util:.2f}%, queue {p95_avgqu_sz:.2f}, latency {p95_disk_await:.2f} ms of {effective_await_threshold} ms", (
-            Rule("saturation", f"p95_disk_util > IO_UTIL_HIGH_THRESHOLD and (({SLOW}) or {WAITS})", "the device is saturated at {p95_disk_util:.2f}%", (
-                Rule("synchronous I/O", f"avg_avgqu_sz < IO_QUEUE_LOW_THRESHOLD and p95_avgqu_sz < IO_QUEUE_LOW_THRESHOLD and {WAITS}", "short queue {avg_avgqu_sz:.2f}, {iowait_core_count} cores wait"),
+        Rule("disk I/O", "(p95_disk_util > IO_UTIL_HIGH_THRESHOLD or p95_avgqu_sz > IO_QUEUE_HIGH_THRESHOLD) or (((busiest_disk_subtype = 'HDD' and p95_disk_await > IO_AWAIT_HDD_THRESHOLD) or (busiest_disk_subtype = 'SATA_SSD' and p95_disk_await > IO_AWAIT_SATA_SSD_THRESHOLD) or (busiest_disk_subtype = 'NVME_SSD' and p95_disk_await > IO_AWAIT_NVME_SSD_THRESHOLD)) and p95_single_core_iowait > IO_WAIT_HIGH_THRESHOLD)", "disk I/O limits: {busiest_disk_name} ({busiest_disk_subtype}), utilisation {p95_disk_util:.2f}%, queue {p95_avgqu_sz:.2f}, latency {p95_disk_await:.2f} ms of {effective_await_threshold} ms", (
+            Rule("saturation", "p95_disk_util > IO_UTIL_HIGH_THRESHOLD and (((busiest_disk_subtype = 'HDD' and p95_disk_await > IO_AWAIT_HDD_THRESHOLD) or (busiest_disk_subtype = 'SATA_SSD' and p95_disk_await > IO_AWAIT_SATA_SSD_THRESHOLD) or (busiest_disk_subtype = 'NVME_SSD' and p95_disk_await > IO_AWAIT_NVME_SSD_THRESHOLD)) or p95_single_core_iowait > IO_WAIT_HIGH_THRESHOLD)", "the device is saturated at {p95_disk_util:.2f}%", (
+                Rule("synchronous I/O", "avg_avgqu_sz < IO_QUEUE_LOW_THRESHOLD and p95_avgqu_sz < IO_QUEUE_LOW_THRESHOLD and p95_single_core_iowait > IO_WAIT_HIGH_THRESHOLD", "short queue {avg_avgqu_sz:.2f}, {iowait_core_count} cores wait"),
                 Rule("small requests", "avg_avgrq_sz_kb < IO_SMALL_REQ_SIZE_THRESHOLD", "many requests of {avg_avgrq_sz_kb:.1f} KB"),
                 Rule("large requests", "avg_avgrq_sz_kb > IO_LARGE_REQ_SIZE_THRESHOLD", "requests of {avg_avgrq_sz_kb:.1f} KB"),
             )),

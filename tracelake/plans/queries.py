@@ -688,6 +688,22 @@ add(
 )
 
 
+def bare_text(i: int):
+    return F.concat(F.lit("\t"), F.col(f"symbol{i}"), F.lit(" ("), F.col(f"dso{i}"), F.lit(")"))
+
+
+TID_HEADER = lambda: F.concat(F.col("command"), F.lit(" "), F.col("pid").cast("string"), F.lit("/"), (F.col("pid") + 1).cast("string"), F.lit(" "), F.col("time"), F.lit(": "), F.col("event"), F.lit(": "))
+COMMAND_HEADER = lambda: F.concat(F.col("command"), F.lit(":"))
+add(
+    "f1_text_bare", lambda v: FC.collapse(X.chain_samples(lines(v.fx_samples, F.concat_ws("\n", TID_HEADER(), bare_text(0), bare_text(1), bare_text(2)))), FC.Options(event="cycles", include_tid=True)),
+    FOLD.replace("sum(value)", "count(*)").format(proc="concat(command, ' ', cast(pid as string), '/', cast(pid + 1 as string))", f2="symbol2", f1=UNKNOWN1, f0=BARE0, where="event = 'cycles'"),
+)
+add(
+    "f1_text_command", lambda v: FC.collapse(X.chain_samples(lines(v.fx_samples, F.concat_ws("\n", COMMAND_HEADER(), block_text(0), block_text(1), block_text(2)))), FC.Options(event="cycles", include_pid=True)),
+    FOLD.replace("sum(value)", "count(*)").format(proc="command", f2="symbol2", f1=UNKNOWN1, f0=BARE0, where="true"),
+)
+
+
 def report_lines(v: Views) -> DataFrame:
     d = v.tr_calls.select(F.concat(F.lit("c"), (F.col("id") % 3).cast("string")).alias(CID), F.col("id").alias("ord"), F.concat(F.rpad(F.format_string(" %.2f%% %.2f%%", (F.col("id") % 100).cast("double"), (F.col("id") % 50).cast("double")), 17, " "), F.rpad(F.concat(F.lit("c"), F.col("thread_id").cast("string")), 14, " "), F.rpad(F.lit("lib x.so"), 12, " "), F.when(F.col("id") % 2 == 0, "[k] ").otherwise("[.] "), F.lit("f<a,  b>::"), F.col("comm_id").cast("string")).alias("value"))
     ruler = d.select(CID).distinct().select(CID, F.lit(-1).cast("bigint").alias("ord"), F.concat(F.lit("." * 15), F.lit("  "), F.lit("." * 12), F.lit("  "), F.lit("." * 10), F.lit("  "), F.lit("." * 20)).alias("value"))
