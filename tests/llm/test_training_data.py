@@ -127,6 +127,34 @@ def test_pii_digest_and_redaction(spark, texts):
     assert got[0]["text"] is None and got[7]["text"] == texts[7]
 
 
+def test_secrets():
+    for text in ('x token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda" y', "API_KEY: abcd1234efgh.", "my_Password='hunter22!!'", '{"client_secret": "a1b2c3d4e5"}', "pwd=longer1pass, then"):
+        found = pii.find_spans(text)["secret"]
+        assert len(found) == 1 and pii.redacted(text, {"secret": found}, ("secret",)).count("[SECRET]") == 1, text
+    a, b = pii.find_spans("token = 'f3ef4d6b27'")["secret"][0]
+    assert (a, b) == (9, 19)
+    for text in ("the token: nothing here", "tokens = abcdefgh1", "password required: yes", "secret", "token=", "token = 12.05.2020", "token :", "pwd: short1"):
+        assert not pii.find_spans(text)["secret"], text
+
+
+def test_secrets_of_the_given_documents(spark):
+    """Every document with a name, = or : and a long hexadecimal value has a span there; most documents have none."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    given = re.compile(r"(?i)\b(?:token|secret|password|api_key)\s?[=:]\s?[\"']?[0-9a-f]{16,}")
+    have = [(bool(given.search(r["text"] or "")), bool(pii.find_spans(r["text"])["secret"])) for r in rows]
+    assert all(found for there, found in have if there) and any(there for there, _ in have)
+    assert all(there for there, found in have if found)
+
+
+def test_pii_of_nothing_and_overlaps(spark):
+    assert pii.pii_digest(docs(spark, []).limit(0)).count() == 0
+    assert pii.redact_pii(docs(spark, []).limit(0)).count() == 0
+    text = "token = a1@example.org and http://10.0.0.1/x"
+    spans = pii.find_spans(text)
+    assert spans["email"] == [(8, 22)] and spans["secret"] == [(8, 22)] and spans["ip"] == [(34, 42)] and spans["url"] == [(27, 44)]
+    assert pii.redacted(text, spans, ("email", "ip", "secret")) == "token = [EMAIL] and http://[IP]/x"
+
+
 def test_accounts_in_all_spellings():
     for cue in ("Account No", "Account Number", "ACCOUNT number", "Passport No", "Tax ID", "Iban No", "iBAN", "Acct"):
         t = f"\u0130\u00df {cue}: 12345678."

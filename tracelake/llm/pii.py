@@ -1,7 +1,12 @@
 """Personal data by anchor expansion: an Aho-Corasick automaton finds at-signs, schemes, plus signs, digits and identifier
 cues in one pass over a text; a deterministic parser expands each anchor to the left and right and validates what it got.
 
-Rows: a null text counts as empty and has no spans; repeated rows are each scanned; any further columns are ignored.
+Beside the base kinds (email, ip, card, phone) it finds `url` (a scheme and what follows), `account` (a number behind an identifier
+cue; an IBAN must pass its check) and `secret` (a key, token or password that is given behind = or :).  Spans of one kind never
+overlap; spans of different kinds may, and are all listed; where text is masked, the union of such spans takes the first one's name.
+
+Rows: a null text counts as empty and has no spans; repeated rows are each scanned; an empty table gives no rows; any further
+columns are ignored.
 Offsets are code points, the end is exclusive."""
 
 from __future__ import annotations
@@ -15,9 +20,11 @@ from tracelake.llm.common import map_slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that the method adds to the four base kinds.
-MORE = ("url", "account")
+MORE = ("url", "account", "secret")
 #: Cues in front of an account or identity number.
 CUES = ("iban", "iban no", "iban number", "account no", "account number", "acct", "passport no", "passport number", "ssn", "tax id")
+#: Names behind which a secret is given.
+SECRETS = ("api key", "api_key", "api-key", "apikey", "access key", "access_key", "private key", "private_key", "secret", "secret key", "secret_key", "client_secret", "token", "auth_token", "access_token", "password", "passwd", "passphrase", "pwd", "bearer")
 #: Characters of an IBAN by country.
 IBAN = {x[:2]: int(x[2:]) for x in (
     "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 "
@@ -31,6 +38,7 @@ WORD = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789
 LOCAL = WORD | frozenset("._%+-")
 LABEL = WORD | frozenset("-")
 PHONE = DIGITS | frozenset(" ().-")
+SECRET = WORD | frozenset("_-+/=.~!@#$%^&*?")
 
 _automaton = None
 
@@ -49,6 +57,8 @@ def automaton():
         a.add_word("://", ("scheme", 3))
         for cue in CUES:
             a.add_word(cue, ("cue", len(cue)))
+        for cue in SECRETS:
+            a.add_word(cue, ("secret", len(cue)))
         a.make_automaton()
         _automaton = a
     return _automaton
@@ -161,6 +171,22 @@ def account_at(text: str, cue_end: int) -> tuple[int, int] | None:
     return (start, end) if len(body) <= 42 and sum(c in DIGITS for c in body) >= 6 else None
 
 
+def secret_at(text: str, cue_end: int) -> tuple[int, int] | None:
+    """After a name: = or :, with quotes and up to two blanks about it, then 8 characters or more of which one is a digit, and that
+    are not all digits and dots.  Sentence marks at the end stay out."""
+    at, n = cue_end, len(text)
+    at += at < n and text[at] in "\"'"
+    for wanted in (" ", " ", "=:", ">=", " ", " ", "\"'"):
+        at += at < n and text[at] in wanted
+        if wanted == "=:" and text[at - 1] not in "=:":
+            return None
+    end = run_end(text, at, SECRET)
+    while end > at and text[end - 1] in ".!?":
+        end -= 1
+    body = text[at:end]
+    return (at, end) if len(body) >= 8 and any(c in DIGITS for c in body) and not all(c in DIGITS or c in ".-/" for c in body) else None
+
+
 def url_at(text: str, colon: int, after: int) -> tuple[int, int] | None:
     start = colon
     while start > after and text[start - 1] in WORD:
@@ -209,6 +235,10 @@ def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
             if at >= done["url"] and (m := url_at(text, at, done["url"])):
                 done["url"] = m[1]
                 out["url"].append(m)
+        elif what == "secret":
+            if at >= done["secret"] and (at == 0 or text[at - 1] not in WORD) and (m := secret_at(text, last + 1)):
+                done["secret"] = m[1]
+                out["secret"].append(m)
         elif at >= done["account"] and (at == 0 or text[at - 1] not in WORD) and (m := iban_at(text, last + 1) or account_at(text, last + 1)):
             done["account"] = m[1]
             out["account"].append(m)
@@ -268,7 +298,7 @@ def pii_digest(docs: DataFrame) -> DataFrame:
 
 def redact_pii(docs: DataFrame) -> DataFrame:
     """docs, in the same columns, with every span but urls replaced in `text`; n_chars follows the text where it changed."""
-    names, kinds = docs.columns, (*KINDS, "account")
+    names, kinds = docs.columns, (*KINDS, "account", "secret")
     schema = docs.schema
 
     def run(batches):
