@@ -91,6 +91,41 @@ def test_best_fit_keeps_every_capacity(score):
         assert sorted(offset[bins == b]) == np.concatenate([[0], np.cumsum(own[np.argsort(offset[bins == b])])[:-1]]).tolist()
 
 
+def brute_best_fit(n, docs, cost, cap):
+    """The sequences one by one, in plain sums."""
+    bins, room = [], []
+    for i in sorted(range(len(n)), key=lambda i: -n[i]):
+        d = (n[i] / cap.tokens, docs[i] / cap.documents, cost[i] / cap.cost)
+        best = None
+        for k, r in enumerate(room):
+            if all(x >= y - 1e-12 for x, y in zip(r, d, strict=True)):
+                left = [x - y for x, y in zip(r, d, strict=True)]
+                s = sum(w * x * x for w, x in zip(cap.weights, left, strict=True)) if cap.score == "norm" else -sum(w * x * y for w, x, y in zip(cap.weights, r, d, strict=True))
+                if best is None or s < best[0]:
+                    best = s, k
+        if best is None:
+            room.append([1.0, 1.0, 1.0])
+            best = 0, len(room) - 1
+        room[best[1]] = [x - y for x, y in zip(room[best[1]], d, strict=True)]
+        bins.append((i, best[1]))
+    return [b for _, b in sorted(bins)]
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+def test_best_fit_equals_brute_force_and_every_capacity_rejects(score):
+    n = np.random.default_rng(3).integers(1, 700, 300)
+    used = {}
+    wide = dict(tokens=1024, documents=2**20, cost=2.0**40)  # binary fractions, so that ties are exact
+    for name, more in {"tokens": {}, "documents": {"documents": 2}, "cost": {"cost": 2.0**19}, "weights": {"weights": (1.0, 0.0, 0.0), "documents": 32, "cost": 2.0**20}, "weighed": {"documents": 32, "cost": 2.0**20}}.items():
+        cap = packing.Capacity(**wide | {"weights": (1.0, 0.0625, 0.0625), "score": score} | more)
+        bins, _ = packing.best_fit(n, np.ones(300), n.astype(float) ** 2, cap)
+        want = brute_best_fit(n.tolist(), [1] * 300, [float(x) ** 2 for x in n], cap)
+        assert len(set(bins.tolist())) == len(set(want)) and {frozenset(np.flatnonzero(bins == b)) for b in set(bins.tolist())} == {frozenset(i for i, x in enumerate(want) if x == b) for b in set(want)}
+        used[name] = tuple(want)
+    assert len(set(used["documents"])) > len(set(used["tokens"])) and len(set(used["cost"])) > len(set(used["tokens"]))
+    assert used["weights"] != used["weighed"]
+
+
 # Personal data ---------------------------------------------------------------------------------------------------------------
 
 

@@ -140,6 +140,11 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Asks the driver to clean up now, so that shuffle files of finished work leave the executors' disks."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id's text modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n

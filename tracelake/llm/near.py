@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import blank_words, discard, distinct, gram_hashes, map_slices, mixed, stored, word_hashes
+from tracelake.llm.common import blank_words, discard, distinct, gram_hashes, map_slices, mixed, release, stored, word_hashes
 
 
 @dataclass(frozen=True)
@@ -282,6 +282,7 @@ def between(rows: DataFrame, key: list[str], percent: int) -> DataFrame:
 
 def ordered(rows: DataFrame, by: list[str]) -> DataFrame:
     """(*by, node, xs) from (*by, node, x): the elements that several nodes share, the rarest first."""
+    rows = rows.repartition(*by, "x")  # one shuffle for the count and the join
     common = rows.groupBy(*by, "x").agg(F.count("*").alias("c")).filter("c > 1")
     return rows.join(common, [*by, "x"]).groupBy(*by, "node").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("xs"))
 
@@ -333,6 +334,14 @@ def near_candidates(family: DataFrame, tried: DataFrame, percent: int) -> DataFr
     return out
 
 
+def far_nodes(family: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(node, comp) of the classes far from the hub of a bucket in which another one in another component is so too."""
+    beyond = family.filter(F.col("d").isNull() | (F.col("d") > cut(F.col("na")))).select("hub", "node", "comp")
+    met = buckets.join(beyond, ["hub", "node"]).select("sig", "node", "comp")
+    mixed = met.groupBy("sig").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).filter("one < other").select("sig")
+    return met.join(mixed, "sig").select("node", "comp").distinct()
+
+
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, repeated: bool | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the smallest doc_id that links of at least that similarity reach.
     repeated: whether rows share an id, if that is known."""
@@ -343,9 +352,9 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, repeated: bo
     # One shuffle, by signature: the hubs are found and joined back where the rows already are.
     rows = signature_rows(docs, words, percent).filter("node is not null and sig is not null").repartition("sig")
     shared = rows.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("sig", "hub")
-    pairs = stored(rows.join(shared, "sig").filter("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    bounds = bounded(pairs, classes)
-    discard(pairs)
+    buckets = stored(rows.join(shared, "sig").filter("node > hub"))
+    release(docs.sparkSession)
+    bounds = bounded(buckets.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), classes)
     reach = cut(F.col("na")) + most_apart(F.col("nb"), percent)
     tried = verified(bounds.filter(F.col("least") <= reach), classes, docs, words, percent, repeated)
     links = tried.filter("link").select("a", "b")
@@ -360,16 +369,14 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, repeated: bo
     family = stored(family.select(F.col("a").alias("hub"), F.col("b").alias("node"), "na", F.col("nb").alias("n"), "d", cb.alias("comp"), (ca != cb).alias("out")))
     close = family.filter(F.col("d") <= cut(F.col("na")) + most_apart(F.col("n"), percent)).drop("na")
     near = near_candidates(close, tried, percent)
-    beyond = family.filter(F.col("d").isNull() | (F.col("d") > cut(F.col("na")))).select("hub", "node", "comp")
-    mixed = beyond.groupBy("hub").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).filter("one < other").select("hub")
-    nodes = stored(dealt(beyond, mixed, "hub").select("node", "comp").distinct())
+    nodes = stored(far_nodes(family, buckets))
     away = far_candidates(nodes, classes, docs, words, percent, repeated)
     more = bounded(near.union(away).distinct(), classes)
     linked = F.col("least") * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))
     again = verified(more.filter(linked), classes, docs, words, percent, repeated)
     if again.filter("link").limit(1).count():
         found = components(links.union(again.filter("link").select("a", "b")))
-    discard(bounds, tried, family, near, nodes, more, again)
+    discard(buckets, bounds, tried, family, near, nodes, more, again)
 
     comp = classes.join(found, "node", "left").select("node", "h2", "n", "rep", F.coalesce("comp", "node").alias("comp"))
     least = comp.groupBy("comp").agg(F.min("rep").alias("component_id"))

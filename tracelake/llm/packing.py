@@ -5,6 +5,10 @@ tasks by a hash; a task packs its pieces in chunks of bounded size, longest firs
 it under every capacity and that scores best, by the weighted norm of what would remain there or by the weighted dot product of
 demand and residual.  The few sequences that a chunk leaves partly filled are then packed once more, as units, across chunks.
 
+With the default capacities tokens alone can reject: a piece has a token at least, and the squares of lengths that add up to 4096
+add up to 4096 squared at most, which a whole piece needs.  Documents and cost then decide among the sequences that a piece fits,
+through their weights; lower capacities of theirs reject, too.
+
 Rows: a null text counts as empty (one piece with the closing id alone); repeated rows are packed each; an empty table gives no
 rows; further columns are ignored.  No piece is dropped: one that exceeds a capacity alone raises an error."""
 
@@ -33,7 +37,7 @@ class Capacity:
     documents: int = 4096
     cost: float = 4096.0**2
     #: Weights of the three in the score.
-    weights: tuple[float, float, float] = (1.0, 1e-4, 1e-4)
+    weights: tuple[float, float, float] = (1.0, 0.05, 0.05)
     #: "norm" or "dot".
     score: str = "norm"
     #: Pieces that one packing step holds.
