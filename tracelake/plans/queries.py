@@ -479,11 +479,11 @@ def cpu_sets(rows: DataFrame) -> DataFrame:
     return rows.select("module", "addr", F.array_join(T.cpu_set(text), ",").alias("cpus"))
 
 
-# The SQL of k20_cpu_sets and l4_findings covers a part; the whole is registered without SQL and tested against brute force.
+# The SQL of l4_findings covers a part; the whole is registered without SQL and tested against brute force.
 add("k20_cpu_sets_whole", lambda v: cpu_sets(v.fx_probe_addr))
 add(
-    "k20_cpu_sets", lambda v: cpu_sets(v.fx_probe_addr.filter("addr % 10 = 1")),
-    """select module, addr, array_to_string(list_concat([cast(addr % 7 as string), cast(addr % 7 + 1 as string), cast(addr % 7 + 2 as string)], case when addr % 5 between addr % 7 and addr % 7 + 2 then [] else [cast(addr % 5 as string)] end), ',') as cpus from fx_probe_addr where addr % 10 = 1""",
+    "k20_cpu_sets", lambda v: cpu_sets(v.fx_probe_addr),
+    """select module, addr, array_to_string(list_concat([cast(addr % 7 as string), cast(addr % 7 + 1 as string), cast(addr % 7 + 2 as string)], case when addr % 5 between addr % 7 and addr % 7 + 2 then [] else [cast(addr % 5 as string)] end), ',') as cpus from fx_probe_addr""",
 )
 add(
     "k21_cpu_ranges", lambda v: v.fx_counters.filter("value > 500").groupBy(CID, "timestamp").agg(T.cpu_ranges(F.collect_set(F.col("cpu_id").cast("string"))).alias("cpus")),
@@ -736,4 +736,50 @@ add("b2_symbol_csv", lambda v: B.symbol_stats_csv(G.symbol_hotspots(v.fx_folded)
 add("b3_stack_csv", lambda v: B.stack_stats_csv(v.fx_folded), "select collection_id, stack, weight from fx_folded")
 add("b4_path_csv", lambda v: B.path_stats_csv(H.path_stats(v.fx_folded)).select(CID, "path", "count"), PATHS + " select collection_id, array_to_string(path, ';') as path, count from paths")
 add("b6_rounded_records", lambda v: B.rounded_records(v.fx_series.select(CID, "timestamp", (F.floor("tps") / 8).alias("x"))), "select collection_id, timestamp, round_even(floor(tps) / 8, 2) as x from fx_series")
-add("b7_groups_json", lambda v: B.groups_json(J.module_groups(v.chains).withColumn("functions", F.size("functions"))))
+add("b7_groups_json", lambda v: B.groups_json(J.module_groups(v.chains)))
+MODULES, _, RANKED = SQL["j7_module_groups"].replace("array_to_string(list_sort(list_distinct(list(n.function))), ',') as functions", "list_sort(list_distinct(list(n.function))) as functions").rpartition("select collection_id, cast(dense_rank()")
+SQL["b7_groups_json"] = f"{MODULES}select collection_id, cast(to_json(struct_pack(cluster := cluster, dso := dso, functions := functions)) as varchar) as js from (select collection_id, cast(dense_rank(){RANKED})"
+
+
+def spec_files(v: Views) -> DataFrame:
+    """Specifications of the devices as YAML (of which JSON is a part), and files that must not count beside them."""
+    device = F.struct("name", "rotational", "size_bytes", F.struct(F.col("fs_percent").alias("percent"), "mount").alias("fs_usage"))
+    text = F.concat(F.lit("cpu_info: {cores: 4}\ndisk_info:\n  block_devices: "), F.to_json(F.collect_list(device)))
+    d = v.fx_devices.groupBy(CID).agg(text.alias("text"))
+    kinds = {"static_info.yaml": F.col("text"), "spec_info.yaml": F.lit("disk_info: {}"), "other.yaml": F.lit("[")}
+    return d.select(CID, F.explode(F.array(*[F.struct(F.lit(k).alias("file"), t.alias("text")) for k, t in kinds.items()])).alias("f")).select(CID, "f.*")
+
+
+add(
+    "a13_system_specs", lambda v: A.devices(A.system_specs(spec_files(v))).select(CID, "name", F.col("rotational").cast("string").alias("rotational"), F.col("size_bytes").cast("bigint").alias("size_bytes"), F.col("fs_percent").cast("double").alias("fs_percent"), "mount"),
+    "select collection_id, name, cast(rotational as string) as rotational, cast(size_bytes as bigint) as size_bytes, cast(fs_percent as double) as fs_percent, mount from fx_devices",
+)
+
+
+def archives(v: Views) -> DataFrame:
+    """A tar archive for each collection, with a list of its devices in the data folder and a file outside of it."""
+
+    def packed(frames):
+        import io
+        import tarfile
+
+        import pandas as pd
+
+        for f in frames:
+            for cid, text in zip(f[CID], f["text"], strict=True):
+                out = io.BytesIO()
+                with tarfile.open(fileobj=out, mode="w") as tar:
+                    for name, body in (("attach_session_1/devices.csv", text), ("attach_session_1/in/empty.csv", ""), ("zother/x", "x")):
+                        info = tarfile.TarInfo(name)
+                        info.size = len(body.encode())
+                        tar.addfile(info, io.BytesIO(body.encode()))
+                yield pd.DataFrame({"path": [f"/a/{cid}.tar"], "content": [out.getvalue()]})
+
+    lines = F.array_join(F.sort_array(F.collect_list(F.concat_ws(",", "name", F.col("size_bytes").cast("string")))), "\n")
+    return v.fx_devices.groupBy(CID).agg(lines.alias("text")).mapInPandas(packed, "path string, content binary")
+
+
+add(
+    "a14_archive_members", lambda v: A.unpacked(archives(v)),
+    "with t as (select collection_id, array_to_string(list_sort(list(concat_ws(',', name, cast(size_bytes as string)))), chr(10)) as text from fx_devices group by 1) select collection_id, 'devices.csv' as file, cast(strlen(text) as bigint) as size, text from t union all select collection_id, 'in/empty.csv', cast(0 as bigint), '' from t",
+)

@@ -95,8 +95,13 @@ def devices(specs: DataFrame) -> DataFrame:
 
 
 def archive_members(spark: SparkSession, path: str) -> DataFrame:
-    """(collection_id, file, size, text) of tar archives, one task for each archive: the members of the data folder, which is the
-    only one, else the first whose name begins with attach_session; an archive without one is an error."""
+    """(collection_id, file, size, text) of the members of tar archives; see `unpacked`."""
+    return unpacked(spark.read.format("binaryFile").load(path))
+
+
+def unpacked(archives: DataFrame) -> DataFrame:
+    """(collection_id, file, size, text) from (path, content), one task for each archive: the members of the data folder, which is
+    the only one, else the first whose name begins with attach_session; an archive without one is an error."""
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -113,7 +118,7 @@ def archive_members(spark: SparkSession, path: str) -> DataFrame:
                         if top == own[0] and rest:
                             yield pd.DataFrame({CID: [cid], "file": [rest], "size": [m.size], "text": [tar.extractfile(m).read().decode("utf-8", "replace")]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, f"{CID} string, file string, size bigint, text string")
+    return archives.select("path", "content").mapInPandas(unpack, f"{CID} string, file string, size bigint, text string")
 
 
 def member_lines(members: DataFrame, file: str) -> DataFrame:
