@@ -3,6 +3,7 @@ its result against a brute-force statement of the contract."""
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -401,6 +402,90 @@ def test_toxicity(spark, texts):
     assert toxicity.score_toxicity(docs(spark, [far]), net).first()["predicted"] == 1
 
 
+def slow_quality(model, text):
+    """The score by adding up table entries, one comparison after the other."""
+    x = quality.features(text)
+    bins = []
+    for v, cuts in zip(x, model.cuts, strict=True):
+        at = 0
+        while at < len(cuts) and v >= cuts[at]:
+            at += 1
+        bins.append(at)
+    raw = model.base
+    for b, t in zip(bins, model.tables, strict=True):
+        raw += t[b]
+    for (j, k), t in zip(model.pairs, model.pair_tables, strict=True):
+        raw += t[min(bins[j] * 8 // len(model.tables[j]), 7)][min(bins[k] * 8 // len(model.tables[k]), 7)]
+    return 1 / (1 + math.exp(-min(30, max(-30, raw))))
+
+
+def slow_toxicity(net, text):
+    """The network one window, one word and one unit at a time."""
+    h = toxicity.SIZE
+    words = toxicity.alnum_words(text)
+
+    def vector(w):
+        b = b"<" + w + b">"
+        grams = [(b[i] * 7919 + b[i + 1] * 104729 + b[i + 2] * 1299709) % toxicity.GRAMS for i in range(len(w))]
+        return net.p["word"][net.words.get(w, 0)].astype(float) + sum(net.p["gram"][g].astype(float) for g in grams) / len(grams)
+
+    def states(xs, u):
+        s, out = np.zeros(h), []
+        for x in xs:
+            x = x @ net.p[f"in_{u}"] + net.p[f"b_{u}"] if x is not None else net.p[f"b_{u}"].astype(float)
+            rec = net.p[f"rec_{u}"].astype(float)
+            z = [min(1, max(0, 0.25 * (x[i] + s @ rec[:, i]) + 0.5)) for i in range(h)]
+            r = [min(1, max(0, 0.25 * (x[h + i] + s @ rec[:, h + i]) + 0.5)) for i in range(h)]
+            c = [min(1, max(-1, x[2 * h + i] + (np.array(r) * s) @ rec[:, 2 * h + i])) for i in range(h)]
+            s = np.array([s[i] + z[i] * (c[i] - s[i]) for i in range(h)])
+            out.append(s)
+        return out
+
+    best, start = None, 0
+    while start == 0 or start + toxicity.WIDTH - toxicity.STEP < len(words):
+        xs = [vector(w) for w in words[start : start + toxicity.WIDTH]]
+        xs += [None] * (toxicity.WIDTH - len(xs))
+        both = [np.concatenate([f, b]) for f, b in zip(states(xs, "f"), states(xs[::-1], "b")[::-1], strict=True)]
+        e = [float(v @ net.p["att"]) for v in both]
+        a = [math.exp(v - max(e)) for v in e]
+        pooled = sum(w * float(v @ net.p["out"]) for w, v in zip(a, both, strict=True)) / sum(a)
+        raw = (pooled + float(net.p["out_b"][0])) * net.scale + net.shift
+        best = raw if best is None else max(best, raw)
+        start += toxicity.STEP
+    return 1 / (1 + math.exp(-min(30, max(-30, best))))
+
+
+def test_scores_equal_brute_force(spark):
+    """Both models on the given documents, and on no documents and no labels."""
+    d, known = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model, net = quality.train_quality(d, known), toxicity.train_toxicity(d, known)
+    texts = {r["doc_id"]: r["text"] for r in d.collect()}
+    for r in quality.score_quality(d, model).collect():
+        assert abs(r["score"] - slow_quality(model, texts[r["doc_id"]])) < 1e-9
+    some = [r for r in toxicity.score_toxicity(d, net).collect() if len(texts[r["doc_id"]] or "") < 1500]
+    assert len(some) > 40
+    for r in some[:80]:
+        assert abs(r["score"] - slow_toxicity(net, texts[r["doc_id"]])) < 1e-3
+    none = d.limit(0)
+    assert quality.score_quality(none, model).count() == toxicity.score_toxicity(none, net).count() == toxicity.drop_toxic(none, net).count() == 0
+    for docs_, labels_ in ((d, known.limit(0)), (none, known)):
+        assert quality.score_quality(d, quality.train_quality(docs_, labels_)).count() == len(texts)
+        assert toxicity.score_toxicity(d, toxicity.train_toxicity(docs_, labels_)).count() == len(texts)
+
+
+def test_tree_step_equals_exhaustive_search():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        g, h = rng.normal(size=9), rng.random(9) + 0.1
+        step, gain = quality.tree_step(g, h, 2, 2.0)
+        whole = g.sum() ** 2 / (h.sum() + 2)
+        best = max(range(1, 9), key=lambda s: g[:s].sum() ** 2 / (h[:s].sum() + 2) + g[s:].sum() ** 2 / (h[s:].sum() + 2))
+        left, right = g[:best].sum() / (h[:best].sum() + 2), g[best:].sum() / (h[best:].sum() + 2)
+        more = g[:best].sum() * left + g[best:].sum() * right - whole
+        assert np.isclose(gain, max(more, 0), atol=1e-8)
+        assert np.allclose(step, [left] * best + [right] * (9 - best) if more > 1e-9 else [g.sum() / (h.sum() + 2)] * 9)
+
+
 def test_gradients():
     net = toxicity.fit_network(["a b bad", "a c", "b bad d", "d e"] * 6, np.array([1, 0, 1, 0] * 6), rounds=1)
     net.scale, net.shift = 1.0, 0.0
