@@ -337,6 +337,7 @@ def test_lonely_queries_have_all_neighbours(spark):
 
 def test_licences_equal_sql(spark, texts):
     own = [*texts, "Released UNDER the MIT license. under the mit license", "Apache License, Version 2.0 cc-by-nc 4.0", "mit the under license", "GNU General Public License, version 3; all rights reserved"]
+    own += [licences.MORE["mit-text"][1], "x " + licences.MORE["bsd"][1].replace("retain", "keep"), licences.BASE["apache-2"][1][:120], licences.MORE["isc"][0]]
     d = docs(spark, own)
     con = duckdb.connect()
     frame = d.select("doc_id", "text").toPandas()  # noqa: F841

@@ -2,31 +2,51 @@
 
 Document frequencies of all words of the licence texts come from one pass over the corpus; each licence's mandatory phrase is
 indexed under its rarest words with their places.  In a file, the places of such words give the places where the phrase would
-have to begin; where several of its rare words agree, or the rarest one stands, the phrase is compared word by word.
+have to begin; where several of its rare words agree, or the rarest one stands, the phrase is compared word by word.  The score is
+the greatest share of a licence's or notice's text that stands in its place behind a verified phrase.
 
 Rows: a null text has no words; a file without licence words gets no label and score 0; repeated rows are each scanned; an empty
 table gives no rows; further columns are ignored."""
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Label -> mandatory phrase, and the wording around it from the phrase's first word on.
+#: Label -> mandatory phrase, and the licence's or notice's text from the phrase's first word on.
 BASE = {
     "mit": ("under the mit license", "under the mit license"),
-    "apache-2": ("apache license version 2", "apache license version 2 0"),
+    "apache-2": (
+        "apache license version 2",
+        "apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+        "http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is "
+        "distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    ),
     "cc-by-nc": ("cc by nc", "cc by nc 4 0"),
 }
 MORE = {
     "gpl-3": ("gnu general public license version 3", "gnu general public license version 3"),
-    "bsd": ("redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted"),
-    "mit-text": ("permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    "bsd": (
+        "redistribution and use in source and binary forms",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the "
+        "documentation and or other materials provided with the distribution",
+    ),
+    "mit-text": (
+        "permission is hereby granted free of charge to any person obtaining a copy",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to "
+        "deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or "
+        "sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above "
+        "copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    ),
+    "isc": (
+        "permission to use copy modify and or distribute this software for any purpose",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above "
+        "copyright notice and this permission notice appear in all copies",
+    ),
     "cc-by-sa": ("cc by sa", "cc by sa 4 0"),
-    "mpl-2": ("mozilla public license version 2", "mozilla public license version 2 0"),
+    "mpl-2": ("mozilla public license version 2", "mozilla public license version 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
     "reserved": ("all rights reserved", "all rights reserved"),
 }
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -87,8 +107,9 @@ def phrase_places(label: str, phrase: str, wording: str, rare: list[tuple[str, i
         return (s >= 0) & (F.slice("__w", F.greatest(s, F.lit(0)) + 1, len(key)) == F.array(*map(F.lit, key)))
 
     def place(s: Column) -> Column:
-        same = [F.when(F.get("__w", s + i) == w, 1).otherwise(0) for i, w in enumerate(full)]
-        return F.struct(F.lit(label).alias("label"), s.cast("long").alias("start"), (reduce(add, same) / len(full)).alias("share"))
+        pairs = F.arrays_zip(F.slice("__w", s + 1, len(full)).alias("own"), F.array(*map(F.lit, full)).alias("text"))
+        same = F.size(F.filter(pairs, lambda x: F.coalesce(x["own"] == x["text"], F.lit(False))))
+        return F.struct(F.lit(label).alias("label"), s.cast("long").alias("start"), (same / len(full)).alias("share"))
 
     return F.transform(F.filter(starts, stands), place)
 
