@@ -121,12 +121,21 @@ def shared_folder(spark: SparkSession) -> str:
     return d
 
 
+#: With it the shuffle files of a write go from the executors' disks when it is done.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there, and a lost executor costs no rework.  Tables stay
     until discard() or the end of the folder, as what an operator returns may still read them."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tracelake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, was)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -140,11 +149,6 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Asks the driver to clean up now, so that shuffle files of finished work leave the executors' disks."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id's text modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n
