@@ -3,12 +3,10 @@ leaks go, personal data is masked, and what is left is packed."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelake.llm import leaks, near, packing, pii, toxicity
-from tracelake.llm.common import shared_folder
+from tracelake.llm.common import discard, stored
 from tracelake.llm.queries import table, tokenizer_path
 
 
@@ -45,11 +43,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of what is left.  Rows with nulls go through (a null text is no text; a null id is kept), repeated rows
+    are copies of which one stays, no documents give no rows, and extra columns are carried along until packing."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, stage in STAGES[:-1]:
+        kept = stored(stage(spark, docs, sf_dir))
+        discard(docs)  # a stage's table, once the next one stands
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
