@@ -766,3 +766,27 @@ def test_pipeline(spark, tmp_path):
             assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in before.collect()} - bad
         before = after
     check_packing(before.collect())
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls, repeated rows, ties, empty and very long texts, clashing columns, and no rows at all."""
+    import corpus_pipeline as P
+
+    long_ = " ".join(f"word{i % 977}x{i}" for i in range(30_000))
+    copies = "the same seven words stand in here"
+    rows = [(1, copies), (1, copies), (None, copies), (2, None), (2, None), (3, ""), (None, None), (4, long_), (4, "quite another text under the same id"), (5, "write to a.b@example.org now")]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, row long, node long, sig long, score double, doc string, rep long"
+    odd = spark.createDataFrame([(i, t, "en", None, len(t) if t else None, 1, 2, 3, 0.5, "d", 4) for i, t in rows], kind)
+    for d, size in ((odd, [10, 8, 8, 8, 15]), (odd.limit(0), [0] * 5)):
+        for (name, stage), n in zip(P.STAGES, size, strict=True):
+            after = stage(spark, d, SF)
+            if name != "best_fit_packing":
+                assert after.columns == odd.columns, name
+                got = after.collect()
+                assert len(got) == n, (name, len(got))
+                d = spark.createDataFrame(got, kind)
+            else:
+                got = after.collect()
+                check_packing(got)
+                assert (len({r["doc_id"] for r in got}) == 6) if n else not got
+    assert all("a.b@example.org" not in (r["text"] or "") for r in pii.redact_pii(odd).collect())
