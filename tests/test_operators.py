@@ -10,6 +10,7 @@ from tracelake.functions import text as T
 from tracelake.operators import CID
 from tracelake.operators import collapse as FC
 from tracelake.operators import counters as C
+from tracelake.operators import layout as I
 from tracelake.operators import rules as L
 from tracelake.operators import samples as E
 from tracelake.operators import stacks as G
@@ -141,6 +142,20 @@ def test_tree_invariants(stacks):
         H.symbol_overhead(stacks, "")
 
 
+def test_layouts_agree(spark):
+    """By text the blocks are those of the same order given row by row, also where a name comes between a leaf and its namesake."""
+    stacks = ["a", "a;foo", "a;foo(int);x", "a;foo;y", "a;foo;z", "a b;c", "b", "b;foo", "b;foo;y;y", "b;foo.part", ";x", "a;;q"]
+    rows = [(c, s, i + 1 + len(c)) for c in ("c", "dd") for i, s in enumerate(stacks)]
+    d = spark.createDataFrame(rows, f"{CID} string, stack string, weight bigint")
+    place = {s: i for i, s in enumerate(sorted(stacks))}
+    given = spark.createDataFrame([(c, s, w, -place[s]) for c, s, w in rows], f"{CID} string, stack string, weight bigint, ord int")
+    blocks = lambda x: sorted(tuple(r) for r in x.collect())
+    assert blocks(I.layout(d)) == blocks(I.layout(given, flamechart=True))
+    two = lambda x: x.withColumn("w2", F.col("weight") * 3 + F.length("stack"))
+    assert blocks(I.layout(two(d), second="w2")) == blocks(I.layout(two(given), flamechart=True, second="w2"))
+    assert I.layout(d.limit(0)).count() == 0
+
+
 def test_text_functions(spark):
     r = spark.range(1).select(T.cpu_set(F.lit("0-2,5, 7-8,x")), T.cpu_ranges(F.array(*map(F.lit, ["0", "1", "2", "all", "4", "5", "7"]))), T.cpu_ranges(F.array().cast("array<string>")), T.byte_text(F.lit(3 * 1024**3)), T.byte_text(F.lit(5)), T.natural_sorted(F.array(*map(F.lit, ["10", "2", "a"])))).first()
     assert list(r) == [["0", "1", "2", "5", "7", "8"], "all,0-2,4-5,7", "None", "3.00 GB", "5 B", ["a", "2", "10"]]

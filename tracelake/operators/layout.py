@@ -10,31 +10,56 @@ from tracelake.operators import CID
 
 def layout(stacks: DataFrame, flamechart: bool = False, reverse: bool = False, second: str | None = None) -> DataFrame:
     """(collection_id, name, depth, x_start, x_end[, delta]).  Stacks stand side by side in the order of their text (or, for a
-    flame chart, of `ord` from last to first); equal prefixes of neighbours merge.  A collection is one ordered drawing, so its
-    stacks are ordered together; collections run in parallel.
+    flame chart, of `ord` from last to first); equal prefixes of neighbours merge.
 
     With a second weight the extents come from it and delta is the change on the leaf blocks."""
     parts = F.split("stack", ";")
-    width = second or "weight"
-    d = stacks.withColumn("parts", F.reverse(parts) if reverse else parts)
-    line = F.array_join("parts", ";")
-    order = [F.desc("ord")] if flamechart else [line]
-    w = Window.partitionBy(CID).orderBy(*order)
-    d = d.withColumn("n", F.row_number().over(w)).withColumn("x1", F.sum(width).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.withColumn("x0", F.col("x1") - F.col(width))
     change = (F.col(second) - F.col("weight")) if second else F.lit(0)
+    d = stacks.withColumn("parts", F.reverse(parts) if reverse else parts).withColumn("width", F.col(second or "weight")).withColumn("change", change)
+    out = in_given_order(d) if flamechart else in_text_order(d)
+    keep = [CID, "name", "depth", "x_start", "x_end"]
+    return out.select(*keep, F.coalesce("delta", F.lit(0)).alias("delta")) if second else out.select(*keep)
+
+
+def in_text_order(d: DataFrame) -> DataFrame:
+    """Blocks of stacks (parts, width, change) by their text, with no window over more than the frames below one prefix.
+
+    Below a prefix the stacks that end with a frame stand where its name does, and those that go on where its name and a ; do; so
+    names may come between the two.  Each frame's place below its prefix is a running sum there, and its place in the drawing adds
+    up those of the prefixes above."""
+    lines = d.groupBy(CID, "parts").agg(F.sum("width").alias("width"), F.sum("change").alias("change"))
+    at = lines.select(CID, "parts", "width", "change", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("depth"))
+    ends = F.col("depth") == F.size("parts")
+    frames = at.select(CID, "depth", F.slice("parts", F.lit(1), F.col("depth") - 1).alias("above"), F.get("parts", F.col("depth") - 1).alias("name"), ends.alias("ends"), "width", F.when(ends, F.col("change")).alias("change"))
+    frames = frames.groupBy(CID, "depth", "above", "name", "ends").agg(F.sum("width").alias("width"), F.sum("change").alias("change"))
+    w = Window.partitionBy(CID, "depth", "above").orderBy(F.when(F.col("ends"), F.col("name")).otherwise(F.concat("name", F.lit(";"))))
+    x1 = F.sum("width").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    frames = frames.select("*", (x1 - F.col("width")).alias("x0"), x1.alias("x1"), (~F.col("ends") & ~F.coalesce(F.lag("name").over(w) == F.col("name"), F.lit(False))).alias("apart"))
+    on = frames.filter(~F.col("ends")).select(CID, F.concat("above", F.array("name")).alias("path"), "x0")
+    prefixes = on.select(CID, "path", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.slice("path", F.lit(1), i))).alias("prefix"))
+    base = prefixes.join(on.select(CID, F.col("path").alias("prefix"), "x0"), [CID, "prefix"]).groupBy(CID, F.col("path").alias("above")).agg(F.sum("x0").alias("base"))
+    blocks = frames.groupBy(CID, "depth", "above", "name", "apart").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.sum("change").alias("delta"))
+    placed = blocks.join(base, [CID, "above"], "left").withColumn("base", F.coalesce("base", F.lit(0)))
+    whole = lines.groupBy(CID).agg(F.sum("width").alias("x1")).select(CID, F.lit("").alias("name"), F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("x_start"), F.col("x1").alias("x_end"), F.lit(None).cast("bigint").alias("delta"))
+    return whole.unionByName(placed.select(CID, "name", "depth", (F.col("base") + F.col("x0")).alias("x_start"), (F.col("base") + F.col("x1")).alias("x_end"), "delta"))
+
+
+def in_given_order(d: DataFrame) -> DataFrame:
+    """Blocks of stacks (parts, width, change) by `ord`, from last to first.  Any order may be given, so a collection's stacks are
+    ordered together, in one task; collections run in parallel."""
+    w = Window.partitionBy(CID).orderBy(F.desc("ord"))
+    d = d.withColumn("n", F.row_number().over(w)).withColumn("x1", F.sum("width").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("x0", F.col("x1") - F.col("width"))
     full = F.concat(F.array(F.lit("")), "parts")
-    rows = d.select(CID, "n", "x0", "x1", change.alias("change"), F.size(full).alias("size"), F.posexplode(F.transform(full, lambda x, i: F.slice(full, F.lit(1), i + 1))).alias("depth", "prefix"))
+    rows = d.select(CID, "n", "x0", "x1", "change", F.size(full).alias("size"), F.posexplode(F.transform(full, lambda x, i: F.slice(full, F.lit(1), i + 1))).alias("depth", "prefix"))
     by = Window.partitionBy(CID, "depth").orderBy("n")
     same = (F.lag("n").over(by) == F.col("n") - 1) & (F.lag("prefix").over(by) == F.col("prefix"))
     rows = rows.withColumn("new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
     rows = rows.withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     leaf = F.when(F.col("depth") == F.col("size") - 1, F.col("change"))
-    out = rows.groupBy(CID, "depth", "island").agg(
+    return rows.groupBy(CID, "depth", "island").agg(
         F.element_at(F.min("prefix"), -1).alias("name"), F.min("x0").alias("x_start"), F.max("x1").alias("x_end"), F.sum(leaf).alias("delta")
     )
-    keep = [CID, "name", "depth", "x_start", "x_end"]
-    return out.select(*keep, F.coalesce("delta", F.lit(0)).alias("delta")) if second else out.select(*keep)
 
 
 def largest_change(blocks: DataFrame) -> DataFrame:
