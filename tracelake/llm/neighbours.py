@@ -142,11 +142,11 @@ def nearest(embeddings: DataFrame, k: int = 10, every: int = 100, sample: int =
     sized = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     dim = sized[0]["d"] if sized else 0
     good = good.filter(F.size("v") == dim)
-    some = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect() if dim else []
+    some = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow().column("v") if dim else []
     schema = "query_id long, rank int, vec_id long, score double"
-    if not some:
+    if not len(some):
         return spark.createDataFrame([], schema)
-    index = fit_lists(np.array([r["v"] for r in some]), k=k)
+    index = fit_lists(some.combine_chunks().flatten().to_numpy().reshape(-1, dim), k=k)
     shared = spark.sparkContext.broadcast(index)
 
     def post(b):
