@@ -21,7 +21,7 @@ repeated rows are copies; an empty table gives no rows; further columns are igno
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
 from math import comb, exp, factorial, sqrt
 
@@ -162,8 +162,8 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n long, h1 long, h2 long, bits binary")
 
 
-def signature_rows(docs: DataFrame, words: int, percent: int, remembered: int = 100_000) -> DataFrame:
-    """(node, sig): the signatures of each set, node being its first hash.  A task leaves out sets that it has just had, so that
+def signature_rows(docs: DataFrame, words: int, percent: int, turn: int = 0, turns: int = 1, remembered: int = 100_000) -> DataFrame:
+    """(node, sig): the signatures of each set, node being its first hash; of several turns those that fall to one.  A task leaves out sets that it has just had, so that
     a group of equal texts gives a set for each task at most."""
 
     def make(_):
@@ -178,7 +178,8 @@ def signature_rows(docs: DataFrame, words: int, percent: int, remembered: int =
                 node = set_hashes(s)[0]
                 if len(s) and node not in had:
                     had.add(node)
-                    sig = signatures(s, percent).view(np.int64)
+                    sig = signatures(s, percent)
+                    sig = sig[sig % np.uint64(turns) == turn].view(np.int64)
                     nodes.append(np.full(len(sig), node))
                     sigs.append(sig)
             return {"node": np.concatenate(nodes), "sig": np.concatenate(sigs)} if nodes else None
@@ -189,20 +190,37 @@ def signature_rows(docs: DataFrame, words: int, percent: int, remembered: int =
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp) of every node in links (a, b): the smallest node that they reach.  Labels go to the neighbours, then jump."""
-    both = stored(links.select("a", "b").union(links.select("b", "a")).distinct())
-    now = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")))
-    last = now
-    while True:
-        lower = both.join(now.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        new = now.join(lower, "node").select("node", "comp", F.least("comp", "near").alias("to"))
-        jump = now.select(F.col("node").alias("to"), F.col("comp").alias("far"))
-        after = stored(new.join(jump, "to").select("node", F.least("to", "far").alias("comp"), (F.col("comp") != F.least("to", "far")).alias("moved")))
-        discard(last)
-        now, last = after.select("node", "comp"), after
-        if not after.filter("moved").limit(1).count():
-            discard(both)
-            return now
+    """(node, comp) of every node in links (a, b): the smallest node that they reach.  Every node points to its smallest neighbour or
+    itself, pointers are followed to their ends, and the ends stand for what points to them in the links that are left."""
+    edges = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = stored(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("comp")))
+    while edges.limit(1).count():
+        ends = edges.select(F.col("a").alias("tip"), F.col("b").alias("to")).union(edges.select("b", "a"))
+        point = stored(ends.groupBy("tip").agg(F.least(F.col("tip"), F.min("to")).alias("to")))
+        while True:
+            far = point.select(F.col("tip").alias("to"), F.col("to").alias("end"))
+            after = stored(point.join(far, "to").select("tip", F.col("end").alias("to"), (F.col("end") != F.col("to")).alias("moved")))
+            discard(point)
+            point = after
+            if not point.filter("moved").limit(1).count():
+                break
+        of = point.select("tip", "to")
+        new = stored(found.join(of.withColumnRenamed("tip", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+        left = edges.join(of.select(F.col("tip").alias("a"), F.col("to").alias("c")), "a").select("c", "b").join(of.select(F.col("tip").alias("b"), F.col("to").alias("d")), "b")
+        less = stored(left.filter("c <> d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct())
+        discard(edges, point, found)
+        edges, found = less, new
+    discard(edges)
+    return found
+
+
+def joined_components(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of found (node, comp) when links (a, b) come to them."""
+    one = links.join(found.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left")
+    two = one.join(found.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
+    more = components(two.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b"))
+    nodes = found.union(more.join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("comp")))
+    return nodes.join(more.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
 
 
 def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -271,13 +289,16 @@ def between(rows: DataFrame, key: list[str], percent: int) -> DataFrame:
     def side(df: DataFrame, c: str) -> DataFrame:
         return df.select(*key, *[F.col(x).alias(f"{x}_{c}") for x in df.columns if x not in key])
 
-    shared = 2 * F.least("r_a", "r_b") - F.col("d_a") - F.col("d_b")
-    enough = (100 + percent) * shared + (100 - percent) * (F.col("n_a") + F.col("n_b")) >= 0
-    two = side(kinds, "a").join(side(kinds, "b"), key).filter((F.col("comp_a") < F.col("comp_b")) & enough)
-    two = two.filter((100 * F.col("n_a") >= percent * F.col("m_b")) & (100 * F.col("n_b") >= percent * F.col("m_a"))).select(*key, "comp_a", "comp_b")
+    def enough(*c: str) -> Column:
+        shared = 2 * F.least(f"r_{c[0]}", f"r_{c[1]}") - F.col(f"d_{c[0]}") - F.col(f"d_{c[1]}")
+        return (100 + percent) * shared + (100 - percent) * (F.col(f"n_{c[0]}") + F.col(f"n_{c[1]}")) >= 0
+
+    two = side(kinds, "a").join(side(kinds, "b"), key).filter((F.col("comp_a") < F.col("comp_b")) & enough("a", "b"))
+    two = two.filter((100 * F.col("n_a") >= percent * F.col("m_b")) & (100 * F.col("n_b") >= percent * F.col("m_a")))
+    two = two.select(*key, "comp_a", "comp_b", *[F.col(f"{x}_b").alias(f"{x}_best") for x in "rdn"])
+    one = two.join(side(rows, "a"), [*key, "comp_a"]).filter(enough("a", "best")).drop("r_best", "d_best", "n_best")
     sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    one = two.join(side(rows, "a"), [*key, "comp_a"]).join(side(rows, "b"), [*key, "comp_b"])
-    return one.filter(sized & enough).select("node_a", "node_b")
+    return one.join(side(rows, "b"), [*key, "comp_b"]).filter(sized & enough("a", "b")).select("node_a", "node_b")
 
 
 def ordered(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -342,17 +363,21 @@ def far_nodes(family: DataFrame, buckets: DataFrame) -> DataFrame:
     return met.join(mixed, "sig").select("node", "comp").distinct()
 
 
-def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, repeated: bool | None = None) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, repeated: bool | None = None, turns: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the smallest doc_id that links of at least that similarity reach.
-    repeated: whether rows share an id, if that is known."""
+    repeated: whether rows share an id, if that is known.  turns: in how many parts signatures are shuffled, one after the other;
+    more take less disk at a time and make the signatures as often."""
     sets = stored(shingle_sets(docs, words))
     known = sets.filter("n > 0 and doc_id is not null")
     repeated = known.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0 if repeated is None else repeated
     classes = stored(known.groupBy(F.col("h1").alias("node"), "h2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("bits").alias("bits")))
-    # One shuffle, by signature: the hubs are found and joined back where the rows already are.
-    rows = signature_rows(docs, words, percent).filter("node is not null and sig is not null").repartition("sig")
-    shared = rows.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("sig", "hub")
-    buckets = stored(rows.join(shared, "sig").filter("node > hub"))
+    held = []
+    for turn in range(turns):
+        # One shuffle, by signature: the hubs are found and joined back where the rows already are.
+        rows = signature_rows(docs, words, percent, turn, turns).filter("node is not null and sig is not null").repartition("sig")
+        shared = rows.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("sig", "hub")
+        held.append(stored(rows.join(shared, "sig").filter("node > hub")))
+    buckets = reduce(DataFrame.union, held)
     bounds = bounded(buckets.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), classes)
     reach = cut(F.col("na")) + most_apart(F.col("nb"), percent)
     tried = verified(bounds.filter(F.col("least") <= reach), classes, docs, words, percent, repeated)
@@ -374,8 +399,8 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, repeated: bo
     linked = F.col("least") * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))
     again = verified(more.filter(linked), classes, docs, words, percent, repeated)
     if again.filter("link").limit(1).count():
-        found = components(links.union(again.filter("link").select("a", "b")))
-    discard(buckets, bounds, tried, family, near, nodes, more, again)
+        found = stored(joined_components(found, again.filter("link").select("a", "b")))
+    discard(*held, bounds, tried, family, near, nodes, more, again)
 
     comp = classes.join(found, "node", "left").select("node", "h2", "n", "rep", F.coalesce("comp", "node").alias("comp"))
     least = comp.groupBy("comp").agg(F.min("rep").alias("component_id"))
@@ -389,7 +414,7 @@ def drop_near(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs, in the same columns: of each group one row stays, that with the smallest id, and the first of these; rows without an
     id are grouped like the others and come last."""
     numbered = stored(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")))
-    groups = stored(near_groups(numbered.select(F.col("row").alias("doc_id"), "doc.text"), words, percent, repeated=False))
+    groups = stored(near_groups(numbered.select(F.col("row").alias("doc_id"), "doc.text"), words, percent, repeated=False, turns=2))
     of = groups.select(F.col("doc_id").alias("row"), "component_id")
     ids = numbered.select("row", F.col("doc.doc_id").alias("id"))
     first = of.join(ids, "row").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
