@@ -485,6 +485,7 @@ add(
     "k20_cpu_sets", lambda v: cpu_sets(v.fx_probe_addr),
     """select module, addr, array_to_string(list_concat([cast(addr % 7 as string), cast(addr % 7 + 1 as string), cast(addr % 7 + 2 as string)], case when addr % 5 between addr % 7 and addr % 7 + 2 then [] else [cast(addr % 5 as string)] end), ',') as cpus from fx_probe_addr""",
 )
+SQL["k20_cpu_sets_whole"] = SQL["k20_cpu_sets"]
 add(
     "k21_cpu_ranges", lambda v: v.fx_counters.filter("value > 500").groupBy(CID, "timestamp").agg(T.cpu_ranges(F.collect_set(F.col("cpu_id").cast("string"))).alias("cpus")),
     """with d as (select distinct collection_id, timestamp, cpu_id from fx_counters where value > 500), i as (select *, cpu_id - row_number() over (partition by collection_id, timestamp order by cpu_id) as run from d), r as (select collection_id, timestamp, run, min(cpu_id) as low, max(cpu_id) as high from i group by 1, 2, 3)
