@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import leaks, licences, near, neighbours, packing, pages, pii, quality, toxicity, urls
+from tracelake.llm import alike, codes, leaks, licences, near, neighbours, packing, pages, pii, quality, resample, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,10 +63,22 @@ def op10_toxicity_network(spark, sf_dir):
     return toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_value_dictionaries(spark, sf_dir):
+    return codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark, sf_dir):
+    return resample.resample_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_small_world_dedup(spark, sf_dir):
+    return alike.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    found = (op1_best_fit_packing, op2_pii_anchors, op3_page_text, op4_posting_lists, op5_licence_scan, op6_quality_gam, op7_url_templates, op8_partenum_join, op9_winnowing, op10_toxicity_network)
+    found = (op1_best_fit_packing, op2_pii_anchors, op3_page_text, op4_posting_lists, op5_licence_scan, op6_quality_gam, op7_url_templates, op8_partenum_join, op9_winnowing, op10_toxicity_network, op11_value_dictionaries, op12_importance_resampling, op13_small_world_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_licence_scan": licences.digest_sql()}
+    return {"op5_licence_scan": licences.digest_sql(), "op11_value_dictionaries": codes.codes_sql(), "op12_importance_resampling": resample.resample_sql()}
