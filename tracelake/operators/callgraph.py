@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from tracelake.functions.text import after_last_plus, before_last_plus, hex_number
 from tracelake.operators import CID
 
-#: A module's address range is looked up by blocks of 2 ** BLOCK addresses, which makes the range join an equi-join.
-BLOCK = 12
-
 
 def split_symbol(symbol: Column) -> tuple[Column, Column]:
     """Function name and offset (base 16) of 'name+0x12'."""
@@ -140,15 +137,29 @@ def line_ranges(lines: DataFrame) -> DataFrame:
     return d.filter(F.col("addr_start") < F.col("high")).withColumnRenamed("addr_start", "low")
 
 
+def cell_level(low: Column, high: Column) -> Column:
+    """The least even level whose cells of 2 ** level addresses are as wide as [low, high), so that it touches two at most."""
+    last = F.try_subtract(high - 1, low)  # NULL where it is beyond 63 bits
+    bits = F.when(last == 0, 0).otherwise(F.coalesce(F.length(F.bin(last)), F.lit(63)))
+    return F.least(bits + bits % 2, F.lit(63))
+
+
+def cell(addr: Column, level: Column) -> Column:
+    return F.call_function("shiftright", addr, level)
+
+
 def resolve_lines(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
     """addresses (module, addr) with file and line of the first range that holds each; those without one are left out.
 
-    Ranges are listed under every block of addresses that they touch, so that the join has equal keys."""
-    block = float(1 << BLOCK)
-    first, last = F.floor(F.col("low") / block), F.floor((F.col("high") - 1) / block)
-    right = ranges.select("module", "low", "high", "file", "line", F.explode(F.sequence(first, last)).alias("block"))
-    left = addresses.withColumn("block", F.floor(F.col("addr") / block))
-    hit = left.join(right, ["module", "block"]).filter((F.col("low") <= F.col("addr")) & (F.col("addr") < F.col("high")))
+    A dyadic index: a range stands in at most two cells of the level that fits its width, however wide it is, and an address looks
+    into one cell of each level that its module has (33 at most), so that the join has equal keys and no side grows with widths."""
+    wide = ranges.select("module", F.col("low").cast("bigint").alias("low"), F.col("high").cast("bigint").alias("high"), "file", "line").filter("low < high")
+    wide = wide.withColumn("level", cell_level(F.col("low"), F.col("high")))
+    right = wide.withColumn("cell", F.explode(F.array_distinct(F.array(cell(F.col("low"), F.col("level")), cell(F.col("high") - 1, F.col("level"))))))
+    levels = wide.groupBy("module").agg(F.collect_set("level").alias("levels"))
+    left = addresses.join(levels, "module").select(*addresses.columns, F.explode("levels").alias("level"))
+    left = left.withColumn("cell", cell(F.col("addr").cast("bigint"), F.col("level")))
+    hit = left.join(right, ["module", "level", "cell"]).filter((F.col("low") <= F.col("addr")) & (F.col("addr") < F.col("high")))
     best = hit.groupBy(*addresses.columns).agg(F.min(F.struct("low", "high", "file", "line")).alias("r"))
     return best.select(*addresses.columns, F.col("r.file").alias("file"), F.col("r.line").alias("line"))
 

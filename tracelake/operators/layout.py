@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.functions.shared import checkpointed
 from tracelake.operators import CID
 
 
@@ -45,21 +46,45 @@ def in_text_order(d: DataFrame) -> DataFrame:
 
 
 def in_given_order(d: DataFrame) -> DataFrame:
-    """Blocks of stacks (parts, width, change) by `ord`, from last to first.  Any order may be given, so a collection's stacks are
-    ordered together, in one task; collections run in parallel."""
-    w = Window.partitionBy(CID).orderBy(F.desc("ord"))
-    d = d.withColumn("n", F.row_number().over(w)).withColumn("x1", F.sum("width").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.withColumn("x0", F.col("x1") - F.col("width"))
-    full = F.concat(F.array(F.lit("")), "parts")
-    rows = d.select(CID, "n", "x0", "x1", "change", F.size(full).alias("size"), F.posexplode(F.transform(full, lambda x, i: F.slice(full, F.lit(1), i + 1))).alias("depth", "prefix"))
-    by = Window.partitionBy(CID, "depth").orderBy("n")
-    same = (F.lag("n").over(by) == F.col("n") - 1) & (F.lag("prefix").over(by) == F.col("prefix"))
-    rows = rows.withColumn("new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
-    rows = rows.withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    leaf = F.when(F.col("depth") == F.col("size") - 1, F.col("change"))
-    return rows.groupBy(CID, "depth", "island").agg(
-        F.element_at(F.min("prefix"), -1).alias("name"), F.min("x0").alias("x_start"), F.max("x1").alias("x_end"), F.sum(leaf).alias("delta")
-    )
+    """Blocks of stacks (parts, width, change) by `ord`, from last to first, stacks of one `ord` by their text.
+
+    Stacks are sorted over all tasks by ranges; sums and counts run inside a range, and those of the ranges before are added, of
+    which each collection has as many as there are tasks.  A stack opens the frames in which it differs from the one before it, and
+    closes that one's: at each depth the k-th block runs from the k-th opening to the k-th closing."""
+    text = F.array_join("parts", ";")
+    sorted_ = d.select(CID, F.concat(F.array(F.lit("")), "parts").alias("full"), "width", "change", F.col("ord").alias("_ord"), text.alias("_text")).orderBy(CID, F.desc("_ord"), F.desc("_text"))
+    d = checkpointed(sorted_.select(CID, "full", "width", "change", F.monotonically_increasing_id().alias("at")))
+    d = d.withColumn("part", F.shiftright("at", 33))
+    inside, parts = Window.partitionBy(CID, "part").orderBy("at"), Window.partitionBy(CID).orderBy("part")
+    before = parts.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = d.groupBy(CID, "part").agg(F.sum("width").alias("held"), F.max_by("full", "at").alias("last"), F.max("at").alias("top"))
+    ranges = ranges.select(CID, "part", "top", "last", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"), F.lag("last").over(parts).alias("earlier"), F.sum("held").over(Window.partitionBy(CID)).alias("whole"), F.lead("part").over(parts).isNull().alias("final"))
+    d = d.join(ranges.select(CID, "part", "base", "earlier"), [CID, "part"])
+    d = d.withColumn("x1", F.col("base") + F.sum("width").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.select(CID, "part", "at", "full", "change", (F.col("x1") - F.col("width")).alias("x0"), F.coalesce(F.lag("full").over(inside), "earlier").alias("previous"))
+    # How many frames of both are the same from the root on, the root being one.
+    alike = F.zip_with("full", "previous", lambda a, b: F.coalesce(a == b, F.lit(False)))
+    first = F.array_position(alike, False)
+    same = F.when(F.col("previous").isNull(), 0).when(first == 0, F.size("full")).otherwise(first - 1).cast("int")
+    d = d.select(CID, "part", "at", "x0", "change", "full", F.size("full").alias("size"), same.alias("same"), F.coalesce(F.size("previous"), F.lit(0)).alias("size_before"))
+    leaf = F.col("size") - 1
+    opened = d.withColumn("depth", F.explode(F.sequence(F.least("same", leaf), leaf)))
+    opened = opened.select(CID, "part", "at", "depth", "x0", (F.col("depth") >= F.col("same")).alias("opens"), F.get("full", F.col("depth")).alias("name"), F.when(F.col("depth") == leaf, F.col("change")).alias("change"))
+    closed = d.filter(F.col("same") < F.col("size_before")).select(CID, "part", "at", "x0", F.explode(F.sequence(F.col("same"), F.col("size_before") - 1)).alias("depth"))
+    ends = ranges.filter("final").select(CID, "part", (F.col("top") + 1).alias("at"), F.col("whole").alias("x0"), F.explode(F.sequence(F.lit(0), F.size("last") - 1)).alias("depth"))
+    starts = numbered(opened)
+    stops = numbered(closed.unionByName(ends).withColumn("opens", F.lit(True))).select(CID, "depth", "k", F.lit(None).cast("string").alias("name"), F.lit(None).cast("bigint").alias("x0"), F.col("x0").alias("x1"), F.lit(None).cast("bigint").alias("change"))
+    both = starts.select(CID, "depth", "k", F.when(F.col("opens"), F.col("name")).alias("name"), F.when(F.col("opens"), F.col("x0")).alias("x0"), F.lit(None).cast("bigint").alias("x1"), "change").unionByName(stops)
+    return both.groupBy(CID, "depth", "k").agg(F.max("name").alias("name"), F.min("x0").alias("x_start"), F.max("x1").alias("x_end"), F.sum("change").alias("delta"))
+
+
+def numbered(events: DataFrame) -> DataFrame:
+    """events (collection_id, depth, part, at, opens, ...) with k, the number of openings at their depth up to them."""
+    count = F.sum(F.col("opens").cast("bigint"))
+    w = Window.partitionBy(CID, "depth").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = events.groupBy(CID, "depth", "part").agg(count.alias("n")).select(CID, "depth", "part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("base"))
+    inside = Window.partitionBy(CID, "depth", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    return events.join(base, [CID, "depth", "part"]).withColumn("k", F.col("base") + count.over(inside)).drop("base")
 
 
 def largest_change(blocks: DataFrame) -> DataFrame:
