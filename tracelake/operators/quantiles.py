@@ -25,23 +25,23 @@ def bucket(x: Column) -> Column:
 
 def quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], share: float) -> DataFrame:
     """(*keys, q_<column> ...) of each group: the value at `share` of the way through the column's values, neighbours interpolated.  Null
-    values are left out; a column without values is NULL, and a group without any gives no row."""
+    values are left out; a column without values is NULL; a group without any, or with a null key, gives no row."""
     keys = list(keys)
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("x")) for i, c in enumerate(columns)]))
     d = df.select(*keys, cells.alias("_v")).select(*keys, F.col("_v.c").alias("_c"), F.col("_v.x").alias("_x"))
+    d = d.withColumn("_b", bucket(F.col("_x"))).dropna(subset=[*keys, "_x", "_b"])
     by = [*keys, "_c"]
-    # Equal values together, whose counts both the histogram and the buckets' values come from.
-    counts = d.groupBy(*by, "_x").agg(F.count("_x").alias("_n")).withColumn("_b", bucket(F.col("_x")))
-    bars = counts.filter("_n > 0").groupBy(*by, "_b").agg(F.sum("_n").alias("_n"))
+    # Equal values together, whose counts both the histogram and the buckets' values come from: all that joins ask of them is known
+    # above, so that Spark sees the same table in both places and makes it once.
+    counts = d.groupBy(*by, "_b", "_x").agg(F.count("*").alias("_n"))
+    bars = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_n"))
     w = Window.partitionBy(*by)
     bars = bars.withColumn("_end", F.sum("_n").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_rank", (F.sum("_n").over(w) - 1) * share)
     # Ranks count from 0: the one below and the one above, which may stand in two buckets.
     low, high = F.floor("_rank"), F.ceil("_rank")
     first = F.col("_end") - F.col("_n")
     held = bars.filter(((first <= low) & (low < F.col("_end"))) | ((first <= high) & (high < F.col("_end")))).select(*by, "_b", first.alias("_first"), "_rank")
-    on = counts.filter("_n > 0").withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(by)} | {"_b": "_kb"})
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)] + [F.col("_b") == F.col("_kb")]
-    values = on.join(held, same).select(*by, "_b", "_first", "_rank", "_x", "_n")
+    values = counts.join(held, [*by, "_b"])
     end = F.col("_first") + F.sum("_n").over(Window.partitionBy(*by, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
     values = values.withColumn("_end", end).withColumn("_begin", F.col("_end") - F.col("_n"))
 
