@@ -113,13 +113,19 @@ def expand_inlined(samples: DataFrame, inlined: DataFrame, context: bool = False
 
 
 def collapse_summary(samples: DataFrame, options: Options = Options(), limit: int = 0) -> dict[str, DataFrame]:
-    """The folded lines by text (the first `limit`, 0 for all) with how many there are, their weight and whether more were there."""
+    """The folded lines by text (the first `limit` of each collection, 0 for all) with how many there are, their weight and whether
+    more were there.
+
+    Without a limit the lines are sorted over all tasks by ranges of (collection, text); a rank is given only under a limit, where
+    each task keeps so many rows of a collection before they come together."""
     if limit < 0:
         raise ValueError("limit is negative")
     from pyspark.sql import Window
 
     stacks = collapse(samples, options)
     total = stacks.groupBy(CID).agg(F.count("*").alias("stacks"), F.sum("weight").alias("total"), (F.lit(limit > 0) & (F.count("*") > limit)).alias("truncated"))
-    w = Window.partitionBy(CID).orderBy("stack")
-    lines = stacks.withColumn("rank", F.row_number().over(w)).filter(F.lit(limit == 0) | (F.col("rank") <= limit))
+    lines = stacks
+    if limit:
+        lines = lines.withColumn("rank", F.row_number().over(Window.partitionBy(CID).orderBy("stack"))).filter(F.col("rank") <= limit).drop("rank")
+    lines = lines.select(CID, "stack", "weight", F.concat_ws(" ", "stack", F.col("weight").cast("string")).alias("line")).orderBy(CID, "stack")
     return {"lines": lines, "total": total}

@@ -20,11 +20,28 @@ def seconds(time: Column) -> Column:
     return time.try_cast("decimal(20,9)")
 
 
-def flat_wide(flat: DataFrame, place: Sequence[str] = PLACE) -> DataFrame:
-    """Cycles beside instructions of the same place, with their CPI; several of a place multiply."""
-    c = flat.filter(F.col("event") == "cycles").select(CID, *place, F.col("value").alias("cycles"))
-    i = flat.filter(F.col("event") == "instructions").select(CID, *place, F.col("value").alias("instructions"))
-    return c.join(i, [CID, *place]).withColumn("CPI", F.try_divide(F.col("cycles").cast("double"), F.col("instructions").cast("double")))
+def flat_wide(flat: DataFrame, place: Sequence[str] = PLACE, pair: str = "all") -> DataFrame:
+    """Cycles beside instructions of the same place, with their CPI.
+
+    pair says what becomes of several samples of a place.  "all": each beside each, so that n and m of a place make n * m rows - as
+    the wide form is defined, fit for places that hold few samples, such as the full key with its time.  "order": the k-th beside the
+    k-th by `ord`, as many as both have.  "sum": the sums of both, one row for a place.  The latter two grow with the samples only."""
+    if pair not in ("all", "order", "sum"):
+        raise ValueError("pair is all, order or sum")
+    both = F.col("event").isin("cycles", "instructions")
+    ratio = F.try_divide(F.col("cycles").cast("double"), F.col("instructions").cast("double")).alias("CPI")
+    if pair == "sum":
+        cells = [F.sum(F.when(F.col("event") == e, F.col("value"))).alias(e) for e in ("cycles", "instructions")]
+        d = flat.filter(both).dropna(subset=list(place)).groupBy(CID, *place).agg(*cells)
+        return d.filter("cycles is not null and instructions is not null").select("*", ratio)
+    key = [CID, *place]
+    d = flat.filter(both)
+    if pair == "order":
+        d = d.withColumn("k", F.row_number().over(Window.partitionBy(*key, "event").orderBy("ord")))
+        key.append("k")
+    c = d.filter(F.col("event") == "cycles").select(*key, F.col("value").alias("cycles"))
+    i = d.filter(F.col("event") == "instructions").select(*key, F.col("value").alias("instructions"))
+    return c.join(i, key).drop("k").select("*", ratio)
 
 
 def flat_tidy(d: DataFrame, threads: Sequence[int], columns: Sequence[str] = ("cycles", "instructions", "CPI"), key: Sequence[str] = ("time",)) -> DataFrame:

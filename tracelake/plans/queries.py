@@ -150,6 +150,19 @@ add(
 select collection_id, cast(sum(weight) as bigint) as total, cast(sum(case when x then weight else 0 end) as bigint) as a, cast(sum(case when y then weight else 0 end) as bigint) as b,
  cast(sum(case when x and y then weight else 0 end) as bigint) as both from m group by 1""",
 )
+SUBSET = "sub as (select * from fx_folded where contains(stack, 'NATION_7')), subtotal as (select collection_id, cast(sum(weight) as bigint) as total from sub group by 1)"
+add(
+    "g16_subset_symbols", lambda v: G.subset_summary(v.fx_folded, "NATION_7", 5)["symbols"],
+    f"""with {SUBSET}, f as (select collection_id, weight, string_split(stack, ';')[2:] as frames from sub where contains(stack, ';')), s as (select collection_id, weight, unnest(list_distinct(frames)) as symbol from f), leaf as (select collection_id, frames[-1] as symbol, sum(weight) as leaf from f group by 1, 2),
+hot as (select s.collection_id, s.symbol, cast(sum(weight) as bigint) as inclusive, cast(coalesce(any_value(leaf), 0) as bigint) as leaf from s left join leaf l on l.collection_id = s.collection_id and l.symbol = s.symbol group by 1, 2),
+r as (select *, cast(row_number() over (partition by collection_id order by inclusive desc, symbol) as int) as rank from hot)
+select r.collection_id, symbol, inclusive, leaf, rank, round(inclusive * 100.0 / total, 6) as inclusive_pct, round(leaf * 100.0 / total, 6) as leaf_pct from r join subtotal using (collection_id) where rank <= 5""",
+)
+add("g16_subset_total", lambda v: G.subset_summary(v.fx_folded, "NATION_7", 5)["total"], f"with {SUBSET} select * from subtotal")
+add(
+    "g17_cooccurrence_shares", lambda v: G.cooccurrence(v.fx_folded, "AN", "IA").select(CID, "a_pct", "b_pct", "both_pct"),
+    "with x as (" + SQL["g17_cooccurrence"] + ") select collection_id, " + ", ".join(f'round_even("{n}" * 100.0 / total, 2) as {n}_pct' for n in ("a", "b", "both")) + " from x",
+)
 add(
     "g18_process_among_top", lambda v: G.process_stacks_among_top(v.fx_folded, "BUILDING", 100).select(CID, "stack", "weight", "rank"),
     f"select collection_id, stack, weight, cast(rank as int) as rank from ({TOP}) where rank <= 100 and string_split(stack, ';')[1] = 'BUILDING'",
@@ -267,6 +280,32 @@ add(
     """select c.collection_id, c.cpu, c.command, c.symbol0 as symbol, c.value as cycles, i.value as instructions, case when i.value = 0 then null else round(cast(c.value as double) / i.value, 6) end as CPI
 from fx_samples c join fx_samples i on i.collection_id = c.collection_id and i.cpu = c.cpu and i.command = c.command and i.symbol0 = c.symbol0 where c.event = 'cycles' and i.event = 'instructions'""",
 )
+FULL_PLACE = " and ".join(f"i.{c} = c.{c}" for c in ("collection_id", "time", "cpu", "command", "pid", "addr0", "symbol0", "dso0"))
+TWICE = "t as (select * from fx_samples where event <> 'cache-misses' union all select * replace (ord + 1 as ord, case event when 'cycles' then 'instructions' else 'cycles' end as event, value * 3 as value) from fx_samples where event <> 'cache-misses')"
+
+
+def twice(v: Views) -> DataFrame:
+    """Each sample with one of the other event at the same place."""
+    d = v.flat.filter("event <> 'cache-misses'")
+    return d.unionByName(d.withColumn("ord", F.col("ord") + 1).withColumn("value", F.col("value") * 3).withColumn("event", F.when(F.col("event") == "cycles", "instructions").otherwise("cycles")))
+
+
+add(
+    "d1_flat_wide_full_key", lambda v: E.flat_wide(twice(v)),
+    f"""with {TWICE} select c.collection_id, c.time, c.cpu, c.command, c.pid, c.addr0 as addr, c.symbol0 as symbol, c.dso0 as dso_short_name, c.value as cycles, i.value as instructions, case when i.value = 0 then null else round(cast(c.value as double) / i.value, 6) end as CPI
+from t c join t i on {FULL_PLACE} where c.event = 'cycles' and i.event = 'instructions'""",
+)
+add(
+    "d1_flat_wide_in_order", lambda v: E.flat_wide(twice(v), ["cpu", "command", "symbol"], pair="order"),
+    f"""with {TWICE}, k as (select *, row_number() over (partition by collection_id, cpu, command, symbol0, event order by ord) as k from t)
+select c.collection_id, c.cpu, c.command, c.symbol0 as symbol, c.value as cycles, i.value as instructions, case when i.value = 0 then null else round(cast(c.value as double) / i.value, 6) end as CPI
+from k c join k i on i.collection_id = c.collection_id and i.cpu = c.cpu and i.command = c.command and i.symbol0 = c.symbol0 and i.k = c.k where c.event = 'cycles' and i.event = 'instructions'""",
+)
+add(
+    "d1_flat_wide_sums", lambda v: E.flat_wide(v.flat, ["cpu", "command", "symbol"], pair="sum"),
+    """select *, case when instructions = 0 then null else round(cast(cycles as double) / instructions, 6) end as CPI from (select collection_id, cpu, command, symbol0 as symbol, cast(sum(value) filter (where event = 'cycles') as bigint) as cycles,
+ cast(sum(value) filter (where event = 'instructions') as bigint) as instructions from fx_samples group by 1, 2, 3, 4) where cycles is not null and instructions is not null""",
+)
 add(
     "d2_flat_tidy", lambda v: E.flat_tidy(v.flat.filter("event = 'cycles'").groupBy(CID, "command", "cpu").agg(F.sum("value").alias("cycles")), [1, 2, 3], ["cycles"], ["command"]),
     "select collection_id, command, " + ", ".join(f"cast(sum(value) filter (where cpu = {t}) as bigint) as cycles_{t}" for t in (1, 2, 3)) + " from fx_samples where event = 'cycles' and cpu in (1, 2, 3) group by 1, 2",
@@ -305,6 +344,10 @@ FIRST = "event = (select arg_min(s.event, s.ord) from fx_samples s where s.colle
 add("f1_collapse", lambda v: FC.collapse(v.chains, FC.Options(event="cycles")), FOLD.format(proc="command", f2="symbol2", f1=UNKNOWN1, f0=BARE0, where="event = 'cycles'"))
 add("f2_first_event", lambda v: FC.collapse(v.chains), FOLD.format(proc="command", f2="symbol2", f1=UNKNOWN1, f0=BARE0, where=FIRST))
 add("f3_with_pid", lambda v: FC.collapse(v.chains, FC.Options(event="cycles", include_pid=True)), FOLD.format(proc="concat(command, ' ', cast(pid as string))", f2="symbol2", f1=UNKNOWN1, f0=BARE0, where="event = 'cycles'"))
+add(
+    "f3_tid_from_text", lambda v: FC.collapse(X.chain_samples(lines(v.fx_samples, F.concat_ws("\n", TID_HEADER(), block_text(0), block_text(1), block_text(2)))), FC.Options(event="cycles", include_tid=True)),
+    FOLD.replace("sum(value)", "count(*)").format(proc="concat(command, ' ', cast(pid as string), '/', cast(pid + 1 as string))", f2="symbol2", f1=UNKNOWN1, f0=BARE0, where="event = 'cycles'"),
+)
 add("f3_with_tid", lambda v: FC.collapse(v.chains.withColumn("tid", F.col("pid") + 1), FC.Options(event="cycles", include_tid=True)), FOLD.format(proc="concat(command, ' ', cast(pid as string), '/', cast(pid + 1 as string))", f2="symbol2", f1=UNKNOWN1, f0=BARE0, where="event = 'cycles'"))
 add(
     "f5_kernel_marks", lambda v: FC.collapse(v.chains.withColumn("calls", F.transform("calls", lambda c: F.struct(c["addr"].alias("addr"), c["symbol"].alias("symbol"), F.when(c["dso"] == "libcust.so", "[kernel.kallsyms]").when(c["dso"] == "libsupp.so", "/tmp/perf-12.map").otherwise(c["dso"]).alias("dso")))), FC.Options(event="cycles", annotate_kernel=True, annotate_jit=True)),
@@ -329,6 +372,12 @@ add(
     "f11_collapse_summary", lambda v: FC.collapse_summary(v.chains, FC.Options(event="cycles"), 100)["total"],
     f"select collection_id, count(*) as stacks, cast(sum(weight) as bigint) as total, count(*) > 100 as truncated from ({FOLD.format(proc='command', f2='symbol2', f1=UNKNOWN1, f0=BARE0, where=chr(101) + 'vent = ' + chr(39) + 'cycles' + chr(39))}) group by 1",
 )
+CYCLES = FOLD.format(proc="command", f2="symbol2", f1=UNKNOWN1, f0=BARE0, where="event = 'cycles'")
+add("f11_collapse_lines", lambda v: FC.collapse_summary(v.chains, FC.Options(event="cycles"))["lines"], f"select *, concat(stack, ' ', cast(weight as string)) as line from ({CYCLES})")
+add(
+    "f11_first_lines", lambda v: FC.collapse_summary(v.chains, FC.Options(event="cycles"), 20)["lines"].select(CID, "line"),
+    f"select collection_id, concat(stack, ' ', cast(weight as string)) as line from (select *, row_number() over (partition by collection_id order by stack) as k from ({CYCLES})) where k <= 20",
+)
 add(
     "f12_hooks", lambda v: FC.collapse(v.chains, FC.Options(event="cycles", before=lambda d: d.filter("cpu <= 3"), after=lambda d: d.withColumn("weight", F.col("weight") * 2))),
     FOLD.format(proc="command", f2="symbol2", f1=UNKNOWN1, f0=BARE0, where="event = 'cycles' and cpu <= 3").replace("sum(value)", "sum(value * 2)"),
@@ -479,7 +528,6 @@ def cpu_sets(rows: DataFrame) -> DataFrame:
     return rows.select("module", "addr", F.array_join(T.cpu_set(text), ",").alias("cpus"))
 
 
-# The SQL of l4_findings covers a part; the whole is registered without SQL and tested against brute force.
 add("k20_cpu_sets_whole", lambda v: cpu_sets(v.fx_probe_addr))
 add(
     "k20_cpu_sets", lambda v: cpu_sets(v.fx_probe_addr),
@@ -512,6 +560,27 @@ add(
     "k22_full_context", lambda v: context(v).select(CID, "num_cpu", "total_cpu", F.col("cpu_clusters_count").cast("bigint").alias("cpu_clusters_count"), "numa_max_diff", F.col("p95_single_core_iowait").alias("wait"), F.col("iowait_core_count").cast("bigint").alias("iowait_core_count"), "avg_ifutil", "busiest_disk_name", "p95_disk_util", "busiest_disk_subtype", "avg_cswch"),
     CTX + " select collection_id, 1 as num_cpu, total_cpu, cpu_clusters_count, round(numa_max_diff, 6) as numa_max_diff, round(wait, 6) as wait, iowait_core_count, round(avg_ifutil, 6) as avg_ifutil, dev as busiest_disk_name, round(pu, 6) as p95_disk_util, sub as busiest_disk_subtype, cast(0 as double) as avg_cswch from ctx",
 )
+WIDE_CPU = ("avg_iowait", "cpu_util_std_dev", "cpu_max_util", "cpu_min_util", "p95_single_core_iowait", "max_single_core_iowait")
+WIDE_DISK = {"avg_disk_util": "u", "max_disk_util": "mu", "p95_disk_util": "pu", "avg_disk_await": "w", "max_disk_await": "mw", "p95_disk_await": "pw", "avg_avgqu_sz": "q", "max_avgqu_sz": "mq", "p95_avgqu_sz": "pq", "avg_avgrq_sz_kb": "z / 2", "disk_throughput_mb": "r / 1024"}
+WIDE_COLUMNS = ["num_cpu", "total_cpu", *WIDE_CPU, "cpu_clusters_count", "is_cpu_imbalanced", "numa_nodes_count", "numa_max_diff", "numa_status_msg", "iowait_core_count", "iowait_core_details", "busiest_disk_name", "busiest_disk_type", "busiest_disk_subtype",
+    "effective_await_threshold", *WIDE_DISK, "total_tps", "avg_swaps", "avg_load1", "avg_ifutil", "affinity_check_enabled", "affinity_leakage_count", "affinity_absent_count", "leakage_cores_str", "absent_cores_str", "avg_cswch", "ipc", "is_numa_imbalanced"]
+WHOLE = CTX + f""", {AFF.removeprefix(FEATURES + ', ')}, detail as ({SQL['k7_iowait_detail'].replace(WAIT + ', ', 'with ').replace('p95 > 5', 'p95 > 10')}),
+mean as (select collection_id, cpu, avg(pct_total) as m from core group by 1, 2), spread as (select collection_id, stddev_samp(m) as sd, max(m) as hi, min(m) as lo from mean group by 1),
+top as (select collection_id, max(p95) as wait95, max(top) as wait_top from w group by 1), own as (select collection_id, avg(pct_iowait) as iowait from core where cpu in ('0', '1', '2', '5') group by 1),
+numa as (select collection_id, string_agg(printf('%s: %.1f%%', node, util), ', ' order by node) as msg from n group by 1), more as (select collection_id, sum(tps) as tps, avg(tps) + avg(await) as swaps, avg(await) as load1 from fx_series group by 1),
+leaks as (select c.collection_id, (select count(*) from leak l where l.collection_id = c.collection_id) as nl, (select count(*) from absent a where a.collection_id = c.collection_id) as na, coalesce((select t from txt where side = 'l' and txt.collection_id = c.collection_id), 'None') as lt,
+ coalesce((select t from txt where side = 'a' and txt.collection_id = c.collection_id), 'None') as tt from (select distinct collection_id from fx_sar_cpu) c),
+whole as (select ctx.*, (cpu_clusters_count > 1 and has_busy) as imbalanced, sd, hi, lo, wait95, wait_top, own.iowait, msg, tps, swaps, load1, nl, na, lt, tt, concat_ws('; ', d.ranges, d.zone, d.top3) as details, case sub when 'HDD' then 'HDD' else 'SSD' end as kind,
+ case sub when 'HDD' then cast(30 as double) when 'NVME_SSD' then cast(1 as double) else cast(5 as double) end as slow from ctx join spread using (collection_id) join top using (collection_id) join own using (collection_id) join numa using (collection_id) join more using (collection_id)
+ join leaks using (collection_id) left join detail d using (collection_id))"""
+add(
+    "k22_whole_context", lambda v: context(v).select(CID, *[F.col(c).cast("bigint").alias(c) if c in ("num_cpu", "cpu_clusters_count", "numa_nodes_count", "iowait_core_count", "affinity_leakage_count", "affinity_absent_count") else F.col(c) for c in WIDE_COLUMNS]),
+    WHOLE + " select w.collection_id, 1 as num_cpu, total_cpu, round(iowait, 6) as avg_iowait, round(sd, 6) as cpu_util_std_dev, round(hi, 6) as cpu_max_util, round(lo, 6) as cpu_min_util, round(wait95, 6) as p95_single_core_iowait, round(wait_top, 6) as max_single_core_iowait, cpu_clusters_count,"
+    " imbalanced as is_cpu_imbalanced, 2 as numa_nodes_count, round(numa_max_diff, 6) as numa_max_diff, msg as numa_status_msg, iowait_core_count, coalesce(nullif(details, ''), 'none') as iowait_core_details, w.dev as busiest_disk_name, kind as busiest_disk_type, sub as busiest_disk_subtype, slow as effective_await_threshold, "
+    + ", ".join(f"round(coalesce(k.{x}, 0.0), 6) as {c}" for c, x in WIDE_DISK.items())
+    + ", round(tps, 6) as total_tps, round(swaps, 6) as avg_swaps, round(load1, 6) as avg_load1, round(avg_ifutil, 6) as avg_ifutil, true as affinity_check_enabled, nl as affinity_leakage_count, na as affinity_absent_count, lt as leakage_cores_str, tt as absent_cores_str,"
+    " cast(0 as double) as avg_cswch, cast(0 as double) as ipc, false as is_numa_imbalanced from whole w join k on k.collection_id = w.collection_id and k.k = 1",
+)
 DEV = "fx_devices where not starts_with(name, 'loop') and not starts_with(name, 'ram') and size_bytes > 0"
 add(
     "k23_capacity_warnings", lambda v: K.capacity_warnings(v.devices),
@@ -568,7 +637,57 @@ add(
     CTX + " " + " union all ".join(f"select collection_id, '{p}' as path, coalesce({c}, false) as active from ctx" for p, c in PATHS_SQL.items()),
 )
 add("l4_findings", lambda v: L.findings(L.evaluate(context(v)))["findings"].filter(F.col("path").isin("diagnosis/OFF-CPU", "diagnosis/ON-CPU")).select(CID, "path", "finding"), CTX + " select collection_id, case when total_cpu <= 50 then 'diagnosis/OFF-CPU' else 'diagnosis/ON-CPU' end as path, concat(case when total_cpu <= 50 then 'OFF' else 'ON' end, printf('-CPU: load %.2f%%, threshold 50%%', total_cpu)) as finding from ctx")
-add("l4_findings_whole", lambda v: L.findings(L.evaluate(context(v)))["findings"].select(CID, "path", "finding"))
+FINDINGS_SQL = {
+    "affinity audit": ("true", "'affinity is checked'"), "affinity audit/affinity holds": ("nl = 0 and na = 0", "'the busy cores are the expected ones'"),
+    "affinity audit/leakage": ("nl > 0", "concat(cast(nl as string), ' unexpected busy cores: ', lt)"), "affinity audit/absence": ("na > 0", "concat(cast(na as string), ' expected cores are not busy: ', tt)"),
+    "diagnosis/OFF-CPU": (None, "printf('OFF-CPU: load %.2f%%, threshold 50%%', total_cpu)"), "diagnosis/ON-CPU": (None, "printf('ON-CPU: load %.2f%%, threshold 50%%', total_cpu)"),
+    "diagnosis/architecture/core imbalance": (None, "printf('cores fall into %d classes', cpu_clusters_count)"), "diagnosis/architecture/node imbalance": (None, "concat(printf('nodes differ by %.1f%%: ', numa_max_diff), msg)"),
+    "diagnosis/disk I/O": (None, "concat(printf('disk I/O limits: %s (%s), utilisation %.2f%%, queue %.2f, latency %.2f ms of ', dev, sub, pu, pq, pw), cast(slow as string), ' ms')"),
+    "diagnosis/disk I/O/saturation": (None, "printf('the device is saturated at %.2f%%', pu)"), "diagnosis/disk I/O/saturation/synchronous I/O": (None, "printf('short queue %.2f, %d cores wait', q, iowait_core_count)"),
+    "diagnosis/disk I/O/saturation/small requests": (None, "printf('many requests of %.1f KB', z)"), "diagnosis/disk I/O/saturation/large requests": (None, "printf('requests of %.1f KB', z)"),
+    "diagnosis/disk I/O/congestion": (None, "printf('queue %.2f, threshold 80.0', pq)"), "idle system": (None, "'the system is idle'"),
+}
+add(
+    "l4_findings_whole", lambda v: L.findings(L.evaluate(context(v)))["findings"].select(CID, "path", "finding"),
+    WHOLE + " " + " union all ".join(f"select collection_id, '{p}' as path, {t} as finding from whole where coalesce({c or PATHS_SQL[p]}, false)" for p, (c, t) in FINDINGS_SQL.items()),
+)
+add(
+    "l3_affinity_rules", lambda v: L.evaluate(context(v)).filter(F.col("root") == "affinity audit").select(CID, "path", "active"),
+    WHOLE + " " + " union all ".join(f"select collection_id, '{p}' as path, {FINDINGS_SQL[p][0]} as active from whole" for p in FINDINGS_SQL if p.startswith("affinity")),
+)
+RULE_FILE = """
+config: {LOAD_LIMIT: 5, WAIT_LIMIT: 2.5}
+rules:
+  - name: load
+    precondition: 0 < total_cpu <= LOAD_LIMIT * 10 and numa_status_msg != None
+    finding: "load {total_cpu:.1f} of {LOAD_LIMIT}"
+    sub_rules:
+      - {name: waiting, precondition: "not p95_single_core_iowait < WAIT_LIMIT", finding: "waiting"}
+      - {name: spinning, precondition: "busiest_disk_subtype in ('HDD', 'other') or no_such_name"}
+      - {name: solid, precondition: "busiest_disk_subtype not in ['HDD'] or no_such_name", finding: "solid"}
+      - {name: unknown, precondition: no_such_name > 1 or True}
+  - name: always
+    sub_rules:
+      - {name: kinds, precondition: "busiest_disk_name == 5 or iowait_core_details is None or num_cpu == True and total_cpu != 'x'"}
+      - {name: broken, precondition: "total_cpu >"}
+"""
+
+
+def loaded_rules(v: Views) -> DataFrame:
+    """Every rule of a file with its place in the tree and whether it holds."""
+    rules, config = L.rules_of(RULE_FILE)
+    return L.evaluate(context(v), rules, config).select(CID, F.col("rule_id").cast("int").alias("rule_id"), "path", F.col("depth").cast("int").alias("depth"), "active", F.coalesce("finding", F.lit("")).alias("finding"))
+
+
+LOAD = "total_cpu > 0 and total_cpu <= 50"
+LOADED_SQL = {
+    "load": (0, LOAD, "printf('load %.1f of 5', total_cpu)"), "load/waiting": (1, f"{LOAD} and wait95 >= 2.5", "'waiting'"), "load/spinning": (1, f"{LOAD} and sub = 'HDD'", "''"), "load/solid": (1, f"{LOAD} and sub <> 'HDD'", "'solid'"),
+    "load/unknown": (1, "false", "''"), "always": (0, "true", "''"), "always/kinds": (1, "true", "''"), "always/broken": (1, "false", "''"),
+}
+add(
+    "l1_rules_from_text", loaded_rules,
+    WHOLE + " " + " union all ".join(f"select collection_id, {i} as rule_id, '{p}' as path, {d} as depth, ({c}) as active, case when {c} then {t} else '' end as finding from whole" for i, (p, (d, c, t)) in enumerate(LOADED_SQL.items())),
+)
 add("l5_audit", lambda v: L.findings(L.evaluate(context(v)))["audit"].select(CID, "path", "finding"), AFF.replace("> 15 then 1", "> 40 then 1") + """, r as (select c.collection_id, (select count(*) from leak l where l.collection_id = c.collection_id) as nl, (select count(*) from absent a where a.collection_id = c.collection_id) as na, coalesce((select t from txt where side = 'l' and txt.collection_id = c.collection_id), 'None') as lt, coalesce((select t from txt where side = 'a' and txt.collection_id = c.collection_id), 'None') as tt from (select distinct collection_id from cls) c)
 select collection_id, 'affinity audit' as path, 'affinity is checked' as finding from r union all select collection_id, 'affinity audit/affinity holds', 'the busy cores are the expected ones' from r where nl = 0 and na = 0
 union all select collection_id, 'affinity audit/leakage', concat(cast(nl as string), ' unexpected busy cores: ', lt) from r where nl > 0 union all select collection_id, 'affinity audit/absence', concat(cast(na as string), ' expected cores are not busy: ', tt) from r where na > 0""")
@@ -736,6 +855,10 @@ add("b1_folded_lines", lambda v: B.folded_lines(v.fx_folded), "select collection
 add("b2_symbol_csv", lambda v: B.symbol_stats_csv(G.symbol_hotspots(v.fx_folded), G.total_weight(v.fx_folded)), SYMBOLS + " select h.collection_id, symbol, inclusive, printf('%.2f%%', inclusive * 100.0 / total) as inclusive_pct, leaf, printf('%.2f%%', leaf * 100.0 / total) as leaf_pct from hot h join totals using (collection_id)")
 add("b3_stack_csv", lambda v: B.stack_stats_csv(v.fx_folded), "select collection_id, stack, weight from fx_folded")
 add("b4_path_csv", lambda v: B.path_stats_csv(H.path_stats(v.fx_folded)).select(CID, "path", "count"), PATHS + " select collection_id, array_to_string(path, ';') as path, count from paths")
+add(
+    "b4_path_csv_percent", lambda v: B.path_stats_csv(H.path_stats(v.fx_folded)),
+    PATHS + ", whole as (select collection_id, sum(weight) as total from fx_folded where contains(stack, ';') group by 1) select collection_id, array_to_string(path, ';') as path, count, printf('%.2f%%', count * 100.0 / total) as percent from paths join whole using (collection_id)",
+)
 add("b6_rounded_records", lambda v: B.rounded_records(v.fx_series.select(CID, "timestamp", (F.floor("tps") / 8).alias("x"))), "select collection_id, timestamp, round_even(floor(tps) / 8, 2) as x from fx_series")
 add("b7_groups_json", lambda v: B.groups_json(J.module_groups(v.chains)))
 MODULES, _, RANKED = SQL["j7_module_groups"].replace("array_to_string(list_sort(list_distinct(list(n.function))), ',') as functions", "list_sort(list_distinct(list(n.function))) as functions").rpartition("select collection_id, cast(dense_rank()")
@@ -784,3 +907,53 @@ add(
     "a14_archive_members", lambda v: A.unpacked(archives(v)),
     "with t as (select collection_id, array_to_string(list_sort(list(concat_ws(',', name, cast(size_bytes as string)))), chr(10)) as text from fx_devices group by 1) select collection_id, 'devices.csv' as file, cast(strlen(text) as bigint) as size, text from t union all select collection_id, 'in/empty.csv', cast(0 as bigint), '' from t",
 )
+add(
+    "a14_archive_lines", lambda v: A.unpacked_lines(archives(v)),
+    "with t as (select collection_id, list_sort(list(concat_ws(',', name, cast(size_bytes as string)))) as rows from fx_devices group by 1) select collection_id, 'devices.csv' as file, cast(i - 1 as bigint) as ord, rows[i] as value from (select *, unnest(range(1, len(rows) + 1)) as i from t)",
+)
+
+
+def quoted(df: DataFrame, names: list[str]) -> DataFrame:
+    """Rows as lines of CSV, texts in quotes with a comma and a quote put into them."""
+    def cell(c: str):
+        if A.TRACE_TYPES.get(c) == "string":
+            return F.coalesce(F.concat(F.lit('"'), F.col(c), F.lit(', ""x"""')), F.lit(""))
+        return F.coalesce((F.col(c).cast("int") if A.TRACE_TYPES.get(c) == "boolean" else F.col(c)).cast("string"), F.lit(""))
+
+    return df.select(F.array_join(F.array(*map(cell, names)), ",").alias("value"))
+
+
+def trace_text(v: Views, table: str) -> DataFrame:
+    """A table's rows; every third has a further field, and every fifth lacks the last one where there are more than two."""
+    names = A.TRACE[table].split()
+    d = v.__getattr__(f"tr_{table}")
+    more = quoted(d.filter("id % 3 = 0"), names).withColumn("value", F.concat("value", F.lit(",77")))
+    rest = d.filter("id % 3 <> 0")
+    return more.unionByName(quoted(rest.filter("id % 5 <> 0"), names)).unionByName(quoted(rest.filter("id % 5 = 0"), names[:-1]))
+
+
+def trace_sql(table: str) -> str:
+    names = A.TRACE[table].split()
+    def cell(c: str) -> str:
+        x = f"concat({c}, ', \"x\"')" if A.TRACE_TYPES.get(c) == "string" else c
+        return f"case when id % 3 = 0 or id % 5 <> 0 then {x} end as {c}" if c == names[-1] else f"{x} as {c}"
+
+    return f"select {', '.join(map(cell, names))} from tr_{table}"
+
+
+for _table in A.TRACE:
+    if _table != "samples":
+        add(f"a15_{_table}", lambda v, t=_table: A.trace_rows(trace_text(v, t), t), trace_sql(_table))
+
+
+def sample_text(v: Views) -> DataFrame:
+    """Samples in the branch form, the whole one, without their last two fields, and with two more."""
+    d = v.tr_samples.select("*", F.lit(3).cast("bigint").alias("machine_id"), F.col("insn_count").alias("period"), F.lit(2).cast("bigint").alias("weight"), F.lit(None).cast("bigint").alias("transaction_"), F.lit(9).cast("bigint").alias("data_src"))
+    names = A.TRACE["samples"].split()
+    branch = [c for c in names if c not in ("period", "weight", "transaction_", "data_src")]
+    forms = [quoted(d.filter(f"id % 4 = {i}"), x) for i, x in enumerate((branch, names, names[:-2], [*names, "ip", "time"]))]
+    return forms[0].unionByName(forms[1]).unionByName(forms[2]).unionByName(forms[3])
+
+
+PADDED = {"machine_id": "3", "period": "case when id % 4 <> 0 then insn_count end", "weight": "case when id % 4 <> 0 then 2 end", "transaction_": "null", "data_src": "case when id % 4 <> 0 then 9 end", "cyc_count": "case when id % 4 = 2 then 0 else cyc_count end", "flags": "case when id % 4 = 2 then 0 else flags end"}
+add("a15_samples", lambda v: A.trace_rows(sample_text(v), "samples"), "select " + ", ".join(f"cast({PADDED.get(c, c)} as {A.TRACE_TYPES.get(c, 'bigint')}) as {c}" for c in A.TRACE["samples"].split()) + " from tr_samples")

@@ -5,9 +5,11 @@ from __future__ import annotations
 import io
 import json
 import tarfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from typing import BinaryIO
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,24 +101,90 @@ def archive_members(spark: SparkSession, path: str) -> DataFrame:
     return unpacked(spark.read.format("binaryFile").load(path))
 
 
+def data_folder(name: str, names: Iterable[str]) -> str:
+    """The folder of an archive that counts: the only one, else the first whose name begins with attach_session."""
+    tops = sorted({n.removeprefix("./").split("/")[0] for n in names if "/" in n.removeprefix("./")})
+    own = tops if len(tops) == 1 else [t for t in tops if t.startswith("attach_session")]
+    if not own:
+        raise ValueError(f"{name} has no data folder")
+    return own[0]
+
+
+def opened(path: str) -> BinaryIO:
+    """A file in any store that Arrow's file systems reach, as a handle."""
+    fs, at = FileSystem.from_uri(path)
+    return fs.open_input_stream(at)
+
+
+def members(name: str, handle: Callable[[], BinaryIO]) -> Iterator[tuple[str, int, BinaryIO]]:
+    """(file, size, handle) of the members of the data folder, in the archive's order.  The archive is streamed twice, for the names and
+    for the members, and never held."""
+    with handle() as f, tarfile.open(fileobj=f, mode="r|*") as tar:
+        own = data_folder(name, (m.name for m in tar if m.isfile()))
+    with handle() as f, tarfile.open(fileobj=f, mode="r|*") as tar:
+        for m in tar:
+            top, _, rest = m.name.removeprefix("./").partition("/")
+            if m.isfile() and top == own and rest:
+                yield rest, m.size, tar.extractfile(m)
+
+
+def line_chunks(cid: str, name: str, handle: Callable[[], BinaryIO], rows: int = 4096, size: int = 1 << 22) -> Iterator[pd.DataFrame]:
+    """The lines of an archive's members in pieces of so many rows, or of about so many bytes."""
+    out: list[tuple[str, str, int, str]] = []
+    held = 0
+    for file, _, member in members(name, handle):
+        for i, line in enumerate(member):
+            out.append((cid, file, i, line.rstrip(b"\n").removesuffix(b"\r").decode("utf-8", "replace")))
+            held += len(line)
+            if len(out) >= rows or held >= size:
+                yield pd.DataFrame(out, columns=LINE_COLUMNS)
+                out, held = [], 0
+    yield pd.DataFrame(out, columns=LINE_COLUMNS)
+
+
+LINE_COLUMNS = [CID, "file", "ord", "value"]
+
+
+def named(path: str) -> str:
+    """The collection of an archive: its name up to the first dot."""
+    return path.rsplit("/", 1)[-1].split(".")[0]
+
+
+def archive_lines(spark: SparkSession, path: str, handle: Callable[[str], BinaryIO] = opened) -> DataFrame:
+    """(collection_id, file, ord, value): the lines of all members of tar archives, plain or compressed, for the parsers of text.
+
+    Spark lists the archives, without their content; each is streamed by a task from a file handle, so that neither an archive nor
+    a member is ever whole in memory.  handle: opens a path where Arrow's file systems don't know the store."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for p in f["path"]:
+                yield from line_chunks(named(p), p, lambda p=p: handle(p))
+
+    listed = spark.read.format("binaryFile").load(path).select("path")
+    return listed.repartition(F.col("path")).mapInPandas(run, f"{CID} string, file string, ord bigint, value string")
+
+
+def unpacked_lines(archives: DataFrame) -> DataFrame:
+    """The same from (path, content), for archives that stand in a table."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for p, content in zip(f["path"], f["content"], strict=True):
+                yield from line_chunks(named(p), p, lambda content=content: io.BytesIO(content))
+
+    return archives.select("path", "content").mapInPandas(run, f"{CID} string, file string, ord bigint, value string")
+
+
 def unpacked(archives: DataFrame) -> DataFrame:
-    """(collection_id, file, size, text) from (path, content), one task for each archive: the members of the data folder, which is
-    the only one, else the first whose name begins with attach_session; an archive without one is an error."""
+    """(collection_id, file, size, text) from (path, content), one task for each archive: the members of the data folder, whole, for
+    small files such as specifications (`archive_lines` is for the others)."""
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for name, content in zip(f["path"], f["content"], strict=True):
-                cid = name.rsplit("/", 1)[-1].split(".")[0]
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    members = [m for m in tar.getmembers() if m.isfile()]
-                    tops = sorted({m.name.removeprefix("./").split("/")[0] for m in members if "/" in m.name.removeprefix("./")})
-                    own = tops if len(tops) == 1 else [t for t in tops if t.startswith("attach_session")]
-                    if not own:
-                        raise ValueError(f"{name} has no data folder")
-                    for m in members:
-                        top, _, rest = m.name.removeprefix("./").partition("/")
-                        if top == own[0] and rest:
-                            yield pd.DataFrame({CID: [cid], "file": [rest], "size": [m.size], "text": [tar.extractfile(m).read().decode("utf-8", "replace")]})
+                for file, size, member in members(name, lambda content=content: io.BytesIO(content)):
+                    yield pd.DataFrame({CID: [named(name)], "file": [file], "size": [size], "text": [member.read().decode("utf-8", "replace")]})
 
     return archives.select("path", "content").mapInPandas(unpack, f"{CID} string, file string, size bigint, text string")
 
@@ -146,14 +214,42 @@ def trace_schema(table: str) -> str:
     return ", ".join(f"{c} {TRACE_TYPES.get(c, 'bigint')}" for c in TRACE[table].split())
 
 
-def trace_table(spark: SparkSession, path: str, table: str, branches: bool = False) -> DataFrame:
-    """A trace table from headerless CSV; the branch form of samples has no period to data_src, which are NULL here."""
-    schema = trace_schema(table)
-    if table == "samples" and branches:
-        short = ", ".join(f"{c} {TRACE_TYPES.get(c, 'bigint')}" for c in f"{SAMPLE_HEAD} {SAMPLE_TAIL}".split())
-        d = spark.read.schema(short).csv(path)
-        return d.select(*[F.col(c) if c in d.columns else F.lit(None).cast("bigint").alias(c) for c in TRACE["samples"].split()])
-    return spark.read.schema(schema).csv(path)
+def typed(fields: Sequence[tuple[str, Column]]) -> list[Column]:
+    return [x.try_cast(TRACE_TYPES.get(c, "bigint")).alias(c) for c, x in fields]
+
+
+def sample_rows(lines: DataFrame) -> DataFrame:
+    """The trace's samples from lines (value) of comma-separated fields, whatever their number: 21 fields are the branch form, which
+    has no period, weight, transaction_ and data_src (NULL here); others are filled up with 0 to the 25 of the whole form, or cut to
+    them.  Empty fields are NULL, and so are fields that are no numbers; lines without text are left out."""
+    names, head = TRACE["samples"].split(), len(SAMPLE_HEAD.split())
+    gap = len(names) - head - len(SAMPLE_TAIL.split())
+    f, n = F.col("f"), F.size("f")
+    d = lines.filter(F.trim("value") != "").select(F.split("value", ",", -1).alias("f"))
+
+    def field(i: int) -> Column:
+        whole = F.when(n > i, F.trim(F.get(f, F.lit(i)))).otherwise("0")
+        if i < head:
+            return whole
+        short = F.lit(None).cast("string") if i < head + gap else F.trim(F.get(f, F.lit(i - gap)))
+        return F.when(n == len(names) - gap, short).otherwise(whole)
+
+    return d.select(*typed([(c, field(i)) for i, c in enumerate(names)]))
+
+
+def trace_rows(lines: DataFrame, table: str) -> DataFrame:
+    """A trace table from lines (value) of CSV without a header; rows may be short (NULL) or long (cut)."""
+    if table == "samples":
+        return sample_rows(lines)
+    names = TRACE[table].split()
+    row = F.from_csv("value", F.lit(", ".join(f"{c} string" for c in names)), {"escape": '"', "mode": "PERMISSIVE"})
+    d = lines.filter(F.trim("value") != "").select(row.alias("r"))
+    return d.select(*typed([(c, F.trim(F.col(f"r.{c}")) if TRACE_TYPES.get(c) != "string" else F.col(f"r.{c}")) for c in names]))
+
+
+def trace_table(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A trace table from headerless CSV files.  Records that hold line breaks in quotes need `spark.read.csv`; no trace table does."""
+    return trace_rows(spark.read.text(path), table)
 
 
 def fetch_table(spark: SparkSession, name: str) -> DataFrame:
