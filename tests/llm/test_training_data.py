@@ -146,6 +146,28 @@ def test_spans_equal_the_patterns():
         assert [(k, a, b) for k in pii.KINDS for a, b in found[k]] == base_spans(t), t
 
 
+@pytest.mark.parametrize("anchor", ["token=", "://", "password:", "@a.", "+1(", "a://,", "iban ", "token token=", "1.", "1 ", "secret='"])
+def test_long_runs_of_anchors_take_linear_time(anchor):
+    text = anchor * (10**6 // len(anchor))
+    start = time.process_time()
+    pii.find_spans(text)
+    whole = time.process_time() - start
+    start = time.process_time()
+    pii.find_spans(text[: len(text) // 4])
+    assert whole < 8 * (time.process_time() - start) + 0.5
+
+
+def test_secret_forms():
+    def found(t):
+        return [t[a:b] for a, b in pii.find_spans(t)["secret"]]
+
+    assert found("Authorization: Bearer abcDEF123456789 x") == ["abcDEF123456789"]
+    assert found('token = "abcdefghijkl"') == ["abcdefghijkl"] and found('secret="1234567890123";') == ["1234567890123"]
+    assert found("the bearer carried it; token = yes; password: please; pwd=12345678") == []
+    assert found("token=token=token=abcdefg1") == ["token=token=abcdefg1"] and found("'password': 'p4ssw0rdX'.") == ["p4ssw0rdX"]
+    assert found("bearer of seventeen 1234567890 letters") == []
+
+
 def test_pii_digest_and_redaction(spark, texts):
     own = [*texts, "mail Bob.x@ex-1.org, card 4111-1111-1111-1111; IBAN: DE44500105175407324931 see http://a.b/c."]
     rows = {r["doc_id"]: r for r in pii.pii_digest(docs(spark, own)).collect()}

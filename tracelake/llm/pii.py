@@ -7,11 +7,11 @@ overlap; spans of different kinds may, and are all listed; where text is masked,
 
 Rows: a null text counts as empty and has no spans; repeated rows are each scanned; an empty table gives no rows; any further
 columns are ignored.
-Offsets are code points, the end is exclusive."""
+Offsets are code points, the end is exclusive.  A text takes time in proportion to its length, whatever it holds."""
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,7 +58,7 @@ def automaton():
         for cue in CUES:
             a.add_word(cue, ("cue", len(cue)))
         for cue in SECRETS:
-            a.add_word(cue, ("secret", len(cue)))
+            a.add_word(cue, ("bearer" if cue == "bearer" else "secret", len(cue)))
         a.make_automaton()
         _automaton = a
     return _automaton
@@ -171,32 +171,65 @@ def account_at(text: str, cue_end: int) -> tuple[int, int] | None:
     return (start, end) if len(body) <= 42 and sum(c in DIGITS for c in body) >= 6 else None
 
 
-def secret_at(text: str, cue_end: int) -> tuple[int, int] | None:
-    """After a name: = or :, with quotes and up to two blanks about it, then 8 characters or more of which one is a digit, and that
-    are not all digits and dots.  Sentence marks at the end stay out."""
+class Run:
+    """The last run of characters of one kind that was scanned, so that later anchors within it don't scan it again: its end, its end
+    without the marks that close a sentence, and the last places of a digit and of a sign that stands in no number."""
+
+    def __init__(self, inside: Callable[[str], bool], marks: str):
+        self.inside, self.marks = inside, marks
+        self.start = self.end = self.trimmed = 0
+        self.digit = self.other = -1
+
+    def at(self, text: str, start: int) -> "Run":
+        if not self.start <= start < self.end:
+            end, n = start, len(text)
+            while end < n and self.inside(text[end]):
+                end += 1
+            self.start, self.end, self.digit, self.other = start, end, -1, -1
+            while end > start and text[end - 1] in self.marks:
+                end -= 1
+            self.trimmed = end
+            for i in range(end - 1, start - 1, -1):
+                if text[i] in DIGITS:
+                    self.digit = max(self.digit, i)
+                elif text[i] not in "./-":
+                    self.other = max(self.other, i)
+                if self.digit >= 0 and self.other >= 0:
+                    break
+        return self
+
+
+def secret_at(text: str, cue_end: int, run: Run, bearer: bool = False) -> tuple[int, int] | None:
+    """After a name: = or :, with quotes and up to two blanks about it - or, after `bearer`, a blank - then 8 characters or more of
+    which one is a digit and one no part of a number; between quotes 10 or more of any.  Sentence marks at the end stay out."""
     at, n = cue_end, len(text)
-    at += at < n and text[at] in "\"'"
-    for wanted in (" ", " ", "=:", ">=", " ", " ", "\"'"):
-        at += at < n and text[at] in wanted
-        if wanted == "=:" and text[at - 1] not in "=:":
-            return None
-    end = run_end(text, at, SECRET)
-    while end > at and text[end - 1] in ".!?":
-        end -= 1
-    body = text[at:end]
-    return (at, end) if len(body) >= 8 and any(c in DIGITS for c in body) and not all(c in DIGITS or c in ".-/" for c in body) else None
+    if bearer and at + 1 < n and text[at] == " " and text[at + 1] in WORD:
+        at += 1
+    else:
+        at += at < n and text[at] in "\"'"
+        for wanted in (" ", " ", "=:", ">=", " ", " ", "\"'"):
+            at += at < n and text[at] in wanted
+            if wanted == "=:" and text[at - 1] not in "=:":
+                return None
+    r = run.at(text, at)
+    quote = text[at - 1] if text[at - 1] in "\"'" else ""
+    if quote and r.end < n and text[r.end] == quote and r.end - at >= 10:
+        return at, r.end
+    return (at, r.trimmed) if r.trimmed - at >= 8 and r.digit >= at and r.other >= at else None
 
 
-def url_at(text: str, colon: int, after: int) -> tuple[int, int] | None:
+def url_at(text: str, colon: int, after: int, run: Run) -> tuple[int, int] | None:
     start = colon
     while start > after and text[start - 1] in WORD:
         start -= 1
-    end, n = colon + 3, len(text)
-    while end < n and not text[end].isspace() and text[end] not in "\"'<>()[]{}|":
-        end += 1
-    while end > colon + 3 and text[end - 1] in ".,;:!?":
-        end -= 1
-    return (start, end) if start < colon and end > colon + 3 else None
+    if start == colon or colon + 3 >= len(text):
+        return None
+    end = run.at(text, colon + 3).trimmed
+    return (start, end) if end > colon + 3 else None
+
+
+def in_url(c: str) -> bool:
+    return not c.isspace() and c not in "\"'<>()[]{}|"
 
 
 def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
@@ -206,6 +239,7 @@ def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
         return out
     done = dict.fromkeys(out, 0)  # end of the last match of each kind, valid or not
     run = 0  # end of the digits that the last digit anchor began
+    secrets, urls = Run(SECRET.__contains__, ".!?"), Run(in_url, ".,;:!?")
     for last, (what, size) in automaton().iter(lowered(text)):
         at = last - size + 1
         if what == "digit":
@@ -232,11 +266,11 @@ def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
                 if 9 <= sum(c in DIGITS for c in text[m[0] : m[1]]) <= 15:
                     out["phone"].append(m)
         elif what == "scheme":
-            if at >= done["url"] and (m := url_at(text, at, done["url"])):
+            if at >= done["url"] and (m := url_at(text, at, done["url"], urls)):
                 done["url"] = m[1]
                 out["url"].append(m)
-        elif what == "secret":
-            if at >= done["secret"] and (at == 0 or text[at - 1] not in WORD) and (m := secret_at(text, last + 1)):
+        elif what in ("secret", "bearer"):
+            if at >= done["secret"] and (at == 0 or text[at - 1] not in WORD) and (m := secret_at(text, last + 1, secrets, what == "bearer")):
                 done["secret"] = m[1]
                 out["secret"].append(m)
         elif at >= done["account"] and (at == 0 or text[at - 1] not in WORD) and (m := iban_at(text, last + 1) or account_at(text, last + 1)):
