@@ -148,6 +148,11 @@ def least_apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(both).sum())
 
 
+def folded(bits: bytes) -> int:
+    """A parity bitmap folded to 64 bits."""
+    return int(np.bitwise_xor.reduce(np.frombuffer(bits, np.int64)))
+
+
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n, h1, h2, bits) of each document: its set's size, two hashes of it and its parity bitmap."""
 
@@ -224,15 +229,20 @@ def joined_components(found: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """pairs (a, b) with the sizes of both sets and a lower bound of the elements in which they differ, from the bitmaps."""
+    """pairs (a, b) with the sizes of both sets and a lower bound of the elements in which they differ, from the bitmaps,
+    and b's bitmap in 64 bits."""
     side = [classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab"]
 
     def run(b):
         out = {c: b.column(c) for c in ("a", "b", "na", "nb")}
         both = zip(b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist(), strict=True)
-        return out | {"least": [least_apart(x, y) for x, y in both]}
+        least, fold = [], []
+        for x, y in both:
+            least.append(least_apart(x, y))
+            fold.append(folded(y))
+        return out | {"least": least, "fold": fold}
 
-    return stored(map_slices(pairs.join(side[1], "b").join(side[0], "a"), run, "a long, b long, na long, nb long, least long"))
+    return stored(map_slices(pairs.join(side[1], "b").join(side[0], "a"), run, "a long, b long, na long, nb long, least long, fold long"))
 
 
 def sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, words: int, repeated: bool) -> DataFrame:
@@ -301,9 +311,28 @@ def between(rows: DataFrame, key: list[str], percent: int) -> DataFrame:
     return one.join(side(rows, "b"), [*key, "comp_b"]).filter(sized & enough("a", "b")).select("node_a", "node_b")
 
 
+def told_apart(rows: DataFrame, key: str, percent: int, most: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Of rows (key, node, comp, n, fold): pairs (a, b) of different components that may link by their sizes and folded bitmaps, for
+    keys with up to `most` rows, and the rows of the other keys in which components meet.  Pairs are made within one such row's
+    array, so that a key costs `most` candidates a row at the utmost."""
+    met = rows.groupBy(key).agg(F.min("comp").alias("one"), F.max("comp").alias("other"), F.count("*").alias("held")).filter("one < other").select(key, "held")
+    d = rows.join(met, key)
+    lists = d.filter(F.col("held") <= most).groupBy(key).agg(F.collect_list(F.struct("node", "comp", "n", "fold")).alias("of"))
+
+    def partners(x: Column) -> Column:
+        def may(y: Column) -> Column:
+            differ = F.bit_count(x["fold"].bitwiseXOR(y["fold"])) * (100 + percent)
+            return (x["node"] < y["node"]) & (x["comp"] != y["comp"]) & (differ <= (100 - percent) * (x["n"] + y["n"]))
+
+        return F.transform(F.filter("of", may), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))
+
+    pairs = lists.select(F.explode(F.flatten(F.transform("of", partners))).alias("p")).select("p.a", "p.b")
+    return pairs, d.filter(F.col("held") > most).drop("held")
+
+
 def ordered(rows: DataFrame, by: list[str]) -> DataFrame:
-    """(*by, node, xs) from (*by, node, x): the elements that several nodes share, the rarest first."""
-    rows = rows.repartition(*by, "x")  # one shuffle for the count and the join
+    """(*by, node, xs) from (*by, node, x): the elements that several nodes share, the rarest first.  Counts are made up before they
+    are shuffled, and Spark cuts up an element that many share where it is joined."""
     common = rows.groupBy(*by, "x").agg(F.count("*").alias("c")).filter("c > 1")
     return rows.join(common, [*by, "x"]).groupBy(*by, "node").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("xs"))
 
@@ -345,22 +374,23 @@ def near_candidates(family: DataFrame, tried: DataFrame, percent: int) -> DataFr
     rows = d.join(order, ["hub", "node"]).select("hub", "node", "comp", "n", "d", alone.alias("alone"), F.posexplode(some).alias("p", "e"))
     rows = rows.select("hub", F.col("e.x").alias("x"), "node", "comp", "n", "d", (F.col("d") - F.col("alone") - F.col("p")).alias("r"))
     share = between(rows, ["hub", "x"], percent)
+    # Those so near the hub that differences cannot part them: x and y link if their spares add up, so that each that links with any
+    # links with the one of the largest spare, too, and so do its partners.
     few = d.filter("out and d + any <= most").select("hub", "node", "comp", "n", "d")
     spare = (100 - percent) * F.col("n") - (100 + percent) * F.col("d")
-    light = d.groupBy("hub", F.col("comp").alias("comp_b")).agg(F.max(F.struct(spare.alias("spare"), F.col("node").alias("node_b"))).alias("best"))
-    sure = few.join(light, "hub").filter((F.col("comp") != F.col("comp_b")) & (F.col("best.spare") + spare >= 0))
+    light = d.groupBy("hub").agg(F.max(F.struct(spare.alias("spare"), F.col("node").alias("node_b"), "comp")).alias("best"))
+    inner = d.filter(~F.col("out")).groupBy("hub").agg(F.max(F.struct(spare.alias("spare"), F.col("node").alias("node_b"), "comp")).alias("best"))
+    sure = dealt(few, light, "hub").union(dealt(few, inner, "hub")).filter((F.col("comp") != F.col("best.comp")) & (F.col("best.spare") + spare >= 0))
     pairs = share.union(sure.select("node", "best.node_b"))
     out = stored(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
     discard(d)
     return out
 
 
-def far_nodes(family: DataFrame, buckets: DataFrame) -> DataFrame:
-    """(node, comp) of the classes far from the hub of a bucket in which another one in another component is so too."""
-    beyond = family.filter(F.col("d").isNull() | (F.col("d") > cut(F.col("na")))).select("hub", "node", "comp")
-    met = buckets.join(beyond, ["hub", "node"]).select("sig", "node", "comp")
-    mixed = met.groupBy("sig").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).filter("one < other").select("sig")
-    return met.join(mixed, "sig").select("node", "comp").distinct()
+def far_buckets(family: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(sig, node, comp, n, fold) of the classes far from the hub of a bucket."""
+    beyond = family.filter(F.col("d").isNull() | (F.col("d") > cut(F.col("na")))).select("hub", "node", "comp", "n", "fold")
+    return buckets.join(beyond, ["hub", "node"]).select("sig", "node", "comp", "n", "fold")
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, repeated: bool | None = None, turns: int = 1) -> DataFrame:
@@ -386,16 +416,18 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, repeated: bo
 
     comp_a = found.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
     comp_b = found.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-    exact = tried.select("a", "b", "na", "nb", F.size("apart").cast("long").alias("d"))
-    far = bounds.filter(F.col("least") > reach).select("a", "b", "na", "nb", F.lit(None).cast("long").alias("d"))
-    family = exact.union(far).join(comp_b, "b", "left").join(comp_a, "a", "left")
+    exact = tried.select("a", "b", F.size("apart").cast("long").alias("d"))
+    family = bounds.join(exact, ["a", "b"], "left").join(comp_b, "b", "left").join(comp_a, "a", "left")
     ca, cb = F.coalesce("ca", "a"), F.coalesce("cb", "b")
-    family = stored(family.select(F.col("a").alias("hub"), F.col("b").alias("node"), "na", F.col("nb").alias("n"), "d", cb.alias("comp"), (ca != cb).alias("out")))
+    family = stored(family.select(F.col("a").alias("hub"), F.col("b").alias("node"), "na", F.col("nb").alias("n"), "d", "fold", cb.alias("comp"), (ca != cb).alias("out")))
     close = family.filter(F.col("d") <= cut(F.col("na")) + most_apart(F.col("n"), percent)).drop("na")
-    near = near_candidates(close, tried, percent)
-    nodes = stored(far_nodes(family, buckets))
+    # Few around a hub, or in a bucket far from it, are paired at once; the elements in which more differ tell which of them to pair.
+    by_hub, crowd = told_apart(close, "hub", percent)
+    near = near_candidates(crowd, tried, percent)
+    by_sig, crowd = told_apart(far_buckets(family, buckets), "sig", percent)
+    nodes = stored(crowd.select("node", "comp").distinct())
     away = far_candidates(nodes, classes, docs, words, percent, repeated)
-    more = bounded(near.union(away).distinct(), classes)
+    more = bounded(by_hub.union(by_sig).union(near).union(away).distinct(), classes)
     linked = F.col("least") * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))
     again = verified(more.filter(linked), classes, docs, words, percent, repeated)
     if again.filter("link").limit(1).count():
