@@ -3,7 +3,8 @@
 A condition is read by Python's own parser and turned into a column node by node, so that it means what Python would make of it:
 comparisons may be chained, `and` and `or` stop at the first operand that decides, None equals None only, values of different kinds
 are unequal and have no order, and truth is asked of numbers and texts, too.  Where Python would raise - an unknown name, an order
-with None, a division by zero, a call or anything else that is no plain expression - the column is NULL."""
+with None, a division by zero - or where a condition holds a call or anything else that is no plain expression, such as `and` or `or`
+as an operand of a comparison, the column is NULL."""
 
 from __future__ import annotations
 
@@ -38,7 +39,25 @@ def condition(text: str, schema: StructType) -> Column:
     except SyntaxError:
         return failed().column
     kinds = {f.name: "truth" if isinstance(f.dataType, BooleanType) else "number" if isinstance(f.dataType, NumericType) else "text" if isinstance(f.dataType, StringType) else ERROR for f in schema}
-    return truth(made(tree, kinds))
+    return truth_of(tree, kinds)
+
+
+def truth_of(node: ast.expr, kinds: dict[str, str]) -> Column:
+    """What `if` makes of a condition's part; NULL where that fails."""
+    none = F.lit(None).cast("boolean")
+    match node:
+        case ast.BoolOp(op=op, values=parts):
+            out = truth_of(parts[-1], kinds)
+            for x in reversed(parts[:-1]):
+                first = truth_of(x, kinds)
+                stop = first if isinstance(op, ast.Or) else ~first
+                # What stands behind is not looked at where the first decides, and a failure ends it.
+                out = F.when(first.isNull(), none).when(stop, F.lit(isinstance(op, ast.Or))).otherwise(out)
+            return out
+        case ast.IfExp(test=t, body=a, orelse=b):
+            yes = truth_of(t, kinds)
+            return F.when(yes.isNull(), none).when(yes, truth_of(a, kinds)).otherwise(truth_of(b, kinds))
+    return truth(made(node, kinds))
 
 
 def truth(v: Value) -> Column:
@@ -64,23 +83,15 @@ def made(node: ast.expr, kinds: dict[str, str]) -> Value:
         case ast.Name(id=name) if kinds.get(name, ERROR) != ERROR:
             return Value(F.col(f"`{name}`"), kinds[name])
         case ast.UnaryOp(op=ast.Not(), operand=x):
-            return Value(~truth(made(x, kinds)), "truth", True)
+            return Value(~truth_of(x, kinds), "truth", True)
         case ast.UnaryOp(op=(ast.USub() | ast.UAdd()) as op, operand=x):
             v = number(made(x, kinds))
             return v if v.kind == ERROR or isinstance(op, ast.UAdd) else Value(-v.column, "number", True)
         case ast.BinOp(left=a, op=op, right=b):
-            return computed(number(made(a, kinds)), op, number(made(b, kinds)))
-        case ast.BoolOp(op=op, values=parts):
-            out = truth(made(parts[-1], kinds))
-            for x in reversed(parts[:-1]):
-                first = truth(made(x, kinds))
-                stop = first if isinstance(op, ast.Or) else ~first
-                # What stands behind is not looked at where the first decides, and a failure ends it.
-                out = F.when(first.isNull(), F.lit(None).cast("boolean")).when(stop, F.lit(isinstance(op, ast.Or))).otherwise(out)
-            return Value(out, "truth", True)
-        case ast.IfExp(test=t, body=a, orelse=b):
-            yes = truth(made(t, kinds))
-            return Value(F.when(yes.isNull(), F.lit(None).cast("boolean")).when(yes, truth(made(a, kinds))).otherwise(truth(made(b, kinds))), "truth", True)
+            x, y = made(a, kinds), made(b, kinds)
+            if x.kind == y.kind == "text" and isinstance(op, ast.Add):
+                return Value(F.concat(x.column, y.column), "text", True)
+            return computed(number(x), op, number(y))
         case ast.Compare(left=a, ops=ops, comparators=others):
             operands, out = [a, *others], None
             for i in range(len(ops) - 1, -1, -1):
