@@ -1,13 +1,14 @@
 """Approximate nearest neighbours by balanced posting lists.
 
-Centroids come from balanced k-means over a bounded sample.  Every vector is posted to its nearest centroid's list and, near a
+The number of lists follows the number of rows, up to a bound.  Their centroids come from balanced k-means over a bounded sample, in two
+levels: the sample's cells are split in proportion to what they hold.  Every vector is posted to its nearest centroid's list and, near a
 boundary, to the lists of further centroids; lists beyond a length are cut into parts, so that no task holds an unbounded list.
 A query walks a neighbour graph of the centroids in memory and takes all lists whose centroid is at most e times a distance
 farther than the nearest one, that distance being the nearest one's, or the sample's median where that is more (so that a query
 on a centroid looks around, too); e is calibrated on the sample so that a target share of true neighbours is posted there.  Where
 these lists hold too few ids, the next nearest ones are taken, so that a query has k neighbours wherever there are k candidates.
 
-Rows: vectors that are null, zero, of another length than most, or that hold a null or a non-finite component take no part;
+Rows: a null vec_id takes no part; vectors that are null, zero, of another length than most, or that hold a null or a non-finite component take no part;
 repeated rows are candidates each under their id (a repeated id counts once, with its smallest distance); an empty table gives no
 rows; further columns are ignored."""
 
@@ -32,15 +33,26 @@ class Lists:
     floor: float  # the least distance that e is a multiple of
     spread: float  # a vector is posted to centroids at most (1 + spread) times as far as its nearest
     copies: int
+    tops: np.ndarray  # centroids of the cells, and each cell's centroids, filled up with -1
+    held: np.ndarray
+    probe: int = 8  # cells in which a vector's nearest centroids are sought
+
+    def nearest(self, x: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """The m nearest centroids of each row, and their distances, from the nearest cells."""
+        cells = np.argpartition(distances(x, self.tops), min(self.probe, len(self.tops)) - 1, axis=1)[:, : self.probe]
+        of = self.held[cells].reshape(len(x), -1)
+        c = self.centroids[np.maximum(of, 0)]
+        square = (x * x).sum(1)[:, None] - 2 * np.einsum("nd,ncd->nc", x, c) + (c * c).sum(2)
+        d = np.where(of >= 0, np.sqrt(np.maximum(square, 0)), np.inf)
+        near = np.argpartition(d, min(m, d.shape[1]) - 1, axis=1)[:, :m]
+        return np.take_along_axis(of, near, 1), np.take_along_axis(d, near, 1)
 
     def posts(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, list) of every posting, and whether it is the row's first, in a list whose centroid is nearest."""
-        d = distances(x, self.centroids)
-        m = min(self.copies, d.shape[1])
-        near = np.argpartition(d, m - 1, axis=1)[:, :m]
-        dn = np.take_along_axis(d, near, 1)
+        some = [self.nearest(x[i : i + 256], self.copies) for i in range(0, len(x), 256)]
+        near, dn = (np.concatenate(a) for a in zip(*some, strict=True))
         keep = dn <= (1 + self.spread) * dn.min(1, keepdims=True) + 1e-12
-        row, col = np.nonzero(keep)
+        row, col = np.nonzero(keep & np.isfinite(dn))
         return row, near[row, col], col == dn.argmin(1)[row]
 
     def extent(self, best):
@@ -104,14 +116,40 @@ def balanced_means(x: np.ndarray, k: int, turns: int = 8, seed: int = 5) -> np.n
     return c
 
 
-def fit_lists(sample: np.ndarray, a_list: int = 100, most_lists: int = 1024, spread: float = 0.05, copies: int = 2, target: float = 0.99, k: int = 10) -> Lists:
-    c = balanced_means(sample, int(np.clip(len(sample) // a_list, 1, most_lists)))
-    near = np.argsort(distances(c, c), axis=1, kind="stable")[:, 1:25]
-    graph: list[set[int]] = [set(row) for row in near.tolist()]
+def two_levels(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cells' centroids, each cell's centroids, all centroids): a cell gets as many of the k as its share of the rows asks for."""
+    tops = balanced_means(x, int(np.ceil(np.sqrt(k))))
+    of = np.concatenate([distances(x[i : i + 4096], tops).argmin(1) for i in range(0, len(x), 4096)])
+    c, held = [], []
+    for t in range(len(tops)):
+        own = x[of == t]
+        if len(own):
+            c.append(balanced_means(own, max(1, round(k * len(own) / len(x)))))
+        held.append(len(own) and len(c[-1]))
+    full = np.full((len(tops), max(held)), -1)
+    full[np.arange(full.shape[1])[None] < np.array(held)[:, None]] = np.arange(sum(held))
+    return tops, full, np.concatenate(c)
+
+
+def neighbours_of(c: np.ndarray, q: np.ndarray, m: int) -> np.ndarray:
+    """The m nearest of c to each row of q, nearest first, in blocks."""
+    out = []
+    for i in range(0, len(q), 64):
+        d = distances(q[i : i + 64], c)
+        near = np.argpartition(d, min(m, len(c)) - 1, axis=1)[:, :m]
+        out.append(np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1))
+    return np.concatenate(out)
+
+
+def fit_lists(sample: np.ndarray, lists: int | None = None, spread: float = 0.05, copies: int = 2, target: float = 0.99, k: int = 10) -> Lists:
+    tops, held, c = two_levels(sample, max(1, lists or len(sample) // 100))
+    near = neighbours_of(c, c, 25)
+    graph: list[set[int]] = [set(row) - {i} for i, row in enumerate(near.tolist())]
     for i, row in enumerate(near.tolist()):
         for j in row:
-            graph[j].add(i)  # both ways, so that no centroid is out of the walk's reach
-    out = Lists(c, [sorted(g) for g in graph], 0.0, 0.0, spread, copies)
+            if j != i:
+                graph[j].add(i)  # both ways, so that no centroid is out of the walk's reach
+    out = Lists(c, [sorted(g) for g in graph], 0.0, 0.0, spread, copies, tops, held)
     sample = np.unique(sample, axis=0)  # copies of one vector must not decide the reach
     sample = sample[np.random.default_rng(9).permutation(len(sample))]
     some = np.linspace(0, len(sample) - 1, min(len(sample), 400)).astype(int)
@@ -121,7 +159,7 @@ def fit_lists(sample: np.ndarray, a_list: int = 100, most_lists: int = 1024, spr
     of: dict[int, list[int]] = {}
     for r, v in zip(row.tolist(), lst.tolist(), strict=True):
         of.setdefault(r, []).append(v)
-    true = np.argsort(distances(sample[some], sample), axis=1, kind="stable")[:, 1 : k + 1]
+    true = neighbours_of(sample, sample[some], k + 1)[:, 1:]
     need = [(dq[i, of[j]].min() - dq[i].min()) / max(dq[i].min(), out.floor) for i in range(len(some)) for j in true[i].tolist()]
     out.reach = float(max(0.0, np.quantile(need, target))) if need else 0.0
     return out
@@ -135,18 +173,22 @@ def usable(df: DataFrame, vector: str) -> DataFrame:
     return df.select("vec_id", v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & ~zero)
 
 
-def nearest(embeddings: DataFrame, k: int = 10, every: int = 100, sample: int = 20_000, longest: int = 2000, vector: str = "embedding", most_asked: int = 4000) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k nearest found for each row whose id is divisible by `every`."""
+def nearest(embeddings: DataFrame, k: int = 10, every: int = 100, a_list: int = 100, most_lists: int = 16_384, sample: int = 20_000, a_centroid: int = 20, longest: int = 2000, vector: str = "embedding", most_asked: int = 4000) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k nearest found for each row whose id is divisible by `every`.
+
+    There is a list for every `a_list` rows, up to `most_lists`; they are fitted on `sample` rows, or on `a_centroid` for each list
+    where that is more."""
     spark = embeddings.sparkSession
     good = usable(embeddings, vector)
     sized = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     dim = sized[0]["d"] if sized else 0
     good = good.filter(F.size("v") == dim)
-    some = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow().column("v") if dim else []
+    lists = int(np.clip(sized[0]["count"] // a_list, 1, most_lists)) if sized else 0
+    some = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(sample, a_centroid * lists)).select("v").toArrow().column("v") if dim else []
     schema = "query_id long, rank int, vec_id long, score double"
     if not len(some):
         return spark.createDataFrame([], schema)
-    index = fit_lists(some.combine_chunks().flatten().to_numpy().reshape(-1, dim), k=k)
+    index = fit_lists(some.combine_chunks().flatten().to_numpy().reshape(-1, dim), lists, k=k)
     shared = spark.sparkContext.broadcast(index)
 
     def post(b):
