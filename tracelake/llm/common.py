@@ -55,16 +55,17 @@ def forget() -> None:
         c.clear()
 
 
-def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every n consecutive word hashes: a sum of products with odd multipliers, then mixed."""
-    size = len(h) - n + 1
+def gram_hashes(h: np.ndarray, n: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hash of every n consecutive word hashes, or of those that begin at the places given: a sum of products with odd multipliers,
+    then mixed."""
+    size = len(h) - n + 1 if at is None else len(at)
     if size <= 0:
         return np.empty(0, np.uint64)
     out, k = np.zeros(size, np.uint64), 1
     for i in range(n):
         k = k * 0x9E3779B97F4A7C15 + 2 * i + 1 | 1
         k &= (1 << 64) - 1
-        out += h[i : i + size] * np.uint64(k)
+        out += (h[i : i + size] if at is None else h[at + i]) * np.uint64(k)
     return mixed(out)
 
 
@@ -114,7 +115,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.  Where none is set, only a session on one machine gets a temporary one."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="tracelake-")
         spark.conf.set("spark.checkpoint.dir", d)

@@ -5,7 +5,7 @@ row share a kept hash there.  Where a document has a kept hash of the benchmark,
 the benchmark's windows, which extends each hit to all the words that it covers.  Items of fewer than 10 words are one window and
 are looked up by their own length.
 
-The windows' hashes are broadcast while their number is at most `most_windows`; a larger benchmark goes through a join of the
+The windows' hashes are broadcast while the index takes at most `most_bytes`; a larger benchmark goes through a join of the
 kept hashes and a second join of the windows.
 
 Rows: a null text has no words; an item without words has no window; repeated rows each count, a repeated item_id once; an item
@@ -15,10 +15,11 @@ columns are ignored."""
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import alnum_words, gram_hashes, map_slices, stored, word_hashes
+from tracelake.llm.common import alnum_words, gram_hashes, map_slices, slices, stored, word_hashes
 
 GRAM, RUN = 5, 6
 WINDOW = GRAM + RUN - 1
@@ -60,18 +61,33 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return map_slices(items, run, "item_id string, size int, window long, marks array<long>").distinct()
 
 
+#: Largest index that is sent to all tasks.
+MOST_BYTES = 64 << 20
+
+
 class Index:
-    """Sorted hashes of a benchmark's windows, and the items of each window."""
+    """A benchmark's windows as sorted arrays: for each size the hashes, and where each one's items begin among the items' numbers."""
+
+    def __init__(self, windows: pa.Table):
+        ids = windows.column("item_id").combine_chunks().dictionary_encode()
+        self.names = ids.dictionary.to_pylist()
+        items = ids.indices.fill_null(-1).to_numpy()  # an item without an id is hit, but not listed
+        self.marks = np.unique(windows.column("marks").combine_chunks().flatten().to_numpy())
+        size, window = windows.column("size").to_numpy(), windows.column("window").to_numpy()
+        self.sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in np.unique(size).tolist():
+            own = np.flatnonzero(size == n)
+            own = own[np.argsort(window[own], kind="stable")]
+            keys, first = np.unique(window[own], return_index=True)
+            self.sizes[n] = keys, np.append(first, len(own)), items[own]
+
+    def listed(self, items: set[int]) -> list[str]:
+        return sorted(self.names[i] for i in items if i >= 0)
 
-    def __init__(self, rows):
-        self.marks = np.unique(np.array([m for r in rows for m in r["marks"]], np.int64))
-        self.sizes: dict[int, tuple[np.ndarray, list[list]]] = {}
-        by: dict[int, dict[int, list]] = {}
-        for r in rows:
-            by.setdefault(r["size"], {}).setdefault(r["window"], []).append(r["item_id"])
-        for size, windows in by.items():
-            keys = np.array(sorted(windows), np.int64)
-            self.sizes[size] = keys, [windows[k] for k in keys.tolist()]
+
+def index_bytes(windows: DataFrame) -> int:
+    """About what the index takes: its arrays, and the ids as text."""
+    return windows.agg(F.sum(F.length(F.coalesce("item_id", F.lit(""))) + 40)).first()[0] or 0
 
 
 def found_in(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -97,10 +113,10 @@ def covered(starts: np.ndarray, size: np.ndarray | int, n: int) -> int:
 
 
 def scan(text: str | None, index: Index) -> tuple[int, int, set]:
-    """Words, hit words and the items hit."""
+    """Words, hit words and the numbers of the items hit."""
     h = word_hashes.of(alnum_words(text))
     n, starts, sizes, items = len(h), [], [], set()
-    for size, (keys, of) in index.sizes.items():
+    for size, (keys, first, of) in index.sizes.items():
         if size > n:
             continue
         if size == WINDOW:
@@ -110,8 +126,7 @@ def scan(text: str | None, index: Index) -> tuple[int, int, set]:
             if not len(marks):
                 continue
             at = around(marks, n)
-            tall = np.stack([h[at + i] for i in range(WINDOW)], 1)
-            w = as_long(np.array([gram_hashes(row, WINDOW)[0] for row in tall], np.uint64)) if len(at) else np.empty(0, np.int64)
+            w = as_long(gram_hashes(h, WINDOW, at))
         else:
             w = as_long(gram_hashes(h, size))
             at = np.arange(len(w))
@@ -121,18 +136,21 @@ def scan(text: str | None, index: Index) -> tuple[int, int, set]:
             starts.append(at[ok])
             sizes.append(np.full(ok.sum(), size))
             for p in np.unique(place[ok]).tolist():
-                items.update(of[p])
+                items.update(of[first[p] : first[p + 1]].tolist())
     if not starts:
         return n, 0, items
     return n, covered(np.concatenate(starts), np.concatenate(sizes), n), items
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, most_windows: int = 2_000_000) -> DataFrame:
-    """docs' doc_id with n_words, n_hit and items (the ids, as sorted strings)."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """docs' doc_id with n_words, n_hit and items (the ids, as sorted strings).
+
+    The index of a benchmark is sent to all tasks if it takes up to most_bytes (some 40 bytes a window); a larger one is joined,
+    with the same rows."""
     windows = stored(item_windows(benchmark))
-    if windows.limit(most_windows + 1).count() > most_windows:
+    if index_bytes(windows) > most_bytes:
         return find_leaks_joined(docs, windows)
-    shared = docs.sparkSession.sparkContext.broadcast(Index(windows.collect()))
+    shared = docs.sparkSession.sparkContext.broadcast(Index(windows.toArrow()))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make(_):
@@ -144,7 +162,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, most_windows: int = 2_000_
                 "doc_id": b.column("doc_id"),
                 "n_words": [x[0] for x in got],
                 "n_hit": [x[1] for x in got],
-                "items": [sorted(x[2] - {None}) for x in got],
+                "items": [index.listed(x[2]) for x in got],
             }
 
         return run
@@ -215,8 +233,8 @@ def numbered_leaks(numbered: DataFrame, windows: DataFrame) -> DataFrame:
     )
 
 
-def leak_digest(docs: DataFrame, benchmark: DataFrame, most_windows: int = 2_000_000) -> DataFrame:
-    return find_leaks(docs, benchmark, most_windows).select(
+def leak_digest(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    return find_leaks(docs, benchmark, most_bytes).select(
         "doc_id",
         "n_words",
         "n_hit",
@@ -226,21 +244,17 @@ def leak_digest(docs: DataFrame, benchmark: DataFrame, most_windows: int = 2_000
     )
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, most_windows: int = 2_000_000) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """docs, in the same columns, without those in which a window of the benchmark occurs.  Where the benchmark is small
     the rows are filtered as they are read; else by their stored row numbers."""
     windows = stored(item_windows(benchmark))
-    if windows.limit(most_windows + 1).count() > most_windows:
+    if index_bytes(windows) > most_bytes:
         numbered = stored(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")))
         bad = numbered_leaks(numbered.select("doc.doc_id", "doc.text", "row"), windows).filter("n_hit > 0").select("row")
         return numbered.join(bad, "row", "left_anti").select("doc.*")
-    shared = docs.sparkSession.sparkContext.broadcast(Index(windows.collect()))
+    shared = docs.sparkSession.sparkContext.broadcast(Index(windows.toArrow()))
 
     def run(batches):
-        import pyarrow as pa
-
-        from tracelake.llm.common import slices
-
         for b in slices(batches):
             clean = pa.array([not scan(t, shared.value)[1] for t in b.column("text").to_pylist()], pa.bool_())
             yield b.filter(clean)
