@@ -812,3 +812,26 @@ def test_pipeline_stages_on_odd_rows(spark):
                 check_packing(got)
                 assert (len({r["doc_id"] for r in got}) == 6) if n else not got
     assert all("a.b@example.org" not in (r["text"] or "") for r in pii.redact_pii(odd).collect())
+
+
+def test_ratios_decide_on_the_given_pages():
+    """With the threshold off every page changes; with `article` and `main` renamed the ratios still find the same text."""
+    import pyarrow.parquet as pq
+
+    found = pq.read_table(f"{SF}/pages.parquet")["html"].to_pylist()[:150]
+    same = 0
+    for x in found:
+        whole = pages.main_text(x)
+        renamed = re.sub(r"<(/?)(article|main)\b", r"<\1div", x)
+        same += pages.main_text(renamed) == whole
+        assert pages.main_text(x, share=0.0) != whole and pages.main_text(renamed, share=0.0) != pages.main_text(renamed)
+    assert same >= 0.95 * len(found)
+
+
+def test_marks_only_lower_the_score_of_article_text():
+    page = (
+        "<nav><a href=x>Home</a></nav><article><p>The market closed. It fell a lot today, sadly.</p><p class='share-price'>The share price rose by two, to ten. It may rise on.</p>"
+        "<section class='related-work'><h2>Related work</h2><p>Others did this, too. We cite them here.</p></section><p>With <math><mi>x</mi></math> and <label>y</label>, done.</p>"
+        "<div class='share'><a href=x>Share</a></div><div class='comments'><p>I like this, a lot. Really, I do.</p></div></article><footer>All rights, reserved.</footer>"
+    )
+    assert pages.main_text(page).split("\n") == ["The market closed. It fell a lot today, sadly.", "The share price rose by two, to ten. It may rise on.", "Related work", "Others did this, too. We cite them here.", "With x and y, done."]

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import map_slices
 
 #: Tags whose text never shows or is never content.
-HIDDEN = frozenset("script style noscript template head title iframe object svg canvas math audio video map select datalist".split())
-SIDE = frozenset("nav header footer aside form button menu dialog label input textarea fieldset".split())
+HIDDEN = frozenset("script style noscript template head title iframe object svg canvas audio video map select datalist".split())
+SIDE = frozenset("nav header footer aside form button menu dialog input textarea fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption pre "
@@ -42,6 +42,8 @@ MARKS = frozenset(
     "subscription signup login share sharing social related recommended recommendations comment comments reply replies disqus "
     "respond widget pagination pager toolbar search complementary contentinfo hidden".split()
 )
+#: Those of them that also name parts of articles; there they lower a score less.
+SOFT = frozenset("side header footer banner menu share sharing social related recommended recommendations widget search respond hidden subscription toolbar promoted".split())
 #: Open tag -> tags that end it by opening.
 CLOSES = {"p": BLOCK - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 #: Elements that an end tag of something else does not close.
@@ -54,7 +56,9 @@ GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|c
 PUNCTUATION = re.compile(r"[.,;:!?¡¿。、，！？؛،…]")
 END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title")}  # their text holds no tags
 #: What is known of an element and all in it: never shown, no content by its tag, by a class name, in an article, in a link.
-HID, SIDED, MARKED, IN_ARTICLE, LINKED = 1, 2, 4, 8, 16
+HID, SIDED, MARKED, IN_ARTICLE, LINKED, SOFTLY = 1, 2, 4, 8, 16, 32
+#: What such evidence makes of a path's score.
+FACTOR = {SIDED: 0.005, MARKED: 0.005, SOFTLY: 0.25, IN_ARTICLE: 4.0}
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -65,14 +69,19 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
-def marked(has: dict[str, str]) -> bool:
-    """Whether most parts of one class name, id or role are words of MARKS; what an element only has or goes with says nothing."""
+def marked(has: dict[str, str]) -> int:
+    """MARKED where half the parts of one class name, id or role are words of MARKS, SOFTLY where these are some of SOFT beside a word
+    of their own, else 0; what an element only has or goes with says nothing."""
+    out = 0
     for x in ("class", "id", "role"):
         for name in has.get(x, "").lower().split():
             parts = [w for w in re.split(r"[^a-z0-9]+", name) if w]
-            if parts and parts[0] not in ("has", "with", "no", "without") and 2 * sum(w in MARKS for w in parts) >= len(parts):
-                return True
-    return False
+            hits = [w for w in parts if w in MARKS]
+            if hits and parts[0] not in ("has", "with", "no", "without") and 2 * len(hits) >= len(parts):
+                if len(hits) == len(parts) or not all(w in SOFT for w in hits):
+                    return MARKED
+                out = SOFTLY
+    return out
 
 
 class Page:
@@ -80,7 +89,7 @@ class Page:
     (text, element, block)."""
 
     def __init__(self, page: str):
-        self.parent, self.tag, self.state, self.path, self.named = [-1], [""], [0], [0], [False]
+        self.parent, self.tag, self.state, self.path, self.named = [-1], [""], [0], [0], [0]
         self.runs: list[tuple[str, int, int]] = []
         self.paths: dict[tuple[int, str], int] = {}
         self.above = [0]  # path -> the path above
@@ -177,7 +186,7 @@ class Page:
                 self.paths[key] = len(self.above)
                 self.above.append(path)
             path = self.paths[key]
-        named = bool(has) and tag not in OUTER and tag not in ("article", "main") and marked(has)
+        named = marked(has) if has and tag not in OUTER and tag not in ("article", "main") else 0
         for column, value in ((self.parent, up), (self.tag, tag), (self.state, state), (self.path, path), (self.named, named)):
             column.append(value)
 
@@ -186,12 +195,12 @@ class Page:
         stats: dict[int, list[float]] = {}
         for text, e, _ in self.runs:
             if not self.state[e] & out and (t := text.strip()):
-                s = stats.setdefault(self.path[e], [0, 0, 0, 0, False])
+                s = stats.setdefault(self.path[e], [0, 0, 0, 0, 0])
                 s[0] += len(t)
                 s[1] += len(PUNCTUATION.findall(t))
                 s[2] += 1
                 s[3] += len(t) if self.state[e] & LINKED else 0
-                s[4] = s[4] or bool(self.state[e] & IN_ARTICLE)
+                s[4] |= self.state[e]
         if not stats:
             return set()
         raw = {p: chars / runs * (0.5 + marks / runs) * (1 - 0.9 * links / chars) for p, (chars, marks, runs, links, _) in stats.items()}
@@ -207,7 +216,7 @@ class Page:
         for p, s in stats.items():
             up = total[self.above[p]]
             smooth = sum(near[p]) / len(near[p]) / 2 + up[0] / up[1] / 2
-            fused[p] = math.sqrt(raw[p] * smooth) * math.log1p(s[0]) * (4 if s[4] else 1)
+            fused[p] = math.sqrt(raw[p] * smooth) * math.log1p(s[0]) * math.prod(f for bit, f in FACTOR.items() if s[4] & bit)
         mean = sum(fused.values()) / len(fused)
         limit = share * math.sqrt(sum((v - mean) ** 2 for v in fused.values()) / len(fused))
         return {p for p, v in fused.items() if v >= limit}
@@ -238,23 +247,26 @@ class Page:
         )
         held, _ = self.spread(self.content_paths(share, HID | SIDED), HID | SIDED)
         for e in range(1, len(self.tag)):
-            if self.state[self.parent[e]] & MARKED or self.named[e] and (rest or 2 * held[e] <= held[0]):
-                self.state[e] |= MARKED
+            self.state[e] |= self.state[self.parent[e]] & (MARKED | SOFTLY)
+            if self.named[e] and (rest or 2 * held[e] <= held[0]):
+                self.state[e] |= self.named[e]
 
 
 def main_text(page: str | None, share: float = 0.2) -> str:
     """The article's blocks, joined by line ends; empty if there is none."""
     p = Page(page or "")
     p.mark(share)
-    out = HID | SIDED | MARKED
-    good = p.content_paths(share, out)
-    held, all_ = p.spread(good, out)
+    good = p.content_paths(share, HID)
+    held, all_ = p.spread(good, HID)
     whole = [False] * len(p.tag)
     for e in range(1, len(p.tag)):
-        whole[e] = whole[p.parent[e]] or (p.tag[e] not in OUTER and held[e] > 0 and 2 * held[e] >= all_[e])
+        own = p.tag[e] not in OUTER and held[e] > 0 and 2 * held[e] >= all_[e]
+        # What evidence speaks against is no part of the content around it unless its own paths pass.
+        against = p.state[e] & ~p.state[p.parent[e]] & (SIDED | MARKED | SOFTLY)
+        whole[e] = own or whole[p.parent[e]] and not against
     blocks: dict[int, list[str]] = {}
     for text, e, block in p.runs:
-        if not p.state[e] & out and (whole[e] or p.path[e] in good):
+        if not p.state[e] & HID and (whole[e] or p.path[e] in good):
             blocks.setdefault(block, []).append(text)
     lines = (" ".join(html.unescape("".join(b)).split()) for b in blocks.values())
     return "\n".join(x for x in lines if x)
