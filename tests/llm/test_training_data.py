@@ -372,6 +372,11 @@ def test_licences_equal_sql(spark, texts):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert licences.licence_digest(docs(spark, [])).count() == 0
+    # A word put in, and one left out, cost the pairs around them.
+    words = licences.MORE["bsd"][1].split()
+    bent = [" ".join(words), " ".join([*words[:12], "kindly", *words[12:]]), " ".join(words[:13] + words[14:])]
+    shares = [r["score"] for r in licences.licence_digest(docs(spark, bent)).orderBy("doc_id").collect()]
+    assert shares[0] == 1.0 and all(0.9 < x < 1 for x in shares[1:]), shares
 
 
 # Quality and toxicity --------------------------------------------------------------------------------------------------------

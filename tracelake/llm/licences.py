@@ -1,9 +1,11 @@
 """Licence scan by a positional rare-token index, in DataFrame functions only.
 
-Document frequencies of all words of the licence texts come from one pass over the corpus; each licence's mandatory phrase is
-indexed under its rarest words with their places.  In a file, the places of such words give the places where the phrase would
-have to begin; where several of its rare words agree, or the rarest one stands, the phrase is compared word by word.  The score is
-the greatest share of a licence's or notice's text that stands in its place behind a verified phrase.
+One pass splits every file into words, notes which words of the mandatory phrases it has, and keeps the words of the files that have
+all of some phrase.  Document frequencies are counted over the notes; each phrase is indexed under its rarest words with their
+places.  In a file, the places of such words give the places where the phrase would have to begin; where several of its rare words
+agree, or the rarest one stands, the phrase is compared word by word.  The score is the greatest share of a licence's or notice's
+text, in pairs of neighbouring words, that stands behind a verified phrase, within a quarter more words than the text has; so words
+put in or left out cost the pairs around them only.
 
 Rows: a null text has no words; a file without licence words gets no label and score 0; repeated rows are each scanned; an empty
 table gives no rows; further columns are ignored."""
@@ -13,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.common import stored
+
 #: Label -> mandatory phrase, and the licence's or notice's text from the phrase's first word on.
 BASE = {
     "mit": ("under the mit license", "under the mit license"),
@@ -58,11 +62,20 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(f"({WORD})"), F.lit(1))
 
 
-def rare_words(docs: DataFrame, templates: dict, text: str = "text", kept: int = 2) -> dict[str, list[tuple[str, int]]]:
+def noted(docs: DataFrame, templates: dict, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """docs' `keep` columns with __n words, those of the phrases' words that a file has, and its words if it has all of a phrase's."""
+    phrases = [sorted(set(phrase.split())) for phrase, _ in templates.values()]
+    vocabulary = sorted({w for p in phrases for w in p})
+    d = docs.select(*keep, words_of(F.col(text)).alias("__w")).withColumn("__has", F.array_intersect("__w", F.array(*map(F.lit, vocabulary))))
+    may = F.lit(False)
+    for p in phrases:
+        may = may | (F.size(F.array_intersect("__has", F.array(*map(F.lit, p)))) == len(p))
+    return d.select(*keep, F.size("__w").cast("long").alias("__n"), "__has", F.when(may, F.col("__w")).alias("__w"))
+
+
+def rare_words(notes: DataFrame, templates: dict, kept: int = 2) -> dict[str, list[tuple[str, int]]]:
     """label -> the phrase's rarest words (fewest documents, then the longest) with their first place in it."""
-    vocabulary = sorted({w for phrase, _ in templates.values() for w in phrase.split()})
-    present = F.array_intersect(words_of(F.col(text)), F.array(*map(F.lit, vocabulary)))
-    counted = docs.select(F.explode(present).alias("w")).groupBy("w").count().collect()  # as many rows as licence words
+    counted = notes.select(F.explode("__has").alias("w")).groupBy("w").count().collect()  # as many rows as licence words
     df = {r["w"]: r["count"] for r in counted}
     return {
         label: [(w, phrase.split().index(w)) for w in sorted(set(phrase.split()), key=lambda w: (df.get(w, 0), -len(w), w))[:kept]]
@@ -74,18 +87,24 @@ def scan_licences(docs: DataFrame, templates: dict | None = None, text: str = "t
     """docs' `keep` columns with n_words and found: an array of (label, start, share), start counting words from 0, share how
     much of the wording stands there."""
     templates = templates or {**BASE, **MORE}
-    rare = rare_words(docs, templates, text)
-    anchors = sorted({r[0][0] for r in rare.values()})
+    d = stored(noted(docs, templates, text, keep))
+    rare = rare_words(d, templates)
     looked_up = sorted({w for r in rare.values() for w, _ in r})
-    d = docs.select(*keep, words_of(F.col(text)).alias("__w"))
-    nothing = F.array().cast("array<struct<w:string,i:int>>")
     hit = F.filter(F.transform("__w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(*looked_up))
-    any_anchor = F.arrays_overlap("__w", F.array(*map(F.lit, anchors)))
-    d = d.withColumn("__hit", F.when(any_anchor, hit).otherwise(nothing))
     places = [phrase_places(label, *templates[label], rare[label]) for label in templates]
     empty = F.array().cast("array<struct<label:string,start:bigint,share:double>>")
     found = F.when(F.size("__hit") > 0, F.flatten(F.array(*places))).otherwise(empty)
-    return d.select(*keep, F.size("__w").cast("long").alias("n_words"), found.alias("found"))
+    return d.withColumn("__hit", hit).select(*keep, F.col("__n").alias("n_words"), found.alias("found"))
+
+
+def pairs_of(full: list[str]) -> list[str]:
+    """The distinct pairs of neighbouring words of a wording."""
+    return list(dict.fromkeys(" ".join(p) for p in zip(full, full[1:], strict=False)))
+
+
+def reach(full: list[str]) -> int:
+    """In how many words from the phrase on the wording is looked for."""
+    return len(full) + len(full) // 4
 
 
 def posted(word: str, at: int) -> Column:
@@ -106,10 +125,13 @@ def phrase_places(label: str, phrase: str, wording: str, rare: list[tuple[str, i
     def stands(s: Column) -> Column:
         return (s >= 0) & (F.slice("__w", F.greatest(s, F.lit(0)) + 1, len(key)) == F.array(*map(F.lit, key)))
 
+    pairs = pairs_of(full)
+
     def place(s: Column) -> Column:
-        pairs = F.arrays_zip(F.slice("__w", s + 1, len(full)).alias("own"), F.array(*map(F.lit, full)).alias("text"))
-        same = F.size(F.filter(pairs, lambda x: F.coalesce(x["own"] == x["text"], F.lit(False))))
-        return F.struct(F.lit(label).alias("label"), s.cast("long").alias("start"), (same / len(full)).alias("share"))
+        own = F.slice("__w", s + 1, reach(full))
+        here = F.transform(F.sequence(F.lit(1), F.size(own) - 1), lambda i: F.concat_ws(" ", F.get(own, i - 1), F.get(own, i)))
+        share = F.size(F.array_intersect(F.array(*map(F.lit, pairs)), here)) / len(pairs)
+        return F.struct(F.lit(label).alias("label"), s.cast("long").alias("start"), share.alias("share"))
 
     return F.transform(F.filter(starts, stands), place)
 
@@ -138,8 +160,10 @@ def digest_sql() -> str:
     def places(label: str, phrase: str, wording: str) -> str:
         key, full = phrase.split(), wording.split()
         ok = " and ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(key))
-        share = " + ".join(f"(case when w[i + {k + 1}] = '{x}' then 1 else 0 end)" for k, x in enumerate(full))
-        return f"list_transform(list_filter(range(len(w)), lambda i: {ok}), lambda i: {{'label': '{label}', 'start': i, 'share': ({share}) / {float(len(full))}}})"
+        pairs = pairs_of(full)
+        here = f"list_transform(range(i + 1, least(i + {reach(full)}, len(w))), lambda j: concat(w[j], ' ', w[j + 1]))"
+        share = f"len(list_intersect([{', '.join(map(repr, pairs))}], {here}))"
+        return f"list_transform(list_filter(range(len(w)), lambda i: {ok}), lambda i: {{'label': '{label}', 'start': i, 'share': {share} / {float(len(pairs))}}})"
 
     every = ", ".join(places(k, *v) for k, v in {**BASE, **MORE}.items())
     base = ", ".join(f"'{k}'" for k in BASE)
