@@ -840,3 +840,31 @@ def test_marks_only_lower_the_score_of_article_text():
         "<div class='share'><a href=x>Share</a></div><div class='comments'><p>I like this, a lot. Really, I do.</p></div></article><footer>All rights, reserved.</footer>"
     )
     assert pages.main_text(page).split("\n") == ["The market closed. It fell a lot today, sadly.", "The share price rose by two, to ten. It may rise on.", "Related work", "Others did this, too. We cite them here.", "With x and y, done."]
+
+
+def test_crowds_of_unlike_texts_with_a_common_line(spark):
+    """Short texts with one line in common meet in its signatures; they are told apart, and the copies among them are found."""
+    rng = random.Random(4)
+    line = "this very long line stands in each and every one of the texts here"
+    texts = [f"{line} {' '.join(f'w{rng.randrange(10**6)}' for _ in range(8))}" for _ in range(300)]
+    texts += [f"{t} end" for t in texts[:20]] + [f"{t} end stop" for t in texts[:5]]
+    got = {r["doc_id"]: r["component_id"] for r in near.near_groups(docs(spark, texts), words=5, percent=80).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    top = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((top[a], top[b]))
+                top = [x if t == y else t for t in top]
+    assert got == dict(enumerate(top)) and len(set(top)) == 300
+
+
+def test_few_classes_of_a_key_are_paired_and_crowds_left(spark):
+    rows = [(k, n, n, 40, 0 if k else (1 << (n % 62)) - 1) for k in range(3) for n in range(5 if k else 20)] + [(7, 1, 1, 4, 0), (7, 2, 1, 4, 0)]
+    df = spark.createDataFrame(rows, "hub long, node long, comp long, n long, fold long")
+    pairs, crowd = near.told_apart(df, "hub", 80, most=16)
+    assert sorted(map(tuple, pairs.collect())) == sorted([(a, b) for b in range(5) for a in range(b)] * 2)
+    assert {r["hub"] for r in crowd.collect()} == {0}
+    far, _ = near.told_apart(df.filter("hub = 0"), "hub", 80, most=20)
+    want = [(a, b) for b in range(20) for a in range(b) if bin(((1 << b) - 1) ^ ((1 << a) - 1)).count("1") * 180 <= 20 * 80]
+    assert sorted(map(tuple, far.collect())) == sorted(want)

@@ -5,8 +5,8 @@ feature's bins to that feature's lookup table; then the feature pairs that expla
 A score is the logistic of the sum of the looked-up values: one vectorised addition for each table.
 
 Rows: a null text counts as empty; repeated rows are each scored; labels that are null are not learnt from, repeated labels of one
-document count once; without usable labels of both kinds every score is the smoothed share of the label; further columns are
-ignored."""
+document count once; without usable labels of both kinds every score is the smoothed share of the label; an empty table gives
+no rows; further columns are ignored."""
 
 from __future__ import annotations
 

@@ -6,7 +6,7 @@ windows of all texts of a batch go through the network step by step together.  A
 
 Rows: a null text and a text without words score as one empty window; repeated rows are each scored; null labels are not learnt
 from, repeated labels of one document count once; without labels of both kinds every score is the smoothed share of the label;
-further columns are ignored."""
+an empty table gives no rows; further columns are ignored."""
 
 from __future__ import annotations
 
