@@ -288,25 +288,33 @@ def cut(n: Column) -> Column:
     return F.floor(n / 2)
 
 
+def may_link(a: dict[str, Column], b: dict[str, Column], percent: int) -> Column:
+    """Whether two sets of n elements may link by their folded bitmaps, in which bits differ for an odd number of differences each."""
+    return F.bit_count(a["fold"].bitwiseXOR(b["fold"])) * (100 + percent) <= (100 - percent) * (a["n"] + b["n"])
+
+
 def between(rows: DataFrame, key: list[str], percent: int) -> DataFrame:
-    """Pairs (node_a, node_b) of different components with one key that may link, from (*key, node, comp, n, d, r): d elements,
-    r of them from this one on in the order of rarity.  The first element that two share has all the others that they share
-    behind it, in both.  Components are paired first, by their best bounds, so that a key which all of a component share costs no
-    pairs within it, nor one that comes too late for components to link."""
+    """Pairs (node_a, node_b) of different components with one key that may link, from (*key, node, comp, n, d, r, fold): d elements,
+    r of them from this one on in the order of rarity, and the folded bitmap.  The first element that two share has all the others
+    that they share behind it, in both.  Components are paired first, by their best bounds, so that a key which all of a component
+    share costs no pairs within it, nor one that comes too late for components to link; one that has a single node with the key is
+    told by that one's bitmap."""
     most, least = (lambda c: F.max(c).alias(c)), (lambda c: F.min(c).alias(c))
-    kinds = rows.groupBy(*key, "comp").agg(most("r"), least("d"), most("n"), F.min("n").alias("m"))
+    single = F.when(F.count("*") == 1, F.max("fold")).alias("fold")
+    kinds = rows.groupBy(*key, "comp").agg(most("r"), least("d"), most("n"), F.min("n").alias("m"), single)
 
     def side(df: DataFrame, c: str) -> DataFrame:
         return df.select(*key, *[F.col(x).alias(f"{x}_{c}") for x in df.columns if x not in key])
 
     def enough(*c: str) -> Column:
         shared = 2 * F.least(f"r_{c[0]}", f"r_{c[1]}") - F.col(f"d_{c[0]}") - F.col(f"d_{c[1]}")
-        return (100 + percent) * shared + (100 - percent) * (F.col(f"n_{c[0]}") + F.col(f"n_{c[1]}")) >= 0
+        near = may_link(*[{x: F.col(f"{x}_{i}") for x in ("n", "fold")} for i in c], percent)
+        return ((100 + percent) * shared + (100 - percent) * (F.col(f"n_{c[0]}") + F.col(f"n_{c[1]}")) >= 0) & F.coalesce(near, F.lit(True))
 
     two = side(kinds, "a").join(side(kinds, "b"), key).filter((F.col("comp_a") < F.col("comp_b")) & enough("a", "b"))
     two = two.filter((100 * F.col("n_a") >= percent * F.col("m_b")) & (100 * F.col("n_b") >= percent * F.col("m_a")))
-    two = two.select(*key, "comp_a", "comp_b", *[F.col(f"{x}_b").alias(f"{x}_best") for x in "rdn"])
-    one = two.join(side(rows, "a"), [*key, "comp_a"]).filter(enough("a", "best")).drop("r_best", "d_best", "n_best")
+    two = two.select(*key, "comp_a", "comp_b", *[F.col(f"{x}_b").alias(f"{x}_best") for x in ("r", "d", "n", "fold")])
+    one = two.join(side(rows, "a"), [*key, "comp_a"]).filter(enough("a", "best")).drop("r_best", "d_best", "n_best", "fold_best")
     sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     return one.join(side(rows, "b"), [*key, "comp_b"]).filter(sized & enough("a", "b")).select("node_a", "node_b")
 
@@ -321,8 +329,7 @@ def told_apart(rows: DataFrame, key: str, percent: int, most: int = 16) -> tuple
 
     def partners(x: Column) -> Column:
         def may(y: Column) -> Column:
-            differ = F.bit_count(x["fold"].bitwiseXOR(y["fold"])) * (100 + percent)
-            return (x["node"] < y["node"]) & (x["comp"] != y["comp"]) & (differ <= (100 - percent) * (x["n"] + y["n"]))
+            return (x["node"] < y["node"]) & (x["comp"] != y["comp"]) & may_link(x, y, percent)
 
         return F.transform(F.filter("of", may), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))
 
@@ -338,7 +345,7 @@ def ordered(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def far_candidates(nodes: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, repeated: bool) -> DataFrame:
-    """Pairs (a, b) among nodes (node, comp) in different components that share one of their rarest elements, of which each takes
+    """Pairs (a, b) among nodes (node, comp, fold) in different components that share one of their rarest elements, of which each takes
     as many as it must have in common with any partner's."""
     sets = sets_of(nodes.select("node"), classes, docs, words, repeated)
     order = ordered(sets.select("node", F.explode("set").alias("x")), [])
@@ -346,8 +353,8 @@ def far_candidates(nodes: DataFrame, classes: DataFrame, docs: DataFrame, words:
     alone = F.col("n") - F.size("xs")  # shared by nobody, so the rarest of all
     keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
     some = F.slice("xs", F.lit(1), F.greatest(F.least(keep, F.size("xs")), F.lit(0)).cast("int"))
-    rows = d.select("node", "comp", "n", alone.alias("alone"), F.posexplode(some).alias("p", "e"))
-    rows = rows.select(F.col("e.x").alias("x"), "node", "comp", "n", F.col("n").alias("d"), (F.col("n") - F.col("alone") - F.col("p")).alias("r"))
+    rows = d.select("node", "comp", "n", "fold", alone.alias("alone"), F.posexplode(some).alias("p", "e"))
+    rows = rows.select(F.col("e.x").alias("x"), "node", "comp", "n", "fold", F.col("n").alias("d"), (F.col("n") - F.col("alone") - F.col("p")).alias("r"))
     return between(rows, ["x"], percent).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
 
@@ -358,7 +365,7 @@ def dealt(rows: DataFrame, one: DataFrame, key: str, ways: int = 16) -> DataFram
 
 
 def near_candidates(family: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes near one hub in different components that may link, from (hub, node, n, d, comp, out), out telling
+    """Pairs (a, b) of classes near one hub in different components that may link, from (hub, node, n, d, fold, comp, out), out telling
     whose component isn't the hub's: those that share one of the differences that are rarest around the hub, as many of each as
     its bound asks for, and those whose differences are so few that they link whatever they are (one for a component)."""
     least = family.groupBy("hub").agg(F.min("d").alias("any"), F.min(F.when(F.col("out"), F.col("d"))).alias("outer")).filter("outer is not null")
@@ -371,8 +378,8 @@ def near_candidates(family: DataFrame, tried: DataFrame, percent: int) -> DataFr
     need = F.ceil((F.col("d") + F.greatest(other, F.col("d") - F.col("most")) - F.col("most")) / 2)
     keep = F.col("d") - F.greatest(need, F.lit(1)) + 1 - alone
     some = F.slice("xs", F.lit(1), F.greatest(F.least(keep, F.size("xs")), F.lit(0)).cast("int"))
-    rows = d.join(order, ["hub", "node"]).select("hub", "node", "comp", "n", "d", alone.alias("alone"), F.posexplode(some).alias("p", "e"))
-    rows = rows.select("hub", F.col("e.x").alias("x"), "node", "comp", "n", "d", (F.col("d") - F.col("alone") - F.col("p")).alias("r"))
+    rows = d.join(order, ["hub", "node"]).select("hub", "node", "comp", "n", "d", "fold", alone.alias("alone"), F.posexplode(some).alias("p", "e"))
+    rows = rows.select("hub", F.col("e.x").alias("x"), "node", "comp", "n", "d", "fold", (F.col("d") - F.col("alone") - F.col("p")).alias("r"))
     share = between(rows, ["hub", "x"], percent)
     # Those so near the hub that differences cannot part them: x and y link if their spares add up, so that each that links with any
     # links with the one of the largest spare, too, and so do its partners.
@@ -425,7 +432,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, repeated: bo
     by_hub, crowd = told_apart(close, "hub", percent)
     near = near_candidates(crowd, tried, percent)
     by_sig, crowd = told_apart(far_buckets(family, buckets), "sig", percent)
-    nodes = stored(crowd.select("node", "comp").distinct())
+    nodes = stored(crowd.select("node", "comp", "fold").distinct())
     away = far_candidates(nodes, classes, docs, words, percent, repeated)
     more = bounded(by_hub.union(by_sig).union(near).union(away).distinct(), classes)
     linked = F.col("least") * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))
