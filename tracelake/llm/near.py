@@ -289,32 +289,35 @@ def cut(n: Column) -> Column:
 
 
 def may_link(a: dict[str, Column], b: dict[str, Column], percent: int) -> Column:
-    """Whether two sets of n elements may link by their folded bitmaps, in which bits differ for an odd number of differences each."""
-    return F.bit_count(a["fold"].bitwiseXOR(b["fold"])) * (100 + percent) <= (100 - percent) * (a["n"] + b["n"])
+    """Whether sets of at most n elements may link by their folded bitmaps, in which bits differ for an odd number of differences
+    each.  Of several sets `all` has the bits of each and `any` those of one at least; so a bit that all of one side have and none
+    of the other differs whichever two are meant.  Of a single set both are its bitmap."""
+    differ = F.bit_count(a["all"].bitwiseAND(F.bitwise_not(b["any"]))) + F.bit_count(b["all"].bitwiseAND(F.bitwise_not(a["any"])))
+    return differ * (100 + percent) <= (100 - percent) * (a["n"] + b["n"])
 
 
 def between(rows: DataFrame, key: list[str], percent: int) -> DataFrame:
     """Pairs (node_a, node_b) of different components with one key that may link, from (*key, node, comp, n, d, r, fold): d elements,
     r of them from this one on in the order of rarity, and the folded bitmap.  The first element that two share has all the others
     that they share behind it, in both.  Components are paired first, by their best bounds, so that a key which all of a component
-    share costs no pairs within it, nor one that comes too late for components to link; one that has a single node with the key is
-    told by that one's bitmap."""
+    share costs no pairs within it, nor one that comes too late for components to link; components are told apart by what the bitmaps
+    of their nodes have in common."""
     most, least = (lambda c: F.max(c).alias(c)), (lambda c: F.min(c).alias(c))
-    single = F.when(F.count("*") == 1, F.max("fold")).alias("fold")
-    kinds = rows.groupBy(*key, "comp").agg(most("r"), least("d"), most("n"), F.min("n").alias("m"), single)
+    kinds = rows.groupBy(*key, "comp").agg(most("r"), least("d"), most("n"), F.min("n").alias("m"), F.bit_and("fold").alias("all"), F.bit_or("fold").alias("any"))
+    rows = rows.withColumn("all", F.col("fold")).withColumnRenamed("fold", "any")
 
     def side(df: DataFrame, c: str) -> DataFrame:
         return df.select(*key, *[F.col(x).alias(f"{x}_{c}") for x in df.columns if x not in key])
 
     def enough(*c: str) -> Column:
         shared = 2 * F.least(f"r_{c[0]}", f"r_{c[1]}") - F.col(f"d_{c[0]}") - F.col(f"d_{c[1]}")
-        near = may_link(*[{x: F.col(f"{x}_{i}") for x in ("n", "fold")} for i in c], percent)
-        return ((100 + percent) * shared + (100 - percent) * (F.col(f"n_{c[0]}") + F.col(f"n_{c[1]}")) >= 0) & F.coalesce(near, F.lit(True))
+        near = may_link(*[{x: F.col(f"{x}_{i}") for x in ("n", "all", "any")} for i in c], percent)
+        return ((100 + percent) * shared + (100 - percent) * (F.col(f"n_{c[0]}") + F.col(f"n_{c[1]}")) >= 0) & near
 
     two = side(kinds, "a").join(side(kinds, "b"), key).filter((F.col("comp_a") < F.col("comp_b")) & enough("a", "b"))
     two = two.filter((100 * F.col("n_a") >= percent * F.col("m_b")) & (100 * F.col("n_b") >= percent * F.col("m_a")))
-    two = two.select(*key, "comp_a", "comp_b", *[F.col(f"{x}_b").alias(f"{x}_best") for x in ("r", "d", "n", "fold")])
-    one = two.join(side(rows, "a"), [*key, "comp_a"]).filter(enough("a", "best")).drop("r_best", "d_best", "n_best", "fold_best")
+    two = two.select(*key, "comp_a", "comp_b", *[F.col(f"{x}_b").alias(f"{x}_best") for x in ("r", "d", "n", "all", "any")])
+    one = two.join(side(rows, "a"), [*key, "comp_a"]).filter(enough("a", "best")).drop("r_best", "d_best", "n_best", "all_best", "any_best")
     sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     return one.join(side(rows, "b"), [*key, "comp_b"]).filter(sized & enough("a", "b")).select("node_a", "node_b")
 
@@ -329,7 +332,7 @@ def told_apart(rows: DataFrame, key: str, percent: int, most: int = 16) -> tuple
 
     def partners(x: Column) -> Column:
         def may(y: Column) -> Column:
-            return (x["node"] < y["node"]) & (x["comp"] != y["comp"]) & may_link(x, y, percent)
+            return (x["node"] < y["node"]) & (x["comp"] != y["comp"]) & may_link(*[{"all": s["fold"], "any": s["fold"], "n": s["n"]} for s in (x, y)], percent)
 
         return F.transform(F.filter("of", may), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))
 
