@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tracelake.operators import CID
+from tracelake.operators import samples as E
 from tracelake.operators import stacks as G
 
 
@@ -13,3 +14,12 @@ def test_subset_symbols_count_a_stack_once(spark):
     assert sorted(map(tuple, got), key=lambda r: r[3]) == [("x", 8, 6, 1, 61.538), ("a", 4, 0, 2, 30.769), ("b", 4, 2, 3, 30.769)]
     whole = {r["symbol"]: r["inclusive"] for r in G.subset_summary(d, "x", 3)["symbols"].collect()}
     assert whole == {"x": 11, "a": 4, "b": 4}
+
+
+def test_pairs_in_order_don_t_hang_on_the_order_of_rows(spark):
+    """Samples of one place and one ord are paired by value, however the rows come."""
+    rows = [("c", 1, "p", "cycles", v) for v in (9, 2, 5)] + [("c", 1, "p", "instructions", v) for v in (4, 8, 6)] + [("c", 0, "p", "cycles", 7), ("c", 2, "p", "instructions", 1)]
+    for given in (rows, rows[::-1], sorted(rows, key=lambda r: r[4])):
+        d = spark.createDataFrame(given, f"{CID} string, ord int, symbol string, event string, value bigint").coalesce(1)
+        got = E.flat_wide(d, ["symbol"], pair="order").select("cycles", "instructions").collect()
+        assert sorted(map(tuple, got)) == [(2, 6), (5, 8), (7, 4), (9, 1)]
