@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tracelake.operators import CID
+from tracelake.operators import callgraph as J
 from tracelake.operators import samples as E
 from tracelake.operators import stacks as G
 
@@ -23,3 +24,30 @@ def test_pairs_in_order_don_t_hang_on_the_order_of_rows(spark):
         d = spark.createDataFrame(given, f"{CID} string, ord int, symbol string, event string, value bigint").coalesce(1)
         got = E.flat_wide(d, ["symbol"], pair="order").select("cycles", "instructions").collect()
         assert sorted(map(tuple, got)) == [(2, 6), (5, 8), (7, 4), (9, 1)]
+
+
+def test_all_pairs_are_joined_by_distinct_values(spark):
+    """Of a place with many equal values the join gets each once; the rows are those of all pairs."""
+    rows = [("c", "p", e, v) for e, vs in (("cycles", [1, 1, 2, None, 0, 1]), ("instructions", [3, 3, 0, None])) for v in vs] + [("c", "q", "cycles", 1), ("c", None, "cycles", 1), ("c", None, "instructions", 1)]
+    out = E.flat_wide(spark.createDataFrame(rows, f"{CID} string, symbol string, event string, value bigint"), ["symbol"], digits=2)
+    c, i = ([r[3] for r in rows if r[1] == "p" and r[2] == e] for e in ("cycles", "instructions"))
+    want = [("c", "p", x, y, None if x is None or not y else round(x / y, 2)) for x in c for y in i]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+    big = spark.range(4000).select(F.lit("c").alias(CID), F.lit("p").alias("symbol"), F.when(F.col("id") % 2 == 0, "cycles").otherwise("instructions").alias("event"), (F.col("id") % 2).alias("value"))
+    out = E.flat_wide(big, ["symbol"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 2000 * 2000 and plan.split("Join")[1].count("Aggregate") == 2
+
+
+def test_address_nodes_count_before_they_sort(spark):
+    """Every call of a task goes into a hash table, not into a sort; the node has the names of the first sighting."""
+    call = "array<struct<addr:string,symbol:string,dso:string>>"
+    rows = [("c", 5, "p", "cycles", 3, [("a", "f+0x1", "d"), ("b", "g", "d")]), ("c", 2, "q", "misses", 4, [("b", "h", "e"), ("a", "k", "d")]), ("c", 7, "q", "misses", None, [("a", "f", "x")]), ("c", 8, "q", "instructions", 2, [("b", "g", "x")]), ("c", 9, "q", "cycles", 2, [("a", "g", "x")])]
+    d = spark.createDataFrame(rows, f"{CID} string, ord bigint, command string, event string, value bigint, calls {call}").withColumns({"pid": F.lit(1), "cpu": F.lit(0)})
+    out = J.address_nodes(d)
+    got = sorted(tuple(r) for r in out.drop(CID, "offset").collect())
+    assert got == [("a", "k", "k", "d", None, 5, 0, {"misses": None}, 2, 1), ("b", "h", "h", "e", "q", 0, 2, {"misses": 4}, 2, 0)]
+    lines = out._jdf.queryExecution().sparkPlan().toString().splitlines()
+    explodes = [i for i, line in enumerate(lines) if "Generate explode" in line or "Generate posexplode" in line]
+    above = [next(line for line in reversed(lines[:i]) if "Aggregate(" in line) for i in explodes]
+    assert len(above) == 1 and "HashAggregate(" in above[0]
