@@ -6,6 +6,7 @@ from tracelake.operators import CID
 from tracelake.operators import callgraph as J
 from tracelake.operators import samples as E
 from tracelake.operators import stacks as G
+from tracelake.sources import text as X
 
 
 def test_subset_symbols_count_a_stack_once(spark):
@@ -51,3 +52,12 @@ def test_address_nodes_count_before_they_sort(spark):
     explodes = [i for i, line in enumerate(lines) if "Generate explode" in line or "Generate posexplode" in line]
     above = [next(line for line in reversed(lines[:i]) if "Aggregate(" in line) for i in explodes]
     assert len(above) == 1 and "HashAggregate(" in above[0]
+
+
+def test_fields_are_found_once_whatever_is_filtered(spark):
+    """Filters on a sample's fields don't search the text again."""
+    d = spark.range(3).select(F.lit("c").alias(CID), F.col("id").alias("ord"), F.concat(F.lit("a 1 [000] 2.5: "), F.col("id").cast("string"), F.lit(" ev:  ff f (lib)")).alias("value"))
+    flat = X.flat_samples(d).filter("event = 'ev' and value > 0")
+    assert flat.count() == 2 and flat._jdf.queryExecution().optimizedPlan().toString().count("(?d)^") == 1
+    chains = X.chain_samples(d.withColumn("value", F.concat("value", F.lit("\n\tff f (lib)")))).filter("event = 'ev' or event is null")
+    assert chains.count() == 3 and chains._jdf.queryExecution().optimizedPlan().toString().count("split(piece") == 1
