@@ -6,6 +6,7 @@ from tracelake.operators import CID
 from tracelake.operators import callgraph as J
 from tracelake.operators import samples as E
 from tracelake.operators import stacks as G
+from tracelake.plans.views import view
 from tracelake.sources import text as X
 
 
@@ -61,3 +62,9 @@ def test_fields_are_found_once_whatever_is_filtered(spark):
     assert flat.count() == 2 and flat._jdf.queryExecution().optimizedPlan().toString().count("(?d)^") == 1
     chains = X.chain_samples(d.withColumn("value", F.concat("value", F.lit("\n\tff f (lib)")))).filter("event = 'ev' or event is null")
     assert chains.count() == 3 and chains._jdf.queryExecution().optimizedPlan().toString().count("split(piece") == 1
+
+
+def test_numbered_views_keep_the_parts_of_a_shuffle(spark):
+    """Small parts that are numbered by order are not merged, so that a task sorts one of them."""
+    for name in ("fx_samples", "tr_samples"):
+        assert view(spark, "/root/testdata/sf0.001", name).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
