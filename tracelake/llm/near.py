@@ -109,27 +109,36 @@ def set_hashes(s: np.ndarray) -> tuple[int, int]:
 
 def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     own, nxt = schemes(percent, len(s))
-    out = [part_signatures(s, own)]
+    place, value = mixed(s ^ np.uint64(0x2545F4914F6CDD1D)), mixed(s)
+    out = [part_signatures(place, value, own)]
     if 100 * len(s) >= percent * nxt.low:  # large enough for partners in the next band
-        out.append(part_signatures(s, nxt))
+        out.append(part_signatures(place, value, nxt))
     return distinct(np.concatenate(out))
 
 
-def part_signatures(s: np.ndarray, x: Scheme) -> np.ndarray:
+@cache
+def choices(x: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """A column for each choice of pieces, with 1 for those that are in it, and the tags of each choice's parts."""
+    some = list(combinations(range(x.n2), x.n2 - x.k2))
+    chosen = np.zeros((x.n2, len(some)), np.uint64)
+    for c, pieces in enumerate(some):
+        chosen[list(pieces), c] = 1
+    part = np.arange(x.n1, dtype=np.uint64) * np.uint64(2654435761)
+    tags = [mixed(part + np.uint64((x.band * 131 + c) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for c in range(len(some))]
+    return chosen, np.stack(tags)
+
+
+def part_signatures(place: np.ndarray, value: np.ndarray, x: Scheme) -> np.ndarray:
+    """The signatures of a set by two hashes of its elements."""
     cells = x.n1 * x.n2
-    cell = (mixed(s ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(cells)).astype(np.int64)
+    cell = (place % np.uint64(cells)).astype(np.uint16 if cells <= 1 << 16 else np.int64)
     held = np.bincount(cell, minlength=cells)
     first = np.cumsum(held) - held
-    sums = np.add.reduceat(np.append(mixed(s)[np.argsort(cell, kind="stable")], np.uint64(0)), first)
+    sums = np.add.reduceat(np.append(value[np.argsort(cell, kind="stable")], np.uint64(0)), first)
     sums[held == 0] = 0
-    sums, held = sums.reshape(x.n1, x.n2), held.reshape(x.n1, x.n2)
-    values, counts, part = [], [], np.arange(x.n1, dtype=np.uint64)
-    for c, pieces in enumerate(combinations(range(x.n2), x.n2 - x.k2)):
-        tag = part * np.uint64(2654435761) + np.uint64((x.band * 131 + c) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        values.append(mixed(sums[:, pieces].sum(1, dtype=np.uint64) + mixed(tag)))
-        counts.append(held[:, pieces].sum(1))
-    full = np.stack(counts) >= x.least
-    values = np.stack(values)
+    chosen, tags = choices(x)
+    values = mixed((sums.reshape(x.n1, x.n2) @ chosen).T + tags)
+    full = (held.astype(np.uint64).reshape(x.n1, x.n2) @ chosen).T >= x.least
     return values.ravel() if (~full.all(0)).sum() > x.spare else values[full]
 
 
@@ -397,6 +406,21 @@ def near_candidates(family: DataFrame, tried: DataFrame, percent: int) -> DataFr
     return out
 
 
+def met_by_chance(buckets: DataFrame, bounds: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) in different components of found that may link by their sizes and folded bitmaps: each class of a bucket and the
+    bucket's `mid`, which is another class in each bucket.  So there is a pair at most for each row of a bucket, and a crowd of like
+    texts of which few are near their hubs comes together before it is asked for all the pairs between its components."""
+    of = bounds.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("nb").alias("n"), "fold").join(found, "node", "left")
+    of = stored(of.select("hub", "node", "n", "fold", F.coalesce("comp", "node").alias("comp")))
+    mid = of.select("hub", F.col("node").alias("mid"), *[F.col(c).alias(f"{c}_mid") for c in ("n", "fold", "comp")])
+    sized = 100 * F.least("n", "n_mid") >= percent * F.greatest("n", "n_mid")
+    near = may_link({"all": F.col("fold"), "any": F.col("fold"), "n": F.col("n")}, {"all": F.col("fold_mid"), "any": F.col("fold_mid"), "n": F.col("n_mid")}, percent)
+    two = buckets.join(of, ["hub", "node"]).join(mid, ["hub", "mid"]).filter((F.col("comp") != F.col("comp_mid")) & sized & near)
+    pairs = stored(two.select(F.least("node", "mid").alias("a"), F.greatest("node", "mid").alias("b")).distinct())
+    discard(of)
+    return pairs
+
+
 def far_buckets(family: DataFrame, buckets: DataFrame) -> DataFrame:
     """(sig, node, comp, n, fold) of the classes far from the hub of a bucket."""
     beyond = family.filter(F.col("d").isNull() | (F.col("d") > cut(F.col("na")))).select("hub", "node", "comp", "n", "fold")
@@ -415,7 +439,8 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, repeated: bo
     for turn in range(turns):
         # One shuffle, by signature: the hubs are found and joined back where the rows already are.
         rows = signature_rows(docs, words, percent, turn, turns).filter("node is not null and sig is not null").repartition("sig")
-        shared = rows.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("sig", "hub")
+        mid = F.min(F.col("node").bitwiseXOR(F.col("sig"))).bitwiseXOR(F.col("sig"))
+        shared = rows.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("top"), mid.alias("mid")).filter("hub < top").select("sig", "hub", "mid")
         held.append(stored(rows.join(shared, "sig").filter("node > hub")))
     buckets = reduce(DataFrame.union, held)
     bounds = bounded(buckets.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), classes)
@@ -423,6 +448,11 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, repeated: bo
     tried = verified(bounds.filter(F.col("least") <= reach), classes, docs, words, percent, repeated)
     links = tried.filter("link").select("a", "b")
     found = components(links)
+    met = bounded(met_by_chance(buckets, bounds, found, percent), classes)
+    linked = F.col("least") * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))
+    chance = verified(met.filter(linked), classes, docs, words, percent, repeated)
+    if chance.filter("link").limit(1).count():
+        found = stored(joined_components(found, chance.filter("link").select("a", "b")))
 
     comp_a = found.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
     comp_b = found.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
@@ -438,11 +468,10 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, repeated: bo
     nodes = stored(crowd.select("node", "comp", "fold").distinct())
     away = far_candidates(nodes, classes, docs, words, percent, repeated)
     more = bounded(by_hub.union(by_sig).union(near).union(away).distinct(), classes)
-    linked = F.col("least") * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))
     again = verified(more.filter(linked), classes, docs, words, percent, repeated)
     if again.filter("link").limit(1).count():
         found = stored(joined_components(found, again.filter("link").select("a", "b")))
-    discard(*held, bounds, tried, family, near, nodes, more, again)
+    discard(*held, bounds, tried, met, chance, family, near, nodes, more, again)
 
     comp = classes.join(found, "node", "left").select("node", "h2", "n", "rep", F.coalesce("comp", "node").alias("comp"))
     least = comp.groupBy("comp").agg(F.min("rep").alias("component_id"))

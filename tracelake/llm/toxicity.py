@@ -150,7 +150,8 @@ def fit_network(texts: list[str | None], y: np.ndarray, vocabulary: int = 8000,
     net = Network({}, {}, float(np.log(share / (1 - share))))
     if not len(y) or y.min() == y.max():
         return net
-    split = [alnum_words(t) for t in texts]
+    known: dict[bytes, bytes] = {}  # a word is held once, not once for each place
+    split = [[known.setdefault(w, w) for w in alnum_words(t)] for t in texts]
     bad, good = Counter(), Counter()
     for w, v in zip(split, y, strict=True):
         (bad if v else good).update(set(w))
