@@ -359,15 +359,18 @@ def ordered(rows: DataFrame, by: list[str]) -> DataFrame:
 def far_candidates(nodes: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, repeated: bool) -> DataFrame:
     """Pairs (a, b) among nodes (node, comp, fold) in different components that share one of their rarest elements, of which each takes
     as many as it must have in common with any partner's."""
-    sets = sets_of(nodes.select("node"), classes, docs, words, repeated)
-    order = ordered(sets.select("node", F.explode("set").alias("x")), [])
+    sets = stored(sets_of(nodes.select("node"), classes, docs, words, repeated))
+    order = stored(ordered(sets.select("node", F.explode("set").alias("x")), []))
     d = order.join(nodes, "node").join(classes.select("node", "n"), "node")
     alone = F.col("n") - F.size("xs")  # shared by nobody, so the rarest of all
     keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
     some = F.slice("xs", F.lit(1), F.greatest(F.least(keep, F.size("xs")), F.lit(0)).cast("int"))
     rows = d.select("node", "comp", "n", "fold", alone.alias("alone"), F.posexplode(some).alias("p", "e"))
-    rows = rows.select(F.col("e.x").alias("x"), "node", "comp", "n", "fold", F.col("n").alias("d"), (F.col("n") - F.col("alone") - F.col("p")).alias("r"))
-    return between(rows, ["x"], percent).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    rows = stored(rows.select(F.col("e.x").alias("x"), "node", "comp", "n", "fold", F.col("n").alias("d"), (F.col("n") - F.col("alone") - F.col("p")).alias("r")))
+    pairs = between(rows, ["x"], percent).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    out = stored(pairs.distinct())
+    discard(sets, order, rows)
+    return out
 
 
 def dealt(rows: DataFrame, one: DataFrame, key: str, ways: int = 16) -> DataFrame:
@@ -383,7 +386,7 @@ def near_candidates(family: DataFrame, tried: DataFrame, percent: int) -> DataFr
     least = family.groupBy("hub").agg(F.min("d").alias("any"), F.min(F.when(F.col("out"), F.col("d"))).alias("outer")).filter("outer is not null")
     d = stored(dealt(family, least, "hub").withColumn("most", most_apart(F.col("n"), percent)))
     apart = tried.select(F.col("a").alias("hub"), F.col("b").alias("node"), "apart")
-    order = ordered(d.select("hub", "node").join(apart, ["hub", "node"]).select("hub", "node", F.explode("apart").alias("x")), ["hub"])
+    order = stored(ordered(d.select("hub", "node").join(apart, ["hub", "node"]).select("hub", "node", F.explode("apart").alias("x")), ["hub"]))
     alone = F.col("d") - F.size("xs")
     # A partner has at least d - most differences, by the triangle, and as many as the least of those that it can be.
     other = F.when(F.col("out"), F.col("any")).otherwise(F.col("outer"))
@@ -391,8 +394,8 @@ def near_candidates(family: DataFrame, tried: DataFrame, percent: int) -> DataFr
     keep = F.col("d") - F.greatest(need, F.lit(1)) + 1 - alone
     some = F.slice("xs", F.lit(1), F.greatest(F.least(keep, F.size("xs")), F.lit(0)).cast("int"))
     rows = d.join(order, ["hub", "node"]).select("hub", "node", "comp", "n", "d", "fold", alone.alias("alone"), F.posexplode(some).alias("p", "e"))
-    rows = rows.select("hub", F.col("e.x").alias("x"), "node", "comp", "n", "d", "fold", (F.col("d") - F.col("alone") - F.col("p")).alias("r"))
-    share = between(rows, ["hub", "x"], percent)
+    rows = stored(rows.select("hub", F.col("e.x").alias("x"), "node", "comp", "n", "d", "fold", (F.col("d") - F.col("alone") - F.col("p")).alias("r")))
+    share = stored(between(rows, ["hub", "x"], percent))
     # Those so near the hub that differences cannot part them: x and y link if their spares add up, so that each that links with any
     # links with the one of the largest spare, too, and so do its partners.
     few = d.filter("out and d + any <= most").select("hub", "node", "comp", "n", "d")
@@ -402,7 +405,7 @@ def near_candidates(family: DataFrame, tried: DataFrame, percent: int) -> DataFr
     sure = dealt(few, light, "hub").union(dealt(few, inner, "hub")).filter((F.col("comp") != F.col("best.comp")) & (F.col("best.spare") + spare >= 0))
     pairs = share.union(sure.select("node", "best.node_b"))
     out = stored(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
-    discard(d)
+    discard(d, order, rows, share)
     return out
 
 
@@ -462,16 +465,19 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, repeated: bo
     family = stored(family.select(F.col("a").alias("hub"), F.col("b").alias("node"), "na", F.col("nb").alias("n"), "d", "fold", cb.alias("comp"), (ca != cb).alias("out")))
     close = family.filter(F.col("d") <= cut(F.col("na")) + most_apart(F.col("n"), percent)).drop("na")
     # Few around a hub, or in a bucket far from it, are paired at once; the elements in which more differ tell which of them to pair.
+    # Each step's rows are stored, as a plan of several steps at once takes much of the driver's memory and makes rows anew.
     by_hub, crowd = told_apart(close, "hub", percent)
-    near = near_candidates(crowd, tried, percent)
-    by_sig, crowd = told_apart(far_buckets(family, buckets), "sig", percent)
-    nodes = stored(crowd.select("node", "comp", "fold").distinct())
+    by_hub, near = stored(by_hub), near_candidates(crowd, tried, percent)
+    beyond = stored(far_buckets(family, buckets))
+    by_sig, crowd = told_apart(beyond, "sig", percent)
+    by_sig, nodes = stored(by_sig), stored(crowd.select("node", "comp", "fold").distinct())
     away = far_candidates(nodes, classes, docs, words, percent, repeated)
-    more = bounded(by_hub.union(by_sig).union(near).union(away).distinct(), classes)
+    candidates = stored(by_hub.union(by_sig).union(near).union(away).distinct())
+    more = bounded(candidates, classes)
     again = verified(more.filter(linked), classes, docs, words, percent, repeated)
     if again.filter("link").limit(1).count():
         found = stored(joined_components(found, again.filter("link").select("a", "b")))
-    discard(*held, bounds, tried, met, chance, family, near, nodes, more, again)
+    discard(*held, bounds, tried, met, chance, family, by_hub, near, beyond, by_sig, nodes, away, candidates, more, again)
 
     comp = classes.join(found, "node", "left").select("node", "h2", "n", "rep", F.coalesce("comp", "node").alias("comp"))
     least = comp.groupBy("comp").agg(F.min("rep").alias("component_id"))
