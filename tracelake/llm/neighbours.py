@@ -2,7 +2,10 @@
 
 The number of lists follows the number of rows, up to a bound.  Their centroids come from balanced k-means over a bounded sample, in two
 levels: the sample's cells are split in proportion to what they hold.  Every vector is posted to its nearest centroid's list and, near a
-boundary, to the lists of further centroids; lists beyond a length are cut into parts, so that no task holds an unbounded list.
+boundary, to the lists of further centroids; lists beyond a length are cut into parts, so that no task holds an unbounded list, and
+shorter ones, which stand in the order of their cells, are read in blocks, so that a query has k rows for a block and not for a list.
+A block's distances to all its queries come from one product of matrices, with a bound of its error; what may be among the k nearest
+by that is measured exactly.
 A query walks a neighbour graph of the centroids in memory and takes all lists whose centroid is at most e times a distance
 farther than the nearest one, that distance being the nearest one's, or the sample's median where that is more (so that a query
 on a centroid looks around, too); e is calibrated on the sample so that a target share of true neighbours is posted there.  Where
@@ -41,15 +44,18 @@ class Lists:
         """The m nearest centroids of each row, and their distances, from the nearest cells."""
         cells = np.argpartition(distances(x, self.tops), min(self.probe, len(self.tops)) - 1, axis=1)[:, : self.probe]
         of = self.held[cells].reshape(len(x), -1)
-        c = self.centroids[np.maximum(of, 0)]
-        square = (x * x).sum(1)[:, None] - 2 * np.einsum("nd,ncd->nc", x, c) + (c * c).sum(2)
-        d = np.where(of >= 0, np.sqrt(np.maximum(square, 0)), np.inf)
+        d = np.full((len(x), *self.held[cells].shape[1:]), np.inf)
+        for t in np.unique(cells):
+            row, at = np.nonzero(cells == t)
+            own = self.held[t][self.held[t] >= 0]
+            d[row, at, : len(own)] = distances(x[row], self.centroids[own])
+        d = d.reshape(len(x), -1)
         near = np.argpartition(d, min(m, d.shape[1]) - 1, axis=1)[:, :m]
         return np.take_along_axis(of, near, 1), np.take_along_axis(d, near, 1)
 
     def posts(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, list) of every posting, and whether it is the row's first, in a list whose centroid is nearest."""
-        some = [self.nearest(x[i : i + 256], self.copies) for i in range(0, len(x), 256)]
+        some = [self.nearest(x[i : i + 2048], self.copies) for i in range(0, len(x), 2048)]
         near, dn = (np.concatenate(a) for a in zip(*some, strict=True))
         keep = dn <= (1 + self.spread) * dn.min(1, keepdims=True) + 1e-12
         row, col = np.nonzero(keep & np.isfinite(dn))
@@ -141,6 +147,49 @@ def neighbours_of(c: np.ndarray, q: np.ndarray, m: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def in_blocks(counts: np.ndarray, longest: int, a_block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The block of each list, and in how many parts each block is read: consecutive lists of up to `a_block` rows together, or one
+    of more than `longest`, which is cut."""
+    block, rows, parts = np.zeros(len(counts), np.int32), 0, [1]
+    for i, n in enumerate(counts.tolist()):
+        if i and (n > longest or parts[-1] > 1 or rows + n > a_block):
+            parts.append(1)
+            rows = 0
+        block[i], rows = len(parts) - 1, rows + n
+        if n > longest:
+            parts[-1] = -(-n // longest)
+    return block, np.array(parts, np.int32)
+
+
+def within(x: np.ndarray, ids: np.ndarray, lst: np.ndarray, q: np.ndarray, qid: np.ndarray, wanted: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, distance) of the k nearest ids of each query among the rows x in lists that it wants (queries x lists), but its own."""
+    most = min(k * int(np.unique(ids, return_counts=True)[1].max()), len(x))  # rows that hold k ids
+    qs, found, far = [], [], []
+    for i in range(0, len(q), 64):
+        some = q[i : i + 64]
+        with np.errstate(over="ignore", invalid="ignore"):
+            xx = (x * x).sum(1) if i == 0 else xx
+            size = xx[None] + (some * some).sum(1)[:, None]
+            square, slack = size - 2 * some @ x.T, 4 * (x.shape[1] + 4) * np.finfo(float).eps * size
+            low, high = square - slack, square + slack
+        unsure = ~np.isfinite(size)  # beyond what can be squared: measured exactly
+        low[unsure], high[unsure] = -np.inf, np.inf
+        out = ~wanted[i : i + 64][:, lst] | (ids[None] == qid[i : i + 64, None])
+        high[out] = np.inf
+        limit = np.partition(high, most - 1, axis=1)[:, most - 1]
+        for j in range(len(some)):
+            at = np.flatnonzero((low[j] <= limit[j]) & ~out[j])
+            with np.errstate(over="ignore"):
+                d = np.sqrt(((x[at] - some[j]) ** 2).sum(1))
+            at, d = at[np.isfinite(d)], d[np.isfinite(d)]
+            order = np.lexsort((ids[at], d))
+            first = order[np.sort(np.unique(ids[at][order], return_index=True)[1])][:k]  # only the nearest row of an id counts
+            qs.append(np.full(len(first), qid[i + j]))
+            found.append(ids[at[first]])
+            far.append(d[first])
+    return np.concatenate(qs), np.concatenate(found), np.concatenate(far)
+
+
 def fit_lists(sample: np.ndarray, lists: int | None = None, spread: float = 0.05, copies: int = 2, target: float = 0.99, k: int = 10) -> Lists:
     tops, held, c = two_levels(sample, max(1, lists or len(sample) // 100))
     near = neighbours_of(c, c, 25)
@@ -173,7 +222,7 @@ def usable(df: DataFrame, vector: str) -> DataFrame:
     return df.select("vec_id", v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & ~zero)
 
 
-def nearest(embeddings: DataFrame, k: int = 10, every: int = 100, a_list: int = 100, most_lists: int = 16_384, sample: int = 20_000, a_centroid: int = 20, longest: int = 2000, vector: str = "embedding", most_asked: int = 4000) -> DataFrame:
+def nearest(embeddings: DataFrame, k: int = 10, every: int = 100, a_list: int = 100, most_lists: int = 16_384, sample: int = 20_000, a_centroid: int = 20, longest: int = 2000, vector: str = "embedding", most_asked: int = 4000, a_block: int = 16_384) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found for each row whose id is divisible by `every`.
 
     There is a list for every `a_list` rows, up to `most_lists`; they are fitted on `sample` rows, or on `a_centroid` for each list
@@ -192,33 +241,41 @@ def nearest(embeddings: DataFrame, k: int = 10, every: int = 100, a_list: int =
     shared = spark.sparkContext.broadcast(index)
 
     def post(b):
-        x = np.array(b.column("v").to_pylist()).reshape(-1, dim)
+        x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
         row, lst, home = shared.value.posts(x)
         ids = b.column("vec_id").to_numpy()
         return {"list": lst.astype(np.int32), "home": home, "vec_id": ids[row], "v": list(x[row])}
 
-    postings = stored(map_slices(good.select(F.col("vec_id").cast("long"), "v"), post, "list int, home boolean, vec_id long, v array<double>", 512))
+    postings = stored(map_slices(good.select(F.col("vec_id").cast("long"), "v"), post, "list int, home boolean, vec_id long, v array<double>", 2048))
     # Lengths of the lists, and their ids, each counted in one list only: as many rows as centroids.
-    parts = {r["list"]: -(-r["count"] // longest) for r in postings.groupBy("list").count().collect() if r["count"] > longest}
-    homes = postings.filter("home").groupBy("vec_id").agg(F.min("list").alias("list")).groupBy("list").count().collect()
-    counts = np.zeros(len(index.centroids), np.int64)
-    for r in homes:
+    lengths, counts = np.zeros(len(index.centroids), np.int64), np.zeros(len(index.centroids), np.int64)
+    for r in postings.groupBy("list").count().collect():
+        lengths[r["list"]] = r["count"]
+    for r in postings.filter("home").groupBy("vec_id").agg(F.min("list").alias("list")).groupBy("list").count().collect():
         counts[r["list"]] = r["count"]
-    held = spark.sparkContext.broadcast(counts)
+    block, parts = in_blocks(lengths, longest, a_block)
+    held = spark.sparkContext.broadcast((counts, block))
 
     def seek(b):
-        out = [shared.value.lists_for(np.array(v), held.value, k + 1) for v in b.column("q").to_pylist()]
-        return {"query_id": b.column("query_id"), "q": b.column("q"), "lists": out}
+        out = {"query_id": [], "q": [], "block": [], "lists": []}
+        for i, v in zip(b.column("query_id").to_pylist(), b.column("q").to_pylist(), strict=True):
+            lists = np.array(shared.value.lists_for(np.array(v), held.value[0], k + 1), np.int32)
+            of = held.value[1][lists]
+            for x in np.unique(of):
+                for c, y in zip(out, (i, v, x, lists[of == x]), strict=True):
+                    out[c].append(y)
+        return out
 
     # A repeated row asks once.
     asked = good.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").cast("long").alias("query_id"), F.col("v").alias("q")).distinct()
-    asked = stored(map_slices(asked, seek, "query_id long, q array<double>, lists array<int>"))
-    asked = asked.select(F.explode("lists").alias("list"), "query_id", "q")
-    # A list that many queries ask is read once for each slice of them.
-    cuts = {r["list"]: -(-r["count"] // most_asked) for r in asked.groupBy("list").count().collect() if r["count"] > most_asked}
+    asked = stored(map_slices(asked, seek, "query_id long, q array<double>, block int, lists array<int>"))
+    # A block that many queries ask is read once for each slice of them.
+    cuts = np.ones(len(parts), np.int32)
+    for r in asked.groupBy("block").count().collect():
+        cuts[r["block"]] = -(-r["count"] // most_asked)
 
-    def number(of: dict[int, int]):
-        return F.coalesce(F.create_map(*[F.lit(x) for kv in of.items() for x in kv])[F.col("list")], F.lit(1)) if of else F.lit(1)
+    def looked_up(of: np.ndarray):
+        return F.pandas_udf(lambda at: pd.Series(of[at.to_numpy()]), "int")
 
     def each(n):
         return F.explode(F.sequence(F.lit(0), n - 1))
@@ -226,29 +283,20 @@ def nearest(embeddings: DataFrame, k: int = 10, every: int = 100, a_list: int =
     def one_of(n, *by):
         return F.pmod(F.xxhash64(*by), n).cast("int")
 
-    asked = asked.select("*", one_of(number(cuts), "query_id", "q").alias("cut"), each(number(parts)).alias("part"))
-    dealt = postings.select("list", "vec_id", "v", one_of(number(parts), "vec_id").alias("part"), each(number(cuts)).alias("cut"))
+    in_parts, in_cuts = looked_up(parts), looked_up(cuts)
+    asked = asked.withColumn("cut", one_of(in_cuts("block"), "query_id", "q")).withColumn("part", each(in_parts("block")))
+    dealt = postings.select("list", "vec_id", "v", looked_up(block)("list").alias("block"))
+    dealt = dealt.withColumn("part", one_of(in_parts("block"), "vec_id")).withColumn("cut", each(in_cuts("block")))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        x, ids, rows = np.stack(left["v"].to_numpy()), left["vec_id"].to_numpy(), []
-        repeated = len(np.unique(ids)) < len(ids)
-        for q, v in zip(right["query_id"], right["q"], strict=True):
-            d = np.sqrt(((x - np.asarray(v)) ** 2).sum(1))
-            d[ids == q] = np.inf
-            if repeated:  # only the nearest row of an id counts
-                order = np.lexsort((ids, d))
-                at = order[np.sort(np.unique(ids[order], return_index=True)[1])]
-                at = at[np.isfinite(d[at])][:k]
-            else:
-                limit = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
-                at = np.flatnonzero((d <= limit) & np.isfinite(d))
-                at = at[np.lexsort((ids[at], d[at]))][:k]
-            rows.append(pd.DataFrame({"query_id": q, "vec_id": ids[at], "score": d[at]}))
-        return pd.concat(rows, ignore_index=True)
+        names, lst = np.unique(left["list"].to_numpy(), return_inverse=True)
+        wanted = np.array([np.isin(names, lists) for lists in right["lists"]])
+        q, x = np.stack(right["q"].to_numpy()), np.stack(left["v"].to_numpy())
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), within(x, left["vec_id"].to_numpy(), lst, q, right["query_id"].to_numpy(), wanted, k), strict=True)))
 
-    keys = ("list", "part", "cut")
+    keys = ("block", "part", "cut")
     near = dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double")
     once = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     # Spark keeps k rows of a query in each partition before it brings them together.
