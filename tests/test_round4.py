@@ -2,10 +2,13 @@
 
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tracelake.operators import CID
 from tracelake.operators import samples as E
+from tracelake.plans import queries as Q
+from tracelake.plans.views import TABLES
 
 
 def samples(spark, cycles, instructions):
@@ -50,3 +53,16 @@ def test_sides_of_all_pairs_read_their_own_event(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     counted = [line for line in plan.splitlines() if "count(" in line]
     assert out.count() == 6 and counted and not [line for line in counted if "CASE" in line or "event" in line]
+
+
+def test_pairs_in_order_are_the_sql_with_its_ties_by_value(spark):
+    """The SQL leaves the order of equal `ord` open; the query is what it gives when value decides there."""
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    sql = Q.SQL["d1_flat_wide_in_order"]
+    decided = sql.replace("order by ord)", "order by ord, value)")
+    out = Q.QUERIES["d1_flat_wide_in_order"](spark, "/root/testdata/sf0.001")
+    want = con.execute(f"select {', '.join(out.columns)} from ({decided})").fetchall()
+    assert decided != sql and len(want) > 3000
+    assert Counter(map(tuple, out.collect())) == Counter(want)
